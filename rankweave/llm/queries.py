@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, mixing, quality_rules
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op4_mixing": mixing.op4_mixing,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
-ORACLE = {}
+ORACLE = {
+    "op8_quality_rules": quality_rules.ORACLE,
+}
