@@ -6,6 +6,9 @@ one per rank; a bitmap of three levels finds the lowest rank that has any, by fi
 word a level. Positions form a doubly linked list, and a bucket entry whose pair has changed since is
 skipped when it comes up. A pre-token of n bytes takes O(n log n), however long it is.
 
+Short pre-tokens that aren't in the cache go through one queue together, thousands at a time: a popped
+rank merges, in each pre-token, its leftmost pair of that rank, in one step of array operations.
+
 Results of the corner cases: a null text is an empty one; an empty text has no ids and decodes to no
 bytes; text that looks like a special token is ordinary text; unknown ids stop decoding with an error.
 Input columns pass through; an input column with the name of the output column is replaced.
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 #: A rank file over this is refused: it is broadcast to every executor.
 MAX_RANK_FILE = 64 << 20
 #: Distinct short pre-tokens that one Python worker remembers, and the longest it does.
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 40
-#: Longer texts are split piece by piece instead of into one list.
-LONG_TEXT = 4_000_000
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+#: Characters of texts whose new pre-tokens are merged together; longer texts are split piece by piece.
+TOGETHER = 8_000_000
 
 
 class RankQueue:
@@ -85,25 +88,43 @@ class RankQueue:
 
 
 class ByteBpe:
-    """The rank table of a byte-level BPE and its pattern."""
+    """The rank table of a byte-level BPE and its pattern.
+
+    ``cut_at_spaces`` may be set for a pattern none of whose matches has a space after its first
+    character, other than matches of blanks alone: a text without double spaces can then be cut before
+    every space first, and what lies between is cached whole.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
-        self.pieces = {i: b for b, i in ranks.items()}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_spaces: bool = False):
+        self.ranks, self.cut_at_spaces = ranks, cut_at_spaces
         self.longest = max(map(len, ranks))
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(ranks.values()) + 1)
-        self.cache = _Cache(self)
+        self.n_ranks = max(ranks.values()) + 1
+        self.cache: dict[str, bytes] = {}
+        pieces = [b""] * self.n_ranks
+        for piece, i in ranks.items():
+            pieces[i] = piece
+        self.lengths = np.array([len(x) for x in pieces], dtype="int64")
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.flat = np.frombuffer(b"".join(pieces), "u1")
+        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype="int64")
+        both = {}  # every pair of tokens that make a token
+        for piece, i in ranks.items():
+            for k in range(1, len(piece)):
+                if (x := ranks.get(piece[:k])) is not None and (y := ranks.get(piece[k:])) is not None:
+                    both[x << 32 | y] = i
+        self.pairs = np.array(sorted(both), dtype="int64")
+        self.pair_ranks = np.array([both[x] for x in self.pairs.tolist()], dtype="int64")
 
     @classmethod
-    def parse(cls, raw: bytes, pattern: str) -> ByteBpe:
-        return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern)
+    def parse(cls, raw: bytes, pattern: str, cut_at_spaces: bool = False) -> ByteBpe:
+        return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern, cut_at_spaces)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n, get, longest, queue = len(piece), self.ranks.get, self.longest, self.queue
+        n, get, longest, queue = len(piece), self.ranks.get, self.longest, RankQueue(self.n_ranks)
         after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
         pair = array("q", [-1]) * n  # the rank of the token at a position with the next one, as it stands
         for i in range(n - 1):
@@ -136,41 +157,192 @@ class ByteBpe:
             i = after[i]
         return ids
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], -1)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of each of many short pre-tokens, merged in one queue."""
+        if not pieces or not len(self.pairs):
+            return [np.asarray(self.merge(x), "<u4").tobytes() for x in pieces]
+        lengths = np.array([len(x) for x in pieces], dtype="int64")
+        n = int(lengths.sum())
+        word = np.repeat(np.arange(len(pieces)), lengths)
+        token = np.append(self.of_byte[np.frombuffer(b"".join(pieces), "u1")], 0)
+        ends = np.cumsum(lengths)
+        after = np.arange(1, n + 2)
+        after[ends - 1] = n  # n stands for none, on either side
+        before = np.arange(-1, n)
+        before[ends - lengths] = n
+        pair = np.append(np.where(after[:n] < n, self._rank(token[:n], token[after[:n]]), -1), -1)
+        alive = np.ones(n + 1, dtype=bool)
+        queue = _Buckets(self.n_ranks)
+        queue.push(pair[:n], np.arange(n))
+        while (top := queue.pop()) is not None:
+            rank, at = top
+            at = at[pair[at] == rank]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                at.sort()
+                first = np.empty(len(at), dtype=bool)
+                first[0] = True
+                np.not_equal(word[at[1:]], word[at[:-1]], out=first[1:])
+                if not first.all():  # others of a pre-token wait: a merge may bring a lower rank
+                    queue.again(rank, at[~first])
+                    at = at[first]
+            gone = after[at]
+            end = after[gone]
+            pair[gone] = -1
+            alive[gone] = False
+            token[at] = rank
+            after[at] = end
+            before[end] = at
+            left = before[at]
+            here = np.concatenate([at[end < n], left[left < n]])
+            pair[at] = -1
+            pair[left] = -1
+            new = self._rank(token[here], token[after[here]])
+            pair[here] = new
+            queue.push(new, here)
+        alive[n] = False
+        counts = np.bincount(word, weights=alive[:n], minlength=len(pieces)).astype("int64")
+        packed = token[:n][alive[:n]].astype("<u4").tobytes()
+        stops = (np.cumsum(counts) * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _chunks(self, text: str) -> list[str]:
+        if self.cut_at_spaces and "  " not in text and "\0" not in text:
+            return text.replace(" ", "\0 ").split("\0") if text else []
+        return self.pattern.findall(text)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts chunks into the cache."""
+        if len(self.cache) + len(chunks) > CACHE_ENTRIES:
+            self.cache.clear()
+        short, owners = {}, []
+        for chunk in chunks:
+            own = [x.encode() for x in self.pattern.findall(chunk)] if self.cut_at_spaces else [chunk.encode()]
+            owners.append((chunk, own))
+            for x in own:
+                if x not in short:
+                    if (whole := self.ranks.get(x)) is not None:
+                        short[x] = whole.to_bytes(4, "little")
+                    elif len(x) > 4 * CACHE_CHARS:
+                        short[x] = np.asarray(self.merge(x), "<u4").tobytes()
+                    else:
+                        short[x] = None
+        open_ = [x for x, ids in short.items() if ids is None]
+        short.update(zip(open_, self.merge_all(open_), strict=True))
+        for chunk, own in owners:
+            self.cache[chunk] = short[own[0]] if len(own) == 1 else b"".join(map(short.__getitem__, own))
+
+    def _long(self, text: str) -> bytes:
+        out = []
+        for m in self.pattern.finditer(text):
+            piece = m.group()
+            if (ids := self.cache.get(piece)) is None:
+                ids = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
+                if len(piece) <= CACHE_CHARS and not self.cut_at_spaces:
+                    self.cache[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        i = 0
+        while i < len(texts):
+            if len(texts[i]) > TOGETHER:
+                yield self._long(texts[i])
+                i += 1
+                continue
+            group, size = [], 0
+            while i < len(texts) and size + len(texts[i]) <= TOGETHER:
+                group.append(self._chunks(texts[i]))
+                size += len(texts[i])
+                i += 1
+            new = set().union(*group).difference(self.cache)
+            if new:
+                fits = len(self.cache) + len(new) <= CACHE_ENTRIES
+                self._learn(list(new) if fits else list(set().union(*group)))
+            get = self.cache.__getitem__
+            for chunks in group:
+                yield b"".join(map(get, chunks))
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        get = self.cache.__getitem__
-        if len(text) <= LONG_TEXT:
-            return b"".join(map(get, self.pattern.findall(text)))
-        return b"".join(get(m.group()) for m in self.pattern.finditer(text))
+        return next(self.encode_batch([text]))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-class _Cache(dict):
-    """Packed ids of pre-tokens; emptied when full, and long ones aren't kept, so its size is bounded."""
-
-    def __init__(self, bpe: ByteBpe):
-        self.bpe = bpe
+        ids = np.frombuffer(ids, "<u4").astype("int64")
+        lengths = self.lengths[ids]
+        if len(ids) and not lengths.all():
+            raise ValueError("ids without a token")
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
+class _Buckets(RankQueue):
+    """A rank queue that takes and gives whole arrays of positions."""
+
+    def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        known = ranks >= 0
+        ranks, positions = ranks[known], positions[known]
+        if len(ranks) > 64:
+            order = np.argsort(ranks, kind="stable")
+            ranks, positions = ranks[order], positions[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for rank, part in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(positions, cuts), strict=True):
+                self.again(rank, part)
+        else:
+            for rank, position in zip(ranks.tolist(), positions.tolist(), strict=True):
+                if bucket := self.buckets.get(rank):
+                    bucket.append(position)
+                else:
+                    self.again(rank, [position])
+
+    def again(self, rank: int, positions: np.ndarray | list[int]) -> None:
+        own = self.buckets.get(rank)
+        if own:
+            own.extend(positions if isinstance(positions, list) else positions.tolist())
+            return
+        self.buckets[rank] = positions if isinstance(positions, list) else positions.tolist()
+        at = rank
+        for words in self.levels:
+            word, bit = at >> 6, 1 << (at & 63)
+            old = words[word]
+            words[word] = old | bit
+            if old:
+                break
+            at = word
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.asarray(self.bpe.merge(piece.encode()), "<u4").tobytes()
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = packed
-        return packed
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        at = 0
+        for words in reversed(self.levels):
+            word = words[at]
+            if not word:
+                return None
+            at = (at << 6) | ((word & -word).bit_length() - 1)
+        up = at
+        for words in self.levels:
+            word = up >> 6
+            words[word] &= ~(1 << (up & 63))
+            if words[word]:
+                break
+            up = word
+        return at, np.array(self.buckets.pop(at))
 
 
 _loaded: dict[tuple, ByteBpe] = {}
 
 
-def _bpe(raw: bytes, pattern: str) -> ByteBpe:
+def _bpe(raw: bytes, pattern: str, cut_at_spaces: bool) -> ByteBpe:
     """One table for each worker process, whatever number of tasks it runs."""
-    key = (len(raw), zlib.crc32(raw), pattern)
+    key = (len(raw), zlib.crc32(raw), pattern, cut_at_spaces)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = ByteBpe.parse(raw, pattern)
+        _loaded[key] = ByteBpe.parse(raw, pattern, cut_at_spaces)
     return _loaded[key]
 
 
@@ -182,42 +354,42 @@ def _raw(path: str) -> bytes:
     return raw
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids", cut_at_spaces: bool = False) -> DataFrame:
     """Adds ``out_col``: the ids of the whole text, packed as little-endian unsigned 32-bit integers.
 
     ``rank_file`` is read by the driver and broadcast; its size is checked.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((_raw(rank_file), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((_raw(rank_file), pattern, cut_at_spaces))
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _bpe(*shared.value)
         for batch in batches:
-            yield pa.array([bpe.encode(x.as_py() or "") for x in batch], pa.binary())
+            yield pa.array(bpe.encode_batch([x or "" for x in batch.to_pylist()]), pa.binary())
 
     return docs.withColumn(out_col, ids(F.col(text_col).cast("string")))
 
 
 def decode(docs: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``: the bytes that the packed ids stand for."""
-    shared = docs.sparkSession.sparkContext.broadcast((_raw(rank_file), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((_raw(rank_file), pattern, False))
 
     @F.arrow_udf("binary")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _bpe(*shared.value)
         for batch in batches:
-            yield pa.array([bpe.decode(x.as_py() or b"") for x in batch], pa.binary())
+            yield pa.array([bpe.decode(x or b"") for x in batch.to_pylist()], pa.binary())
 
     return docs.withColumn(out_col, back(F.col(ids_col)))
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, rank_file: str, pattern: str, cut_at_spaces: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs(doc_id, text)``, through encode() and decode()."""
-    both = decode(encode(docs.select("doc_id", "text"), rank_file, pattern).select("doc_id", "ids"), rank_file, pattern)
+    both = decode(encode(docs.select("doc_id", "text"), rank_file, pattern, cut_at_spaces=cut_at_spaces).select("doc_id", "ids"), rank_file, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, cut_at_spaces=True)

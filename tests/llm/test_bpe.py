@@ -15,6 +15,7 @@ PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
 LIB = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 OURS = bpe.ByteBpe(RANKS, P.PATTERN)
+CUT = bpe.ByteBpe(RANKS, P.PATTERN, cut_at_spaces=True)
 
 
 def packed(text):
@@ -26,13 +27,45 @@ def packed(text):
 @given(st.text(max_size=200))
 def test_same_as_library(text):
     assert OURS.encode(text) == packed(text)
+    assert CUT.encode(text) == packed(text)
     assert OURS.decode(OURS.encode(text)) == text.encode()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aabB1' \n\t\u00a0\0.,é", max_size=60))
+def test_blanks_and_cuts(text):
+    assert OURS.encode(text) == packed(text) == CUT.encode(text)
+
+
+def test_batches_and_full_cache(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdeé \n'sth") for _ in range(rng.randrange(300))) for _ in range(300)]
+    want = [packed(t) for t in texts]
+    for cut in (False, True):
+        assert list(bpe.ByteBpe(RANKS, P.PATTERN, cut).encode_batch(texts)) == want
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 500)
+    monkeypatch.setattr(bpe, "TOGETHER", 1000)
+    for cut in (False, True):
+        own = bpe.ByteBpe(RANKS, P.PATTERN, cut)
+        assert list(own.encode_batch([*texts, "long text " * 300])) == [*want, packed("long text " * 300)]
+
+
+def test_lower_rank_after_merge():
+    """In this table a merge makes a pair of a lower rank than its own."""
+    ranks = {bytes([i]): 1000 + i for i in range(256)} | {b"abc": 1, b"ab": 5, b"cab": 7, b"ca": 6}
+    lib = tiktoken.Encoding("odd", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.ByteBpe(ranks, P.PATTERN)
+    rng = random.Random(2)
+    for text in ["ababcabc", "abab", *("".join(rng.choice("abc") for _ in range(40)) for _ in range(200))]:
+        want = struct.pack(f"<{len(lib.encode_ordinary(text))}I", *lib.encode_ordinary(text))
+        assert own.encode(text) == want
+        assert struct.pack(f"<{len(own.merge(text.encode()))}I", *own.merge(text.encode())) == want
+
+
 def test_long_pretokens():
     rng = random.Random(5)
     for text in ("a" * 5000, "ab" * 4000, "".join(rng.choice("abcdefgh") for _ in range(20000)), " " * 3000 + "x", "é" * 3000, "<|endoftext|>"):
-        assert OURS.encode(text) == packed(text)
+        assert OURS.encode(text) == packed(text) == CUT.encode(text)
 
 
 def test_queue_order():
