@@ -40,43 +40,82 @@ _LETTER = regex.compile(r"\p{L}")
 
 
 class Vocabulary:
-    """Piece numbers, and the lattice of all segmentations of words."""
+    """Piece numbers, and the lattice of all segmentations of words.
+
+    Substrings are found by a 64-bit polynomial hash in an open-addressed table of the pieces' hashes.
+    """
+
+    BASE = 0x9E3779B97F4A7C15 | 1
+    MASK = (1 << 64) - 1
 
     def __init__(self, pieces: list[str]):
         self.id = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
         self.size = len(pieces) + 1
         self.longest = max((len(p) for p in pieces), default=1)
+        self.bits = max(10, (32 * len(pieces)).bit_length())
+        self.keys = np.zeros(1 << self.bits, dtype="uint64")
+        self.values = np.full(1 << self.bits, self.size, dtype="int32")
+        self.probes = 1
+        for p, i in self.id.items():
+            key = 0
+            for c in p:
+                key = (key * self.BASE + ord(c) + 1) & self.MASK
+            slot, tries = self._slot(key), 1
+            while self.values[slot] != self.size and self.keys[slot] != key:
+                slot, tries = (slot + 1) & ((1 << self.bits) - 1), tries + 1
+            if self.values[slot] != self.size:
+                raise ValueError("two pieces have one hash")
+            self.keys[slot], self.values[slot], self.probes = key, i, max(self.probes, tries)
+
+    def _slot(self, key: int) -> int:
+        return ((key * 0xD1B54A32D192ED03) & self.MASK) >> (64 - self.bits)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        slot = ((key * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - self.bits)).astype("int64")
+        out = np.where(self.keys[slot] == key, self.values[slot], np.int32(self.size))
+        open_ = np.flatnonzero((out == self.size) & (self.values[slot] != self.size))
+        for k in range(1, self.probes):
+            if not len(open_):
+                break
+            at = (slot[open_] + k) & ((1 << self.bits) - 1)
+            same = self.keys[at] == key[open_]
+            out[open_[same]] = self.values[at[same]]
+            open_ = open_[~same & (self.values[at] != self.size)]
+        return out
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(words, end, length) -> piece or ``size`` for none; the words' lengths."""
+        """(word, end, length) -> piece, or ``size`` for none; the words' lengths."""
         n = np.array([len(w) for w in words])
-        longest = min(self.longest, int(n.max()))
-        out = np.full((len(words), int(n.max()) + 1, longest + 1), self.size, dtype="int32")
-        get, unknown = self.id.get, self.unknown
-        for k, w in enumerate(words):
-            rows, ends, lens, ids = [], [], [], []
-            for e in range(1, len(w) + 1):
-                for size in range(1, min(longest, e) + 1):
-                    i = get(w[e - size : e])
-                    if i is None:
-                        if size > 1:
-                            continue
-                        i = unknown
-                    ends.append(e)
-                    lens.append(size)
-                    ids.append(i)
-            out[k, ends, lens] = ids
+        most = int(n.max())
+        longest = min(self.longest, most)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.arange(most) < n[:, None]
+        chars = np.zeros((len(words), most), dtype="uint64")
+        chars[inside] = flat.astype("uint64") + np.uint64(1)
+        out = np.full((len(words), most + 1, longest + 1), self.size, dtype="int32")
+        key, power = np.zeros_like(chars), 1
+        for size in range(1, longest + 1):
+            key = key[:, 1:] if size > 1 else key
+            key = key + chars[:, : most - size + 1] * np.uint64(power)
+            power = (power * self.BASE) & self.MASK
+            real = inside[:, size - 1 :]
+            out[:, size:, size][real] = self._find(key[real])
+        single = out[:, 1:, 1]
+        single[inside & (single == self.size)] = self.unknown
         return out, n
 
 
 def forward(lattice: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     """alpha[word, position, language] for ``p[piece, language]``, whose last row is 0 and stands for no piece."""
+    none = len(p) - 1
     alpha = np.zeros((len(n), lattice.shape[1], p.shape[1]))
     alpha[:, 0] = 1
     for e in range(1, lattice.shape[1]):
         for size in range(1, min(e, lattice.shape[2] - 1) + 1):
-            alpha[:, e] += alpha[:, e - size] * p[lattice[:, e, size]]
+            own = np.flatnonzero(lattice[:, e, size] < none)
+            if len(own):
+                alpha[own, e] += alpha[own, e - size] * p[lattice[own, e, size]]
     return alpha
 
 
@@ -87,7 +126,7 @@ def expected(lattice: np.ndarray, n: np.ndarray, p: np.ndarray, weight: np.ndarr
     rows = np.arange(len(n))
     beta[rows, n] = 1
     for s in range(lattice.shape[1] - 2, -1, -1):
-        for size in range(1, min(lattice.shape[2], lattice.shape[1] - s) if lattice.shape[2] > 1 else 1):
+        for size in range(1, min(lattice.shape[2] - 1, lattice.shape[1] - 1 - s) + 1):
             beta[:, s] += p[lattice[:, s + size, size]] * beta[:, s + size]
     total = alpha[rows, n]
     scale = np.where(total > 0, weight / np.where(total > 0, total, 1), 0)
