@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,50 @@ def components(links: DataFrame) -> DataFrame:
             break
         edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _labelled(keyed: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Adds ``label``, the component of an id so far."""
+    if found is None:
+        return keyed.withColumn("label", F.col("id"))
+    return keyed.join(found.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], hub_rounds: int = 3) -> DataFrame:
+    """(id, component) of every id that ``similar`` links with another that shares a key with it.
+
+    ``keyed(key, id)``: candidates share a key. ``similar`` keeps the pairs (a, b) that are linked. In each
+    round, the members of a key that are not yet in one component are compared with one of them, the hub;
+    after ``hub_rounds`` rounds all pairs of a key that are still apart are. A group that hubs join costs
+    its size a round, not its square, and no link between components is lost.
+    """
+    spark = keyed.sparkSession
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    keyed = stored(keyed.join(several, "key"), "keys")
+    edges, found, tried = None, None, None
+    for turn in range(hub_rounds + 1):
+        now = _labelled(keyed, found)
+        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        if turn < hub_rounds:
+            # first the least id, then whichever has the least hash under the round's salt
+            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
+            rank = F.struct(order.alias("h"), F.col("id").alias("hub"), F.col("label").alias("hub_label"))
+            hubs = now.join(apart, "key").groupBy("key").agg(F.min(rank).alias("r")).select("key", "r.hub", "r.hub_label")
+            pairs = now.join(hubs, "key").where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+        else:
+            left = now.join(apart, "key")
+            other = left.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
+            pairs = left.join(other, "key").where("id < b AND label <> lb").select(F.col("id").alias("a"), "b")
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        new = stored(similar(pairs), "similar")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        edges = new if edges is None else edges.unionByName(new)
+        found = stored(components(edges), "components")
+    if found is None:
+        return spark.createDataFrame([], "id long, component long")
+    return found.toDF("id", "component")

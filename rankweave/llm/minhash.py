@@ -156,49 +156,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return close.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").where(udf("ga", "gb")).select("a", "b")
 
 
-def _labelled(keyed: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Adds ``label``, the component of an id so far."""
-    if found is None:
-        return keyed.withColumn("label", F.col("id"))
-    return keyed.join(found.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-
-
 def links(sets: DataFrame, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """Components of the classes ``sets(id, n_shingles, grams)``: (id, component) of every linked id."""
-    spark = sets.sparkSession
-    keyed = _keys(sets, MinHasher(side, rows))
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1")
-    keyed = C.stored(keyed.join(several.select("key"), "key"), "keys")
-    edges, found, tried = None, None, None
-    for turn in range(hub_rounds + 1):
-        now = _labelled(keyed, found)
-        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        if turn < hub_rounds:
-            # a hub of the key for each round: the member whose hash is least under that round's salt
-            rank = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-            if turn == 0:
-                rank = F.struct(F.lit(0).cast("long").alias("h"), F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-            hubs = now.join(apart, "key").groupBy("key").agg(F.min(rank).alias("r")).select("key", "r.hub", "r.hub_label")
-            pairs = now.join(hubs, "key").where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            left = now.join(apart, "key")
-            other = left.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(other, "key").where("id < b AND label <> lb").select(F.col("id").alias("a"), "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = C.stored(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < hub_rounds:
-                continue
-            break
-        new = C.stored(_similar(pairs, sets, percent), "similar")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = new if edges is None else edges.unionByName(new)
-        found = C.stored(C.components(edges), "components")
-    if found is None:
-        return spark.createDataFrame([], "id long, component long")
-    return found.toDF("id", "component")
+    return C.hub_links(_keys(sets, MinHasher(side, rows)), lambda pairs: _similar(pairs, sets, percent), hub_rounds)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, **how) -> DataFrame:
