@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, line_dedup, minhash, mixing, quality_rules
+from . import ann, bpe, langid, line_dedup, minhash, mixing, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_ann": ann.op2_ann,
     "op4_mixing": mixing.op4_mixing,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_langid": langid.op9_langid,
