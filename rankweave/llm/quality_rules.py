@@ -5,7 +5,7 @@ is set if rule i fails. A policy is a version with a mask of the rules it enforc
 ``ablations`` work on the ledger by bitwise operations, so a changed policy never reads a text again.
 
 Results of the corner cases: a null text is an empty one; an empty text has all counts 0 and fails
-``few_words``; repeated rows each get their row; input columns beyond doc_id and text are not read.
+``few_words``; repeated rows each get their row; columns beyond text pass through, and those with the name of an output are replaced.
 Each document is measured inside its own row, so no key can gather rows in one task.
 """
 
@@ -44,30 +44,31 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with the measurements of ``text``, which they follow; names of MEASURES in the input are replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", text.alias("text")).withColumn("words", C.words(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(C.BLANKS))) > 0)
-    df = df.withColumns({"sorted": _repeat_words(F.col("words")), "lines": lines})
-    w = lambda k: F.get(F.col("sorted"), k)["w"]
-    again = F.transform(F.filter("sorted", lambda s, k: (w(k + 1) == s["w"]).eqNullSafe(True) | (w(k - 1) == s["w"]).eqNullSafe(True)), lambda s: s["i"])
-    df = df.withColumn("again", again)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("again", lambda p: F.array(p, p + 1, p + 2)))))
-    count = lambda kept: F.length(F.regexp_replace("text", kept, "")).cast("long")
-    return df.select(
-        "doc_id",
-        F.size("words").cast("long").alias("n_words"),
-        count(C.WORD_BREAK).alias("word_chars"),
-        count("[^#*$%&|<>]+").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("again").isNull(), F.lit(0)).otherwise(covered).cast("long").alias("n_repeat_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        count("\\P{L}+").alias("n_letters"),
-        count("\\P{Lu}+").alias("n_upper"),
-    )
+    df = docs.drop(*MEASURES, "fail_bits").withColumn("__text", text).withColumn("__words", C.words(F.col("__text")))
+    lines = F.filter(F.split("__text", "\n"), lambda x: F.length(F.btrim(x, F.lit(C.BLANKS))) > 0)
+    df = df.withColumns({"__sorted": _repeat_words(F.col("__words")), "__lines": lines})
+    w = lambda k: F.get(F.col("__sorted"), k)["w"]
+    again = F.transform(F.filter("__sorted", lambda s, k: (w(k + 1) == s["w"]).eqNullSafe(True) | (w(k - 1) == s["w"]).eqNullSafe(True)), lambda s: s["i"])
+    df = df.withColumn("__again", again)
+    covered = F.size(F.array_distinct(F.flatten(F.transform("__again", lambda p: F.array(p, p + 1, p + 2)))))
+    count = lambda kept: F.length(F.regexp_replace("__text", kept, "")).cast("long")
+    measures = {
+        "n_words": F.size("__words").cast("long"),
+        "word_chars": count(C.WORD_BREAK),
+        "n_symbols": count("[^#*$%&|<>]+"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": F.when(F.col("__again").isNull(), F.lit(0)).otherwise(covered).cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
+        "n_letters": count("\\P{L}+"),
+        "n_upper": count("\\P{Lu}+"),
+    }
+    return df.withColumns(measures).drop("__text", "__words", "__sorted", "__lines", "__again")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, the measurements and ``fail_bits`` for every row of ``docs(doc_id, text)``."""
+    """The columns of ``docs``, the measurements of its ``text`` and ``fail_bits`` for every row."""
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     total = bits[0]
     for b in bits[1:]:
@@ -99,7 +100,7 @@ def ablations(book: DataFrame) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = apply_policy(ledger(C.table(spark, sf_dir, "documents")))
+    book = apply_policy(ledger(C.table(spark, sf_dir, "documents").select("doc_id", "text")))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "fail_bits")
 
 
