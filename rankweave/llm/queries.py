@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, line_dedup, minhash, mixing, quality_rules, substring_dedup
+from . import ann, bpe, html_extract, langid, line_dedup, minhash, mixing, quality_model, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_ann": ann.op2_ann,
+    "op3_quality": quality_model.op3_quality,
     "op4_mixing": mixing.op4_mixing,
+    "op5_html_extract": html_extract.op5_html_extract,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality_rules": quality_rules.op8_quality_rules,
