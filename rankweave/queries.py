@@ -326,18 +326,20 @@ def topk_minlen3(spark, d):
     return _shown(M.mine(events(spark, d), "tk", 10, min_len=3, max_len=5), *_COLUMNS)
 
 
-_LEAST = 100.0
-_LEVELS = _patterns(event_types, 2, 4) + f""", k2 AS (SELECT * FROM p WHERE m = 2 AND support + 1e-12 >= {_LEAST}),
+#: A steep decay, under which a pattern can pass a threshold that its parts miss.
+_LEAST, _STEEP = 0.5, 0.3
+_STEEPLY = _patterns(events, 2, 4).replace("exp(-(1.0 / n)", f"exp(-{_STEEP}")
+_LEVELS = _STEEPLY + f""", k2 AS (SELECT * FROM p WHERE m = 2 AND support + 1e-12 >= {_LEAST}),
     k3 AS (SELECT * FROM p WHERE m = 3 AND support + 1e-12 >= {_LEAST} AND EXISTS (SELECT 1 FROM k2 WHERE k2.series_id = p.series_id AND k2.ranks = {_without('p.ranks', '3')}) AND EXISTS (SELECT 1 FROM k2 WHERE k2.series_id = p.series_id AND k2.ranks = {_without('p.ranks', '1')})),
     k4 AS (SELECT * FROM p WHERE m = 4 AND support + 1e-12 >= {_LEAST} AND EXISTS (SELECT 1 FROM k3 WHERE k3.series_id = p.series_id AND k3.ranks = {_without('p.ranks', '4')}) AND EXISTS (SELECT 1 FROM k3 WHERE k3.series_id = p.series_id AND k3.ranks = {_without('p.ranks', '1')})),
     t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY support DESC, m, ranks) AS rank FROM (SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4))"""
 for _name, _mode in (("threshold_hj", "hj"), ("threshold_baseline", "baseline")):
-    query(_name, _LEVELS + _ANSWER)(lambda spark, d, mode=_mode: _shown(M.mine(event_types(spark, d), mode, min_sup=_LEAST, max_len=4), *_COLUMNS))
+    query(_name, _LEVELS + _ANSWER)(lambda spark, d, mode=_mode: _shown(M.mine(events(spark, d), mode, min_sup=_LEAST, max_len=4, k=_STEEP), *_COLUMNS))
 
 
-@query("threshold_having", _patterns(event_types, 2, 4) + f", t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY support DESC, m, ranks) AS rank FROM p WHERE support + 1e-12 >= {_LEAST})" + _ANSWER)
+@query("threshold_having", _STEEPLY + f", t AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY support DESC, m, ranks) AS rank FROM p WHERE support + 1e-12 >= {_LEAST})" + _ANSWER)
 def threshold_having(spark, d):
-    return _shown(M.threshold_complete(event_types(spark, d), _LEAST, 4), *_COLUMNS)
+    return _shown(M.threshold_complete(events(spark, d), _LEAST, 4, _STEEP), *_COLUMNS)
 
 
 def _grid(frames: list[tuple[float, DataFrame]], name: str) -> DataFrame:
