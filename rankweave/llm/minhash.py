@@ -13,9 +13,9 @@ all. So a large group of near copies, which its hubs join, never makes all its p
 components is lost.
 
 Results of the corner cases: a null text, an empty one or one of blanks has no shingle, no link, and is
-its own component; fewer words than a shingle takes are one shingle; repeated rows of one doc_id are one
-document and give a row each; a null doc_id has no links and a null component; columns beyond doc_id and
-text are not read; an empty table gives an empty result.
+its own component; fewer words than a shingle takes are one shingle; repeated rows are nodes of their own
+under one doc_id and give a row each; a null doc_id has no links and a null component; columns beyond
+doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from . import _common as C
 
 #: Bands on either side, minhashes in a band, rounds of hubs.
 SIDE, ROWS, HUB_ROUNDS = 12, 3, 3
+#: Candidate documents' ids that may be broadcast (8 bytes each).
+FEW_IDS = 1_000_000
 SEED = 41
 #: Words a worker remembers the hashes of.
 CACHE_WORDS = 300_000
@@ -94,87 +96,105 @@ class MinHasher:
             out = _mix(out * np.uint64(3) + low[:, :, k])
         return out[0], out[1]
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        """All table keys: each pair of bands, with its table's number mixed in."""
-        a, b = self.bands(x)
-        table = np.arange(self.side * self.side, dtype="uint64").reshape(self.side, self.side)
-        return _mix(a[:, None] * np.uint64(_MIX[1]) + b[None, :] + table).ravel()
 
+class _Sets:
+    """Shingle sets of texts; remembers words' hashes."""
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (16 bytes, null for an empty set), grams: the sorted shingle hashes, packed."""
+    def __init__(self, size: int):
+        self.size, self.get = size, _Words().__getitem__
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode().translate(_LOWER).split()
+        return shingles(np.fromiter(map(self.get, words), "uint64", len(words)), self.size)
+
+
+def _cls(grams: np.ndarray) -> int | None:
+    """The number of a set's class: a 64-bit hash of the set."""
+    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+
+
+def _signed(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
+    """doc_id, n_shingles, cls, and the bands of either collection, in one pass over the texts."""
+
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        sets = _Sets(size)
+        for batch in batches:
+            counts, cls, a, b = [], [], [], []
+            for text in batch:
+                x = sets(text)
+                low = hasher.bands(x) if len(x) else (None, None)
+                counts.append(len(x))
+                cls.append(_cls(x))
+                a.append(None if low[0] is None else low[0].view("int64"))
+                b.append(None if low[1] is None else low[1].view("int64"))
+            yield pd.DataFrame({"n_shingles": counts, "cls": pd.array(cls, dtype="Int64"), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+
+    found.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    signs = F.pandas_udf(found, "n_shingles long, cls long, a array<long>, b array<long>")(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), signs.alias("s")).select("doc_id", "s.*")
+
+
+def _grams(docs: DataFrame, size: int) -> DataFrame:
+    """(cls, grams) of every row: the sorted shingle hashes, packed."""
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
-        get = known.__getitem__
+        sets = _Sets(size)
         for f in frames:
-            for at in range(0, len(f), 500):
-                part = f.iloc[at : at + 500]
-                ids, counts, hashes, grams = [], [], [], []
-                for i, text in zip(part.doc_id, part.text, strict=True):
-                    words = (text or "").encode().translate(_LOWER).split()
-                    x = shingles(np.fromiter(map(get, words), "uint64", len(words)), size)
-                    packed = x.tobytes()
-                    ids.append(i)
-                    counts.append(len(x))
-                    hashes.append(xxhash.xxh3_128_digest(packed) if len(x) else None)
-                    grams.append(packed if len(x) else None)
-                yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": counts, "set_hash": hashes, "grams": grams})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(found, "doc_id long, n_shingles long, set_hash binary, grams binary")
-
-
-def _keys(sets: DataFrame, hasher: MinHasher) -> DataFrame:
-    def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), 500):
-                part = f.iloc[at : at + 500]
-                keys = [hasher.keys(np.frombuffer(g, "<u8")).view("int64") for g in part.grams]
-                n = hasher.side * hasher.side
-                yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.zeros(0, "int64"), "id": np.repeat(part.id.to_numpy("int64"), n)})
+            for at in range(0, len(f), 1000):
+                own = [sets(t) for t in f.text.iloc[at : at + 1000]]
+                yield pd.DataFrame({"cls": pd.array([_cls(x) for x in own], dtype="Int64"), "grams": [x.tobytes() for x in own]})
 
-    return sets.select("id", "grams").mapInPandas(keyed, "key long, id long")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(found, "cls long, grams binary").where("cls IS NOT NULL")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` with 100 * intersection >= percent * union, on the full sets."""
+def tensor_keys(classes: DataFrame) -> DataFrame:
+    """(key, id): for every class its table keys, one for each pair of a band of ``a`` and one of ``b``."""
+    keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i, j))))
+    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias("id"))
 
-    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            out = np.zeros(len(left), dtype=bool)
-            for k, (x, y) in enumerate(zip(left, right, strict=True)):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out[k] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pd.Series(out)
 
-    held.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    udf = F.pandas_udf(held, "boolean")
-    sizes, grams = sets.select("id", "n_shingles"), sets.select("id", "grams")
-    # pairs whose sizes alone rule them out go before the sets are fetched
+def _held(batches: Iterator[tuple[pd.Series, pd.Series]], percent: int) -> Iterator[pd.Series]:
+    for left, right in batches:
+        out = np.zeros(len(left), dtype=bool)
+        for k, (x, y) in enumerate(zip(left, right, strict=True)):
+            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out[k] = 100 * both >= percent * (len(x) + len(y) - both)
+        yield pd.Series(out)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` of classes with 100 * intersection >= percent * union, on the full sets.
+
+    Sizes alone rule out pairs first. The sets of the classes that are left are made again from one text
+    each; the texts are found by a filter on doc_id, broadcast if there are at most ``FEW_IDS``, else by a join.
+    """
+    sizes = classes.select("cls", "n_shingles")
     close = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    return close.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").where(udf("ga", "gb")).select("a", "b")
+    close = C.stored(close, "close")
+    ids = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls").select(F.col("first").alias("doc_id")).distinct()
+    ids = C.stored(ids, "ids")
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    grams = C.stored(_grams(texts, size).dropDuplicates(["cls"]), "grams")
 
+    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return _held(batches, percent)
 
-def links(sets: DataFrame, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """Components of the classes ``sets(id, n_shingles, grams)``: (id, component) of every linked id."""
-    return C.hub_links(_keys(sets, MinHasher(side, rows)), lambda pairs: _similar(pairs, sets, percent), hub_rounds)
+    held.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return close.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").where(F.pandas_udf(held, "boolean")("ga", "gb")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept for every row of ``docs(doc_id, text)``."""
-    sets = C.stored(_sets(docs, shingle), "sets")
-    known = sets.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
-    ids = known.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    several = known.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("last")).where("id < last").select("set_hash", "id")
-    # a doc_id with several sets links them; that is rare, and left to the components
-    classes = known.join(ids, known.doc_id.eqNullSafe(ids.id) & (known.set_hash == ids.set_hash), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "grams")
-    joined = links(classes, percent, **how)
-    copies = known.select("doc_id", "set_hash").join(several, "set_hash").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    nodes = copies.where("a <> b").unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b"))
-    found = C.components(nodes)
-    out = sets.select("doc_id", "n_shingles").join(found.toDF("doc_id", "c"), "doc_id", "left")
-    component = F.coalesce("c", "doc_id")
+    signed = C.stored(_signed(docs, shingle, MinHasher(side, rows)), "signed")
+    classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, docs, classes, shingle, percent), hub_rounds).toDF("cls", "label")
+    labelled = classes.select("cls", "first", "last").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = labelled.join(least, "label").where("first <> last OR first <> component_id").select("cls", F.col("component_id").alias("c"))
+    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
