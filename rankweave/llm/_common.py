@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from collections.abc import Callable
 
@@ -29,6 +31,25 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query that first sends this package to the Python workers, once per session, wherever they start."""
+
+    def run(spark: SparkSession, *args) -> DataFrame:
+        context = spark.sparkContext
+        if not getattr(context, "_rankweave_shipped", False):
+            top = Path(__file__).resolve().parent.parent
+            packed = Path(tempfile.mkdtemp(prefix="rankweave-")) / "rankweave.zip"
+            with zipfile.ZipFile(packed, "w") as z:
+                for f in sorted(top.rglob("*.py")):
+                    z.write(f, f.relative_to(top.parent))
+            context.addPyFile(str(packed))
+            context._rankweave_shipped = True
+        return query(spark, *args)
+
+    run.__name__, run.__doc__ = query.__name__, query.__doc__
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and every executor see; set once per session where the cluster names none."""
     jsc = spark.sparkContext._jsc.sc()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import _common as C
 from . import ann, bpe, html_extract, langid, line_dedup, minhash, mixing, quality_model, quality_rules, substring_dedup
 
 QUERIES = {
@@ -17,6 +18,8 @@ QUERIES = {
     "op10_minhash": minhash.op10_minhash,
 }
 
+QUERIES = {name: C.shipped(query) for name, query in QUERIES.items()}
+
 ORACLE = {
     "op8_quality_rules": quality_rules.ORACLE,
 }
