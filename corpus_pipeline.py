@@ -51,6 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash", near_duplicates), ("mixing", mix), ("byte_bpe", tokens)]
+STAGES = [(name, C.shipped(stage)) for name, stage in STAGES]
 
 #: The draws of the mix and the merges of the encoding are beyond SQL; the tests compare with brute force.
 ORACLE_SQL = None
