@@ -99,19 +99,26 @@ def _labelled(keyed: DataFrame, found: DataFrame | None) -> DataFrame:
     return keyed.join(found.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], hub_rounds: int = 3) -> DataFrame:
+def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], hub_rounds: int = 3, linkable: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) of every id that ``similar`` links with another that shares a key with it.
 
     ``keyed(key, id)``: candidates share a key. ``similar`` keeps the pairs (a, b) that are linked. In each
     round, the members of a key that are not yet in one component are compared with one of them, the hub;
     after ``hub_rounds`` rounds all pairs of a key that are still apart are. A group that hubs join costs
-    its size a round, not its square, and no link between components is lost.
+    its size a round, not its square, and no link between components is lost. After the first round,
+    ``linkable`` may drop ids, of those still apart from some of their candidates, that a bound shows to
+    have no link at all with another of them.
     """
     spark = keyed.sparkSession
     several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     keyed = stored(keyed.join(several, "key"), "keys")
     edges, found, tried = None, None, None
     for turn in range(hub_rounds + 1):
+        if turn == 1 and linkable is not None:
+            now = _labelled(keyed, found)
+            apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+            ids = stored(now.join(apart, "key", "left_semi").select("id").distinct(), "ids")
+            keyed = stored(keyed.join(apart, "key", "left_semi").join(linkable(ids), "id", "left_semi"), "keys")
         now = _labelled(keyed, found)
         apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         if turn < hub_rounds:

@@ -135,16 +135,16 @@ def _signed(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
 
 
 def _grams(docs: DataFrame, size: int) -> DataFrame:
-    """(cls, grams) of every row: the sorted shingle hashes, packed."""
+    """(cls, h) of every row: the sorted shingle hashes."""
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets = _Sets(size)
         for f in frames:
             for at in range(0, len(f), 1000):
                 own = [sets(t) for t in f.text.iloc[at : at + 1000]]
-                yield pd.DataFrame({"cls": pd.array([_cls(x) for x in own], dtype="Int64"), "grams": [x.tobytes() for x in own]})
+                yield pd.DataFrame({"cls": pd.array([_cls(x) for x in own], dtype="Int64"), "h": pd.Series([x.view("int64") for x in own], dtype=object)})
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(found, "cls long, grams binary").where("cls IS NOT NULL")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(found, "cls long, h array<long>").where("cls IS NOT NULL")
 
 
 def tensor_keys(classes: DataFrame) -> DataFrame:
@@ -153,14 +153,24 @@ def tensor_keys(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(keys).alias("key"), F.col("cls").alias("id"))
 
 
-def _held(batches: Iterator[tuple[pd.Series, pd.Series]], percent: int) -> Iterator[pd.Series]:
-    for left, right in batches:
-        out = np.zeros(len(left), dtype=bool)
-        for k, (x, y) in enumerate(zip(left, right, strict=True)):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out[k] = 100 * both >= percent * (len(x) + len(y) - both)
-        yield pd.Series(out)
+def _texts(docs: DataFrame, classes: DataFrame, cls: DataFrame) -> DataFrame:
+    """A text or more of each of the classes ``cls(cls)``; ids are broadcast if there are at most ``FEW_IDS``."""
+    ids = C.stored(cls.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("doc_id")).distinct(), "ids")
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def linkable(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``ids(id)`` that may be similar to another of them.
+
+    Of a set of n shingles, u of which no other of these sets has, the similarity with any of them is
+    (n - u) / n at most. A text with many edits of its own is ruled out without meeting its near copies.
+    """
+    cls = ids.select(F.col("id").alias("cls"))
+    grams = C.stored(_grams(_texts(docs, classes, cls), size).join(cls, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "h"), "grams")
+    own = grams.select("cls", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("cls")).where("k = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("u"))
+    n = F.size("h")
+    return grams.join(own, "cls", "left").where(100 * (n - F.coalesce("u", F.lit(0))) >= percent * n).select(F.col("cls").alias("id"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -172,24 +182,19 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     sizes = classes.select("cls", "n_shingles")
     close = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
     close = C.stored(close, "close")
-    ids = close.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "first"), "cls").select(F.col("first").alias("doc_id")).distinct()
-    ids = C.stored(ids, "ids")
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = _texts(docs, classes, close.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     grams = C.stored(_grams(texts, size).dropDuplicates(["cls"]), "grams")
 
-    def held(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        return _held(batches, percent)
-
-    held.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return close.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").where(F.pandas_udf(held, "boolean")("ga", "gb")).select("a", "b")
+    both = F.size(F.array_intersect("ha", "hb"))
+    similar = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
+    return close.join(grams.toDF("a", "ha"), "a").join(grams.toDF("b", "hb"), "b").where(similar).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept for every row of ``docs(doc_id, text)``."""
     signed = C.stored(_signed(docs, shingle, MinHasher(side, rows)), "signed")
     classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-    found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, docs, classes, shingle, percent), hub_rounds).toDF("cls", "label")
+    found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, docs, classes, shingle, percent), hub_rounds, lambda ids: linkable(ids, docs, classes, shingle, percent)).toDF("cls", "label")
     labelled = classes.select("cls", "first", "last").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "label").where("first <> last OR first <> component_id").select("cls", F.col("component_id").alias("c"))
@@ -200,3 +205,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+ORACLE = """
+WITH RECURSIVE a AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM a),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT x.doc_id AS x, y.doc_id AS y, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM j JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 80 * (nx.n + ny.n - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS c FROM a UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.x WHERE r.c < e.y)
+SELECT a.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, a.doc_id = m.c AS kept FROM a LEFT JOIN n ON n.doc_id = a.doc_id JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = a.doc_id
+"""
