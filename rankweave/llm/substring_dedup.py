@@ -306,3 +306,14 @@ def self_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> Dat
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return self_dedup(C.table(spark, sf_dir, "documents"), texts=False)
+
+
+ORACLE = f"""
+WITH a AS (SELECT row_number() OVER () AS i, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT i, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 1))) AS p, w FROM a),
+g AS (SELECT i, p, count(*) OVER (PARTITION BY list_slice(w, p, p + {WINDOW - 1})) AS n FROM t),
+c AS (SELECT DISTINCT i, unnest(range(p, p + {WINDOW})) AS p FROM g WHERE n > 1),
+x AS (SELECT i, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM a),
+k AS (SELECT x.i, count(*) FILTER (c.p IS NOT NULL) AS n_removed, string_agg(x, ' ' ORDER BY x.p) FILTER (c.p IS NULL) AS kept FROM x LEFT JOIN c ON x.i = c.i AND x.p = c.p GROUP BY x.i)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM a LEFT JOIN k ON a.i = k.i
+"""
