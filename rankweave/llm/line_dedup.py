@@ -32,6 +32,8 @@ from . import _common as C
 
 #: Edits allowed; characters of a line that takes part at least; candidate ids that may be broadcast (8 bytes each).
 TAU, MIN_CHARS, FEW_IDS = 1, 20, 1_000_000
+#: Chunks of a line that are looked for before its edit distance is taken.
+CHUNKS = 12
 
 
 def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -83,17 +85,21 @@ def within(a: Column, b: Column, tau: int) -> Column:
     """
     if not 0 <= tau <= 30:
         raise ValueError("tau from 0 to 30")
+    return _let(F.struct(F.split(a, "").alias("wa"), F.split(b, "").alias("wb")), lambda w: _banded(w["wa"], w["wb"], tau))
+
+
+def _banded(wa: Column, wb: Column, tau: int) -> Column:
     width = 2 * tau + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     bit = lambda c, n: F.when(c, F.lit(n).cast("long")).otherwise(F.lit(0).cast("long"))
-    m = F.size("wa")
+    m = F.size(wa)
 
     def step(s: Column, j: Column) -> Column:
-        c = F.get(F.col("wb"), j - 1)
+        c = F.get(wb, j - 1)
         match = F.lit(0).cast("long")
         for i in range(width):
             row = j - 1 + i - tau
-            match = match.bitwiseOR(bit((row >= 0) & F.get(F.col("wa"), F.greatest(row, F.lit(0))).eqNullSafe(c) & (row < m), 1 << i))
+            match = match.bitwiseOR(bit((row >= 0) & F.get(wa, F.greatest(row, F.lit(0))).eqNullSafe(c) & (row < m), 1 << i))
         flip = lambda x: x.bitwiseXOR(F.lit(full).cast("long"))
 
         def columns(x: Column) -> Column:
@@ -119,14 +125,26 @@ def within(a: Column, b: Column, tau: int) -> Column:
         return _let(match, columns)
 
     start = F.struct(F.lit(full ^ ((1 << tau) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(tau).alias("d"))
-    near = F.abs(F.size("wa") - F.size("wb")) <= tau
-    return F.when(near, F.aggregate(F.sequence(F.lit(1), F.size("wb")), start, step, lambda s: s["d"]) <= tau).otherwise(False)
+    near = F.abs(m - F.size(wb)) <= tau
+    return F.when(near, F.aggregate(F.sequence(F.lit(1), F.size(wb)), start, step, lambda s: s["d"]) <= tau).otherwise(False)
+
+
+def plausible(a: Column, b: Column, tau: int) -> Column:
+    """False only for texts more than tau edits apart: tau edits touch at most tau of the first one's chunks, and
+    each other chunk stands in the second one, at most tau places off."""
+    size = F.greatest(F.floor(F.length(a) / CHUNKS), F.lit(1)).cast("int")
+    hits = F.lit(0)
+    for i in range(CHUNKS):
+        start = F.lit(1) + size * i
+        around = F.substring(b, F.greatest(start - tau, F.lit(1)), size + 2 * tau)
+        hits = hits + F.contains(around, F.substring(a, start, size)).cast("int")
+    return (F.abs(F.length(a) - F.length(b)) <= tau) & (hits >= CHUNKS - tau)
 
 
 def verified(pairs: DataFrame, tau: int) -> DataFrame:
     """The rows of ``pairs(ta, tb, ...)`` whose texts are within tau edits."""
-    chars = pairs.withColumns({"wa": F.split("ta", ""), "wb": F.split("tb", "")})
-    return chars.withColumn("near", within(F.col("ta"), F.col("tb"), tau)).where("near").drop("wa", "wb", "near")
+    a, b = F.col("ta"), F.col("tb")
+    return pairs.where(F.when(plausible(a, b, tau), within(a, b, tau)).otherwise(False))
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -154,7 +172,8 @@ def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Data
         texts = lines(docs, min_chars).select("id", "t").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
         texts = C.stored(texts, "texts")
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return verified(both, tau).select("a", "b")
+        spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes and much work
+        return verified(both.repartition(spread, "a", "b"), tau).select("a", "b")
 
     found = C.hub_links(keyed, similar).toDF("id", "cls")
     return distinct.select("id", "first", "n").join(found, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
@@ -176,3 +195,20 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFr
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: For one edit: of two lines of 20 characters or more, the first ten or the last ten are then the same.
+ORACLE = f"""
+WITH RECURSIVE q AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+o AS (SELECT doc_id, line, t FROM (SELECT doc_id, unnest(range(0, len(l))) AS line, trim(unnest(l), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM q) WHERE length(t) >= {MIN_CHARS}),
+d AS (SELECT t, row_number() OVER (ORDER BY t) AS id, count(*) AS n FROM o GROUP BY t),
+l AS (SELECT x.id AS x, y.id AS y FROM d x JOIN d y ON left(x.t, 10) = left(y.t, 10) AND x.id < y.id AND abs(length(x.t) - length(y.t)) <= 1 AND levenshtein(x.t, y.t) <= 1
+      UNION SELECT x.id, y.id FROM d x JOIN d y ON right(x.t, 10) = right(y.t, 10) AND x.id < y.id AND abs(length(x.t) - length(y.t)) <= 1 AND levenshtein(x.t, y.t) <= 1),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS x, x AS c FROM l UNION SELECT y, y FROM l UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.x WHERE r.c < e.y),
+m AS (SELECT d.t, coalesce(c.c, d.id) AS cls FROM d LEFT JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) c ON c.x = d.id),
+g AS (SELECT doc_id, line FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY cls ORDER BY doc_id, line) AS k FROM o JOIN m ON m.t = o.t) WHERE k > 1),
+k AS (SELECT doc_id, list(line) AS gone FROM g GROUP BY doc_id),
+f AS (SELECT q.doc_id, text, l, gone, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS kept FROM q LEFT JOIN k ON k.doc_id = q.doc_id)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, length(kept)::BIGINT AS kept_chars, sha256(kept) AS kept_sha256 FROM f
+"""
