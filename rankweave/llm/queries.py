@@ -21,5 +21,8 @@ QUERIES = {
 QUERIES = {name: C.shipped(query) for name, query in QUERIES.items()}
 
 ORACLE = {
+    "op6_substring_dedup": substring_dedup.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op10_minhash": minhash.ORACLE,
 }
