@@ -32,8 +32,8 @@ from . import _common as C
 
 #: Edits allowed; characters of a line that takes part at least; candidate ids that may be broadcast (8 bytes each).
 TAU, MIN_CHARS, FEW_IDS = 1, 20, 1_000_000
-#: Chunks of a line that are looked for before its edit distance is taken.
-CHUNKS = 12
+#: Chunks of a line that are looked for before its edit distance is taken; characters of the chunks that bound a line's links.
+CHUNKS, SHORT = 12, 4
 
 
 def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -158,6 +158,23 @@ def _place(doc: Column, line: Column) -> Column:
     return F.coalesce(doc.cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + line, F.lit(Decimal(-(10**37))).cast("decimal(38,0)") + line).cast("decimal(38,0)")
 
 
+def linkable(texts: DataFrame, tau: int) -> DataFrame:
+    """The ids of ``texts(id, t)`` that may be within tau edits of another of them.
+
+    tau edits touch at most tau of a line's short chunks; each other chunk stands in the other line at most
+    tau places off. A line more of whose chunks no other line has near their place is alone.
+    """
+    chunk = lambda at: F.substring("t", at + 1, F.lit(SHORT))
+    starts = lambda n: texts.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / SHORT).cast("int") - 1, F.lit(0))), lambda i: i * SHORT)))
+    own = starts(F.length("t")).select("id", F.xxhash64("at", chunk(F.col("at"))).alias("c"))
+    places = F.array_distinct(F.array(*(F.greatest(F.col("at") + d, F.lit(0)) for d in range(-tau, tau + 1))))
+    # a line meets chunks of lines up to tau longer
+    near = starts(F.length("t") + tau).withColumn("from", F.explode(places)).select("id", F.xxhash64("at", chunk(F.col("from"))).alias("c"))
+    held = near.groupBy("c").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    hits = own.join(held, "c").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id"))).alias("hits"))
+    return hits.where(F.col("hits") >= F.col("n") - tau).select("id")
+
+
 def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """id, n, first and cls of every distinct line: its number of lines, first place, and its class (the least id linked)."""
     tau_keys = keys(F.col("t"), tau)
@@ -166,16 +183,17 @@ def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Data
     distinct = C.stored(x.groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *(F.max(k).alias(k) for k in names)), "lines")
     keyed = distinct.select("id", F.explode(F.array_distinct(F.array(*names))).alias("key")).where("key IS NOT NULL")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        ids = C.stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    def texts_of(ids: DataFrame) -> DataFrame:
         few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-        texts = lines(docs, min_chars).select("id", "t").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"])
-        texts = C.stored(texts, "texts")
+        return C.stored(lines(docs, min_chars).select("id", "t").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(C.stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes and much work
         return verified(both.repartition(spread, "a", "b"), tau).select("a", "b")
 
-    found = C.hub_links(keyed, similar).toDF("id", "cls")
+    found = C.hub_links(keyed, similar, linkable=lambda ids: linkable(texts_of(ids), tau)).toDF("id", "cls")
     return distinct.select("id", "first", "n").join(found, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
 
 

@@ -100,3 +100,13 @@ def test_no_python_in_plan(spark):
     out = L.dedup(df)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.first().n_removed == 1
+
+
+@pytest.mark.parametrize("tau", [1, 2])
+def test_linkable_loses_no_line(spark, tau):
+    rng = random.Random(30 + tau)
+    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(rng.randrange(20, 50))) for _ in range(40)]
+    texts = sorted({x for b in base for x in (b, change(rng, b, rng.randrange(0, tau + 1)), change(rng, b, 12)) if len(x) >= 20})
+    near = {i for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau}
+    got = {r.id for r in L.linkable(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), tau).collect()}
+    assert near and near <= got and len(got) < len(texts)
