@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 #: A rank file over this is refused: it is broadcast to every executor.
 MAX_RANK_FILE = 64 << 20
 #: Distinct short pre-tokens that one Python worker remembers, and the longest it does.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
 #: Characters of texts whose new pre-tokens are merged together; longer texts are split piece by piece.
-TOGETHER = 8_000_000
+TOGETHER = 2_000_000
 
 
 class RankQueue:
@@ -87,6 +87,30 @@ class RankQueue:
         return at, position
 
 
+class Pieces:
+    """The bytes of every id, side by side."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            pieces[i] = piece
+        self.lengths = np.array([len(x) for x in pieces], dtype="int64")
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.flat = np.frombuffer(b"".join(pieces), "u1")
+
+    def decode(self, ids: bytes) -> bytes:
+        ids = np.frombuffer(ids, "<u4").astype("int64")
+        lengths = self.lengths[ids]
+        if len(ids) and not lengths.all():
+            raise ValueError("ids without a token")
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+
+def ranks_of(raw: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}
+
+
 class ByteBpe:
     """The rank table of a byte-level BPE and its pattern.
 
@@ -101,24 +125,20 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.n_ranks = max(ranks.values()) + 1
         self.cache: dict[str, bytes] = {}
-        pieces = [b""] * self.n_ranks
-        for piece, i in ranks.items():
-            pieces[i] = piece
-        self.lengths = np.array([len(x) for x in pieces], dtype="int64")
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.flat = np.frombuffer(b"".join(pieces), "u1")
+        self.decode = Pieces(ranks).decode
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype="int64")
-        both = {}  # every pair of tokens that make a token
+        pairs, made = array("q"), array("q")  # every pair of tokens that make a token
         for piece, i in ranks.items():
             for k in range(1, len(piece)):
                 if (x := ranks.get(piece[:k])) is not None and (y := ranks.get(piece[k:])) is not None:
-                    both[x << 32 | y] = i
-        self.pairs = np.array(sorted(both), dtype="int64")
-        self.pair_ranks = np.array([both[x] for x in self.pairs.tolist()], dtype="int64")
+                    pairs.append(x << 32 | y)
+                    made.append(i)
+        order = np.argsort(np.array(pairs, dtype="int64"))
+        self.pairs, self.pair_ranks = np.array(pairs, dtype="int64")[order], np.array(made, dtype="int64")[order]
 
     @classmethod
     def parse(cls, raw: bytes, pattern: str, cut_at_spaces: bool = False) -> ByteBpe:
-        return cls({base64.b64decode(a): int(b) for a, b in (x.split() for x in raw.splitlines() if x.strip())}, pattern, cut_at_spaces)
+        return cls(ranks_of(raw), pattern, cut_at_spaces)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -274,14 +294,6 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         return next(self.encode_batch([text]))
 
-    def decode(self, ids: bytes) -> bytes:
-        ids = np.frombuffer(ids, "<u4").astype("int64")
-        lengths = self.lengths[ids]
-        if len(ids) and not lengths.all():
-            raise ValueError("ids without a token")
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-
 
 class _Buckets(RankQueue):
     """A rank queue that takes and gives whole arrays of positions."""
@@ -334,15 +346,17 @@ class _Buckets(RankQueue):
         return at, np.array(self.buckets.pop(at))
 
 
-_loaded: dict[tuple, ByteBpe] = {}
+#: Rows of a batch that are Python objects at a time.
+ROWS = 1000
+_loaded: dict[tuple, ByteBpe | Pieces] = {}
 
 
-def _bpe(raw: bytes, pattern: str, cut_at_spaces: bool) -> ByteBpe:
-    """One table for each worker process, whatever number of tasks it runs."""
+def _table(raw: bytes, pattern: str | None, cut_at_spaces: bool = False) -> ByteBpe | Pieces:
+    """One table for each worker process, whatever number of tasks it runs; without a pattern, for decoding only."""
     key = (len(raw), zlib.crc32(raw), pattern, cut_at_spaces)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = ByteBpe.parse(raw, pattern, cut_at_spaces)
+        _loaded[key] = Pieces(ranks_of(raw)) if pattern is None else ByteBpe.parse(raw, pattern, cut_at_spaces)
     return _loaded[key]
 
 
@@ -354,6 +368,15 @@ def _raw(path: str) -> bytes:
     return raw
 
 
+def _parts(batch: pa.Array) -> Iterator[pa.Array]:
+    for i in range(0, max(len(batch), 1), ROWS):
+        yield batch.slice(i, ROWS)
+
+
+def _joined(parts: Iterator[pa.Array]) -> pa.Array:
+    return pa.concat_arrays(list(parts))
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids", cut_at_spaces: bool = False) -> DataFrame:
     """Adds ``out_col``: the ids of the whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -363,29 +386,29 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _bpe(*shared.value)
+        bpe = _table(*shared.value)
         for batch in batches:
-            yield pa.array(bpe.encode_batch([x or "" for x in batch.to_pylist()]), pa.binary())
+            yield _joined(pa.array(bpe.encode_batch([x or "" for x in part.to_pylist()]), pa.binary()) for part in _parts(batch))
 
     return docs.withColumn(out_col, ids(F.col(text_col).cast("string")))
 
 
-def decode(docs: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds ``out_col``: the bytes that the packed ids stand for."""
-    shared = docs.sparkSession.sparkContext.broadcast((_raw(rank_file), pattern, False))
+    shared = docs.sparkSession.sparkContext.broadcast(_raw(rank_file))
 
     @F.arrow_udf("binary")
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _bpe(*shared.value)
+        pieces = _table(shared.value, None)
         for batch in batches:
-            yield pa.array([bpe.decode(x or b"") for x in batch.to_pylist()], pa.binary())
+            yield _joined(pa.array([pieces.decode(x or b"") for x in part.to_pylist()], pa.binary()) for part in _parts(batch))
 
     return docs.withColumn(out_col, back(F.col(ids_col)))
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, cut_at_spaces: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs(doc_id, text)``, through encode() and decode()."""
-    both = decode(encode(docs.select("doc_id", "text"), rank_file, pattern, cut_at_spaces=cut_at_spaces).select("doc_id", "ids"), rank_file, pattern)
+    both = decode(encode(docs.select("doc_id", "text"), rank_file, pattern, cut_at_spaces=cut_at_spaces).select("doc_id", "ids"), rank_file)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
