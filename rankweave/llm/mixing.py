@@ -207,7 +207,8 @@ def mixture(docs: DataFrame, weights: Callable[[list], list[float]] = cycle_weig
     placed = streams(sizes, frame)
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.where("size > 0").select("*", F.explode(F.sequence(first, last)).alias("block"))
-    met = pieces.join(slots(spark, book, block, seed=seed), ["src", "block"], "left")
+    # both sides grow with the words, whatever size the optimiser assumes of the slots
+    met = pieces.join(slots(spark, book, block, seed=seed).hint("merge"), ["src", "block"], "left")
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.coalesce("take", F.lit(0)))
     spans = met.withColumns({"first": lo - F.col("start"), "n": F.greatest(hi - lo, F.lit(0)).cast("long")})
