@@ -34,12 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes their words: 0 to 2 times, to the nearest by a hash of the id."""
-    book = mixing.taken(docs).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0.0)
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    times = book.select("doc_id", F.floor(share + part).cast("int").alias("times")).where("times > 0")
-    return docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    """Documents 0 to 2 times, whole but for one a source, so that a source's words are those that the mix takes of it, to a block."""
+    return mixing.drawn(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

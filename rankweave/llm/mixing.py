@@ -224,5 +224,43 @@ def taken(docs: DataFrame, **how) -> DataFrame:
     return sums.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).drop("copy", "rows", "start")
 
 
+def drawn(docs: DataFrame, block: int = BLOCK, **how) -> DataFrame:
+    """Rows of ``docs(doc_id, text, source, ...)`` as often as the mix takes their words, whole but for one a source.
+
+    A row comes once for each time the mix takes it whole. The words taken beyond that make up whole rows too: a
+    source's rows taken in part are put in order of a hash over their share (sequential Poisson sampling), and
+    come until the source has as many words as the mix takes of it. The row at which that happens comes or goes
+    if the source then is at most ``block`` words off, else its first words come.
+    """
+    key = ["doc_id", "source", "size"]
+    like = lambda order: F.row_number().over(W.Window.partitionBy(*key).orderBy(order))
+    mixed = taken(docs, block=block, **how).where("size > 0").withColumn("row", like(F.col("taken")))
+    part = (F.pmod(F.xxhash64("doc_id", "source", "size", "row"), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    x = mixed.select(*key, "row", F.expr("taken div size").cast("int").alias("whole"), (F.col("taken") % F.col("size")).alias("rest"))
+    x = C.stored(x.withColumn("q", F.when(F.col("rest") > 0, part * F.col("size") / F.col("rest"))).withColumn("bucket", F.floor(F.col("q") / (F.col("q") + 1) * BUCKETS).cast("int")), "taken")
+    sums = x.where("rest > 0").groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.sum("rest").alias("rest"))
+    before = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("rest").over(W.Window.partitionBy("source")).alias("open"))
+    own = W.Window.partitionBy("source", "bucket").orderBy("q", *key, "row").rowsBetween(W.Window.unboundedPreceding, -1)
+    left = F.col("open") - F.col("base") - F.coalesce(F.sum("size").over(own), F.lit(0))
+    last = F.when(F.least("left", F.col("size") - F.col("left")) > block, F.col("left")).when(F.col("left") * 2 >= F.col("size"), F.col("size")).otherwise(0)
+    some = x.where("rest > 0").join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).withColumn("left", left)
+    some = some.withColumn("words", F.when(F.col("left") <= 0, 0).when(F.col("left") >= F.col("size"), F.col("size")).otherwise(last).cast("long"))
+    columns = [*key, "row", "whole", "words"]
+    book = some.select(columns).unionByName(x.where("rest = 0").withColumn("words", F.lit(0).cast("long")).select(columns)).where("whole > 0 OR words > 0")
+    rows = docs.withColumn("_size", C.n_words(F.col("text"))).withColumn("_row", F.row_number().over(W.Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
+    book = book.toDF(*(f"_of_{c}" for c in columns))
+    same = rows["doc_id"].eqNullSafe(book["_of_doc_id"]) & rows["source"].eqNullSafe(book["_of_source"]) & (F.col("_size") == F.col("_of_size")) & (F.col("_row") == F.col("_of_row"))
+    times = F.concat(F.array_repeat(F.col("_size"), F.col("_of_whole")), F.when(F.col("_of_words") > 0, F.array("_of_words")).otherwise(F.array().cast("array<bigint>")))
+    out = rows.join(book, same).withColumn("_words", F.explode(times))
+    return out.withColumn("text", F.when(F.col("_words") < F.col("_size"), first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))).select(docs.columns)
+
+
+def first_words(text, n):
+    """The text up to its n-th word, blanks between words as they are."""
+    pieces = F.split(F.ltrim(text, F.lit(C.BLANKS)), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
+    return F.rtrim(F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), ""), F.lit(C.BLANKS))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(C.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")

@@ -78,3 +78,29 @@ def test_slots_are_filled_once(spark):
     assert sorted(slots) == [(i // M.SHARD, i % M.SHARD) for i in range(len(slots))]
     for own in slots.values():
         assert len({(r.source, r.turn) for r in own}) == 1 and sum(r.n for r in own) <= 16
+
+
+def test_drawn_words_come_to_target(spark):
+    df, rows = table(spark, 5)
+    rows = [(i, t, s) for i, t, s, _ in rows] + [(5000, "Long  text\n" * 20_000, "one long"), (5001, "u v w " * 3000, "hot"), (None, "null " * 90, "nulls"), (None, "else " * 90, "nulls"), (None, "else " * 90, "nulls")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, came = {}, {}
+    for r in M.taken(df).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    whole, cut = {(i, t, s) for i, t, s in rows}, {}
+    got = M.drawn(df).collect()
+    for r in got:
+        came[r.source] = came.get(r.source, 0) + len(r.text.split())
+        if tuple(r) not in whole:
+            cut[r.source] = cut.get(r.source, 0) + 1
+            assert any(i == r.doc_id and s == r.source and t and t.startswith(r.text) for i, t, s in rows)
+    assert all(abs(came.get(s, 0) - n) <= M.BLOCK for s, n in taken.items())
+    assert max(cut.values(), default=0) <= 1 and "nulls" in came
+    assert sorted(map(str, got)) == sorted(map(str, M.drawn(df.repartition(7)).collect()))
+    assert M.drawn(df.limit(0)).count() == 0
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([(" a  b\n\nc d ", n) for n in (1, 2, 3, 4)], "t string, n long")
+    got = [r[0] for r in df.select(M.first_words(df.t, df.n)).collect()]
+    assert got == ["a", "a  b", "a  b\n\nc", "a  b\n\nc d"]

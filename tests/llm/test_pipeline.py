@@ -3,7 +3,7 @@ import random
 import public_tokenizers as P
 
 import corpus_pipeline as CP
-from rankweave.llm import bpe
+from rankweave.llm import bpe, mixing
 
 
 def documents(spark):
@@ -43,3 +43,15 @@ def test_empty_table(spark):
     for _, stage in CP.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_mix_meets_targets(spark):
+    rows = [(i, "some words of a text " * (i % 40 + 1), f"s{i % 4}") for i in range(200)] + [(900, "long\n" * 30_000, "one long"), (None, "no id " * 50, "nulls"), (None, "none " * 120, "nulls")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").cache()
+    want, came = {}, {}
+    for r in mixing.taken(docs).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    for r in CP.mix(spark, docs, "").collect():
+        came[r.source] = came.get(r.source, 0) + len(r.text.split())
+        assert r.n_chars == len(r.text)
+    assert {s for s, n in want.items() if abs(came.get(s, 0) - n) > mixing.BLOCK} == set()
