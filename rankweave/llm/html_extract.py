@@ -3,8 +3,8 @@
 Every page is parsed into elements; each element's subtree (tag, class, texts, children) has a 64-bit hash.
 Spark counts, for each host, the pages that hold a hash; a subtree is a template of the host if at least
 ``MIN_PAGES`` of its pages and ``MIN_SHARE`` of all its pages hold it. A second pass drops templates, and
-the elements whose tag, class, id or role names a menu, header, footer, sidebar, notice, advert, form,
-script, style or reader comments. Of a page with ``article`` or ``main`` elements only these count, and in
+the elements whose tag, or a whole class, id or role, names a menu, header, footer, sidebar, notice, advert,
+form, script, style or reader comments; no name but that of comments drops an article, main, or what holds one. Of a page with ``article`` or ``main`` elements only these count, and in
 them running text (paragraphs, headings, lists, tables) is never a template, however often it recurs.
 
 Counts are partial sums by (host, hash) before the shuffle, so a hot host meets in no single task; a host's
@@ -36,9 +36,12 @@ RAW = frozenset("script style textarea title noscript iframe xmp template".split
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption".split())
 MAIN = frozenset(("article", "main"))
-#: What never is main text, by tag, and by a word of class, id or role.
+#: What never is main text, by tag, and by a class, an id or a role. A name such as cookie-notice or share-box counts
+#: if each of its words is of DROP_WORDS or PLACE_WORDS, and one of the former; has-sidebar and tag-search don't.
 DROP_TAGS = frozenset("nav header footer aside form script style noscript template iframe button select textarea dialog svg canvas object menu head title input label fieldset".split())
 DROP_WORDS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond replies reply disqus share sharing social related recommended newsletter subscribe signup login search pagination pager widget toolbar skip contentinfo complementary".split())
+PLACE_WORDS = frozenset("bar block box buttons container form global icons inner links list main outer page panel primary section secondary site top bottom wrap wrapper".split())
+COMMENT_WORDS = frozenset("comment comments respond replies".split())
 #: An open element of the first kind ends when one of the second opens.
 CLOSES = {
     "p": BLOCK - {"body", "html", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
@@ -130,10 +133,40 @@ def hashes(root: Node) -> set[int]:
     return found
 
 
-def _dropped(node: Node, inside: bool) -> bool:
+def _named(node: Node, words: frozenset) -> bool:
+    """Whether a class, id or role of the element, as a whole, is one of ``words``, alone or with words of place."""
+    for name in node.label.split():
+        parts = _WORDS.findall(name)
+        if not words.isdisjoint(parts) and all(x in words or x in PLACE_WORDS for x in parts):
+            return True
+    return False
+
+
+def _mains(root: Node) -> tuple[list[Node], set[int]]:
+    """The outermost articles that aren't part of reader comments, and the ids of all articles and what is around them."""
+    mains: list[Node] = []
+    kept: set[int] = set()
+    stack: list[tuple[Node, tuple | None, bool]] = [(root, None, False)]
+    while stack:
+        node, above, within = stack.pop()
+        if node.tag not in ("body", "html") and _named(node, COMMENT_WORDS):
+            continue
+        above = (node, above)
+        if node.tag in MAIN:
+            if not within:
+                mains.append(node)
+            within, up = True, above
+            while up and id(up[0]) not in kept:
+                kept.add(id(up[0]))
+                up = up[1]
+        stack += [(x, above, within) for x in reversed(node.children) if isinstance(x, Node)]
+    return mains, kept
+
+
+def _dropped(node: Node, inside: bool, kept: set[int]) -> bool:
     if node.tag == "header" and inside and any(isinstance(x, Node) and re.fullmatch("h[1-6]", x.tag) for x in node.children):
         return False  # the heading of the article itself
-    return node.tag in DROP_TAGS or bool(node.label) and node.tag not in ("body", "html") and not DROP_WORDS.isdisjoint(_WORDS.findall(node.label))
+    return node.tag in DROP_TAGS or bool(node.label) and node.tag not in ("body", "html") and id(node) not in kept and _named(node, DROP_WORDS)
 
 
 def _holds_text(node: Node) -> bool:
@@ -144,14 +177,7 @@ def main_text(root: Node, templates: set[int] = frozenset()) -> str:
     """Blocks of the main text, joined by newlines."""
     if templates:
         hashes(root)
-    mains: list[Node] = []
-    stack = [root]
-    while stack:  # outermost articles that aren't part of comments and the like
-        node = stack.pop()
-        if node.tag in MAIN and not _dropped(node, False):
-            mains.append(node)
-        elif not (node.label and not {"comment", "comments", "respond", "replies"}.isdisjoint(_WORDS.findall(node.label))):
-            stack += [x for x in reversed(node.children) if isinstance(x, Node)]
+    mains, kept = _mains(root)
     blocks: list[str] = []
     run: list[str] = []
 
@@ -172,7 +198,7 @@ def main_text(root: Node, templates: set[int] = frozenset()) -> str:
             run.append(" " if node.tag == "br" else "")
         else:
             own_main = node.tag in MAIN and enter and inside
-            if not own_main and _dropped(node, inside):
+            if not own_main and _dropped(node, inside, kept):
                 continue
             if node.hash in templates and node.tag not in MAIN and node.tag not in ("html", "body") and not (inside and (node.tag in TEXT or node.tag not in BLOCK or _holds_text(node))):
                 flush() if node.tag in BLOCK else None

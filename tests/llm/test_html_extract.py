@@ -34,3 +34,14 @@ def test_templates(spark):
     assert [got[i][0].text for i in (0, 1)] == ["Own text 0", "Own text 1"]
     assert got[105][0].text == "Often\nText 5" and got[202][0].text == "t" and got[200][0].text == got[201][0].text == ""
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_labels_are_whole_names():
+    text = lambda page: H.main_text(H.parse(page))
+    for label in ("post has-sidebar", "category-social tag-search", "with-sidebar", "related", "post comments-open"):
+        assert text(f"<div class='page'><article class='{label}'><p>Own</p></article></div>") == "Own"
+        assert text(f"<main class='{label}'><article class='{label}'><p>Own</p></article></main>") == "Own"
+    assert text("<main><div class='search'><article><p>Own</p></article></div><div class='search'>Find</div></main>") == "Own"
+    assert text("<div class='comments-open has-comments'><article><p>Own</p></article></div>") == "Own"
+    assert text("<div class='page no-sidebar'><p>Own</p><div class='sidebar'>Side</div><div id='share-buttons'>Share</div></div>") == "Own"
+    assert text("<article><p>Own</p><div class=comment-list><article><p>A reader</p></article></div></article>") == "Own"
