@@ -1,18 +1,23 @@
 """Main text of web pages: site templates removed by recurring subtrees, then blocks of text.
 
 Every page is parsed into elements; each element's subtree (tag, class, texts, children) has a 64-bit hash.
-Spark counts, for each host, the pages that hold a hash; a subtree is a template of the host if at least
-``MIN_PAGES`` of its pages and ``MIN_SHARE`` of all its pages hold it. A second pass drops templates, and
+Spark counts, for each host, the different articles (outside of articles, the different pages) that hold a
+hash, so that copies of one page or article count once. A subtree is a template of the host if at least
+``MIN_PAGES`` hold it, however large the host, or more than ``SMALL_SHARE`` of the pages of a smaller host do.
+A second pass drops templates, and
 the elements whose tag, or a whole class, id or role, names a menu, header, footer, sidebar, notice, advert,
-form, script, style or reader comments; no name but that of comments drops an article, main, or what holds one. Of a page with ``article`` or ``main`` elements only these count, and in
-them running text (paragraphs, headings, lists, tables) is never a template, however often it recurs.
+form, script, style or reader comments; no name but that of comments drops an article, main, or what holds one. Of a page with ``article`` or ``main`` elements only these
+count. Short runs of text (a paragraph, heading, list item, table cell or row, or inline element of at most
+``SHORT`` characters) recur in prose, too: in an article they are never templates, elsewhere only if
+``MIN_SHARE`` of the host's pages hold them. Containers and longer texts go in articles as elsewhere.
 
-Counts are partial sums by (host, hash) before the shuffle, so a hot host meets in no single task; a host's
-templates are at most its elements per page over ``MIN_SHARE``. Pages are parsed twice rather than kept.
+Counts are partial sums by (host, hash) before the shuffle, and pages meet templates in a join on (host, hash),
+with templates of a host dealt over ``SALTS`` keys each, so a hot host or template meets in no single task.
+Pages are parsed twice rather than kept.
 
 Results of the corner cases: a null or empty page has an empty text; a null url is a host of its own;
 unclosed and misnested tags are closed as browsers mostly do, a tag cut off at the end is dropped; repeated
-rows each get their row and each count as a page; columns beyond page_id, url and html are not read.
+rows each get their row and count as one page; columns beyond page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: A template stands on at least so many pages of its host, and on this share of them.
+#: A template stands on at least so many pages of its host; a short text outside of articles on this share of them, too.
 MIN_PAGES, MIN_SHARE = 10, 0.2
+#: On a smaller host, on more than this share of its pages. Characters of a short text; keys that a template is dealt over.
+SMALL_SHARE, SHORT, SALTS = 0.5, 200, 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
@@ -133,6 +140,21 @@ def hashes(root: Node) -> set[int]:
     return found
 
 
+def held(root: Node) -> tuple[int, dict[int, int]]:
+    """The page's hash, and of each subtree that ``hashes`` finds the hash of the outermost article, or else the page, around it."""
+    found = hashes(root)
+    out: dict[int, int] = {}
+    stack = [(root, root.hash, False)]
+    while stack:
+        node, within, inside = stack.pop()
+        if node.hash in found:
+            out.setdefault(node.hash, within)
+        if node.tag in MAIN and not inside:
+            within, inside = node.hash, True
+        stack += [(x, within, inside) for x in reversed(node.children) if isinstance(x, Node)]
+    return root.hash, out
+
+
 def _named(node: Node, words: frozenset) -> bool:
     """Whether a class, id or role of the element, as a whole, is one of ``words``, alone or with words of place."""
     for name in node.label.split():
@@ -169,12 +191,27 @@ def _dropped(node: Node, inside: bool, kept: set[int]) -> bool:
     return node.tag in DROP_TAGS or bool(node.label) and node.tag not in ("body", "html") and id(node) not in kept and _named(node, DROP_WORDS)
 
 
-def _holds_text(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.tag in TEXT or _holds_text(x)) for x in node.children)
+def _short_text(node: Node) -> bool:
+    """Running text of at most SHORT characters: a text element or an inline one, without further blocks but the cells of a row or table head."""
+    if node.tag in BLOCK and node.tag not in TEXT:
+        return False
+    size, stack = 0, list(node.children)
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            size += len(" ".join(x.split()))
+            if size > SHORT:
+                return False
+        elif x.tag in BLOCK and not (node.tag in ("tr", "thead") and x.tag in ("tr", "td", "th")):
+            return False
+        else:
+            stack += x.children
+    return True
 
 
-def main_text(root: Node, templates: set[int] = frozenset()) -> str:
-    """Blocks of the main text, joined by newlines."""
+def main_text(root: Node, templates: set[int] = frozenset(), common: set[int] | None = None) -> str:
+    """Blocks of the main text, joined by newlines; ``common`` are the templates that many of the host's pages hold (None: all)."""
+    common = templates if common is None else common
     if templates:
         hashes(root)
     mains, kept = _mains(root)
@@ -200,7 +237,7 @@ def main_text(root: Node, templates: set[int] = frozenset()) -> str:
             own_main = node.tag in MAIN and enter and inside
             if not own_main and _dropped(node, inside, kept):
                 continue
-            if node.hash in templates and node.tag not in MAIN and node.tag not in ("html", "body") and not (inside and (node.tag in TEXT or node.tag not in BLOCK or _holds_text(node))):
+            if node.hash in templates and node.tag not in MAIN and node.tag not in ("html", "body") and not ((inside or node.hash not in common) and _short_text(node)):
                 flush() if node.tag in BLOCK else None
                 continue
             block = node.tag in BLOCK
@@ -217,30 +254,49 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): the hashes of each host's recurring subtrees."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, hash, within) for each different page: a hash of the html, and ``held`` of it; the page's own row has a null hash."""
 
-    def hashed(htmls: pd.Series) -> pd.Series:
-        return pd.Series([list(hashes(parse(x or ""))) for x in htmls])
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 256):
+                out: tuple[list, list, list, list] = ([], [], [], [])
+                for host, page, body in frame.iloc[at : at + 256].itertuples(index=False, name=None):
+                    own, found = held(parse(body or ""))
+                    out[0].extend([host] * (len(found) + 1))
+                    out[1].extend([page] * (len(found) + 1))
+                    out[2].extend([None, *found])
+                    out[3].extend([own, *found.values()])
+                yield pd.DataFrame({"host": out[0], "page": pd.Series(out[1], dtype="int64"), "hash": pd.Series(out[2], dtype="Int64"), "within": pd.Series(out[3], dtype="int64")})
 
-    hashed.__annotations__ = {"htmls": pd.Series, "return": pd.Series}
-    hosts = pages.select(host_of(F.col("url")).alias("host"), "html")
-    held = hosts.select("host", F.explode(F.pandas_udf(hashed, "array<long>")("html")).alias("hash")).groupBy("host", "hash").count().where(F.col("count") >= min_pages)
-    sizes = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return held.join(sizes, "host").where(F.col("count") >= min_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+    return pages.select("host", "page", "html").mapInPandas(hashed, "host string, page long, hash long, within long")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text and n_chars for every row of ``pages(page_id, url, html)``."""
-    known = C.stored(templates(pages, min_pages, min_share), "templates")
+def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, hash, common): each host's recurring subtrees, and whether ``min_share`` of its pages hold them."""
+    counts = found.select("host", "hash", "within").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
+    least = F.least(F.lit(min_pages), F.floor(F.lit(SMALL_SHARE) * F.col("pages")) + 1)
+    known = counts.where("hash IS NOT NULL AND n > 1").join(sizes, "host").where(F.col("n") >= least)
+    return known.select("host", "hash", (F.col("n") >= min_share * F.col("pages")).alias("common"))
 
-    def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for htmls, own in batches:
-            yield pd.Series([main_text(parse(x or ""), frozenset(t.tolist() if t is not None else ())) for x, t in zip(htmls, own, strict=True)])
 
-    extracted.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")).join(known, "host", "left")
-    return rows.select("page_id", "url", F.pandas_udf(extracted, "string")("html", "templates").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """page_id, url, text and n_chars for every row of ``pages(page_id, url, html)``."""
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host")).withColumn("page", F.xxhash64("html"))
+    found = C.stored(subtrees(rows), "subtrees")
+    known = templates(found, min_pages, min_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = found.where("hash IS NOT NULL").withColumn("salt", F.pmod(F.col("page"), F.lit(SALTS)).cast("int")).join(known, ["host", "hash", "salt"])
+    own = C.stored(own.groupBy("host", "page").agg(F.collect_set(F.when(F.col("common"), F.col("hash"))).alias("common"), F.collect_set(F.when(~F.col("common"), F.col("hash"))).alias("other")), "templates")
+
+    def extracted(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        some = lambda x: frozenset(x.tolist() if x is not None else ())
+        for htmls, commons, others in batches:
+            yield pd.Series([main_text(parse(x or ""), some(c) | some(o), some(c)) for x, c, o in zip(htmls, commons, others, strict=True)], dtype=object)
+
+    extracted.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    # both sides grow with the pages, whatever size the optimiser sees
+    return rows.join(own.hint("merge"), ["host", "page"], "left").select("page_id", "url", F.pandas_udf(extracted, "string")("html", "common", "other").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,20 @@ def test_labels_are_whole_names():
     assert text("<div class='comments-open has-comments'><article><p>Own</p></article></div>") == "Own"
     assert text("<div class='page no-sidebar'><p>Own</p><div class='sidebar'>Side</div><div id='share-buttons'>Share</div></div>") == "Own"
     assert text("<article><p>Own</p><div class=comment-list><article><p>A reader</p></article></div></article>") == "Own"
+
+
+def test_templates_by_count(spark):
+    notice = "<div class='x7'><p>Read our other pages</p></div>"
+    long = "<p>" + "A text that stands on every page. " * 8 + "</p>"
+    page = lambda i, more: f"<body><article><h1>Title</h1><p>Own <em>not</em> {i}</p><table><tr><th>Name<th>Size</tr><tr><td>k<td>{i}</tr></table>{more}</article></body>"
+    rows = [(i, "http://big/", page(i, notice + long if i < 12 else "")) for i in range(100)]
+    rows += [(200 + i, "http://small/", page(i, notice)) for i in range(3)]
+    rows += [(300 + i, "http://plain/", f"<div>Own {'<em>not</em>' if i < 12 else ''} {i}</div>" + ("<div class='x7'>Side</div><p>Yes</p>" if i < 12 else "")) for i in range(100)]
+    rows += [(400 + i, "http://copies/", f"<body>{i}<article><div><p>Same text</p></div></article></body>") for i in range(30)]
+    rows += [(500, "http://rows/", "<div><p>Same row</p></div>")] * 30
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(100):
+        assert got[i] == f"Title\nOwn not {i}\nName\nSize\nk\n{i}"
+    assert [got[200 + i] for i in range(3)] == [f"Title\nOwn not {i}\nName\nSize\nk\n{i}" for i in range(3)]
+    assert all(got[300 + i] == f"Own not {i}\nYes" for i in range(12))
+    assert all(got[400 + i] == "Same text" for i in range(30)) and got[500] == "Same row"
