@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand before; one that loses all its words goes."""
-    out = line_dedup.dedup(docs)
+    """Documents without the lines that stand before, short ones if equal; one that loses all its words goes."""
+    out = line_dedup.dedup(docs, exact_chars=1)
     return out.where((F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(C.BLANKS))) > 0)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

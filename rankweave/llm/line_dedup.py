@@ -1,6 +1,7 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions alone.
 
-Lines are trimmed of ASCII blanks; those of at least ``MIN_CHARS`` characters take part. Two texts within
+Lines are trimmed of ASCII blanks; those of at least ``MIN_CHARS`` characters take part, and from
+``exact_chars`` characters on, where that is given, shorter ones as far as they are equal. Two texts within
 ``tau`` edits (insertions, deletions, substitutions of a character) are linked, and linked texts, however
 far apart along the links, are one class. The first line of a class, by (doc_id, line number), stays;
 every other is removed.
@@ -175,10 +176,10 @@ def linkable(texts: DataFrame, tau: int) -> DataFrame:
     return hits.where(F.col("hits") >= F.col("n") - tau).select("id")
 
 
-def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """id, n, first and cls of every distinct line: its number of lines, first place, and its class (the least id linked)."""
-    tau_keys = keys(F.col("t"), tau)
-    x = lines(docs, min_chars).select("id", _place(F.col("doc_id"), F.col("line")).alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(tau_keys)))
+    tau_keys = [F.when(F.length("t") >= min_chars, k) for k in keys(F.col("t"), tau)] if exact_chars is not None else keys(F.col("t"), tau)
+    x = lines(docs, min_chars if exact_chars is None else exact_chars).select("id", _place(F.col("doc_id"), F.col("line")).alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(tau_keys)))
     names = [f"k{i}" for i in range(len(tau_keys))]
     distinct = C.stored(x.groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *(F.max(k).alias(k) for k in names)), "lines")
     keyed = distinct.select("id", F.explode(F.array_distinct(F.array(*names))).alias("key")).where("key IS NOT NULL")
@@ -197,12 +198,12 @@ def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> Data
     return distinct.select("id", "first", "n").join(found, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
 
 
-def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the removed lines gone from ``text``, and n_lines and n_removed."""
-    book = C.stored(classes(docs, tau, min_chars), "classes")
+    book = C.stored(classes(docs, tau, min_chars, exact_chars), "classes")
     repeated = book.groupBy("cls").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("cls", "first")
     known = book.join(repeated.select("cls", F.col("first").alias("stays")), "cls").select("id", "stays")
-    occurrences = lines(docs, min_chars).select("doc_id", "line", "id")
+    occurrences = lines(docs, min_chars if exact_chars is None else exact_chars).select("doc_id", "line", "id")
     gone = occurrences.join(known, "id").where(_place(F.col("doc_id"), F.col("line")) != F.col("stays")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
     out = docs.join(gone.withColumnRenamed("doc_id", "gone_of"), F.col("doc_id").eqNullSafe(F.col("gone_of")), "left").drop("gone_of")
     parts = F.split("text", "\n")

@@ -55,3 +55,9 @@ def test_mix_meets_targets(spark):
         came[r.source] = came.get(r.source, 0) + len(r.text.split())
         assert r.n_chars == len(r.text)
     assert {s for s, n in want.items() if abs(came.get(s, 0) - n) > mixing.BLOCK} == set()
+
+
+def test_lines_drops_short_repeats(spark):
+    rows = [(1, "Menu\n\nown line one\n\nMenu"), (2, " Menu\nMenus\nanother own line"), (3, "Menu")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in CP.lines(spark, docs, "").collect()} == {1: "Menu\n\nown line one\n", 2: "Menus\nanother own line"}
