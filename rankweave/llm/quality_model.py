@@ -88,7 +88,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELS) -> Model:
     share = min(1.0, most / max(count, 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``most`` rows of 16 bytes
-    rows = C.stored(quality_rules.ledger(texts).select("y", statistics().alias("x"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).alias("fold")), "labelled")
+    rows = C.stored(quality_rules.evaluated(texts).select("y", statistics().alias("x"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).alias("fold")), "labelled")
     about = rows.select("y", *(F.get("x", F.lit(i)).alias(f"x{i}") for i in range(8)))
     sums = about.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), F.min("y").alias("lo"), F.max("y").alias("hi"), *(f(f"x{i}").alias(f"{n}{i}") for i in range(8) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if not sums.n or sums.lo == sums.hi:
@@ -124,7 +124,7 @@ def score(docs: DataFrame, model: Model, keep: list[str | Column] = ("doc_id",))
         return pd.Series(shared.value.scores(_matrix(x)) if len(x) else [], dtype="float64")
 
     scored.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    return quality_rules.ledger(docs).select(*keep, F.pandas_udf(scored, "double")(statistics()).alias("score"))
+    return quality_rules.evaluated(docs).select(*keep, F.pandas_udf(scored, "double")(statistics()).alias("score"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Quality rules as a bitmask ledger, in DataFrame functions alone.
 
 ``ledger`` evaluates every rule once per document and stores the measurements and one long whose bit i
-is set if rule i fails. A policy is a version with a mask of the rules it enforces; ``apply_policy`` and
-``ablations`` work on the ledger by bitwise operations, so a changed policy never reads a text again.
+is set if rule i fails, as a table in the shared folder: a filter on it reads that table, and can't be pushed
+below the measurements, where each use of one would measure the text anew. A policy is a version with a mask
+of the rules it enforces; ``apply_policy`` and ``ablations`` work on the ledger by bitwise operations, so a
+changed policy never measures a text again.
 
 Results of the corner cases: a null text is an empty one; an empty text has all counts 0 and fails
 ``few_words``; repeated rows each get their row; columns beyond text pass through, and those with the name of an output are replaced.
@@ -67,8 +69,8 @@ def _measured(docs: DataFrame) -> DataFrame:
     return df.withColumns(measures).drop("__text", "__words", "__sorted", "__lines", "__again")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``, the measurements of its ``text`` and ``fail_bits`` for every row."""
+def evaluated(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, the measurements of its ``text`` and ``fail_bits`` for every row, not stored."""
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, rule) in enumerate(RULES)]
     total = bits[0]
     for b in bits[1:]:
@@ -76,6 +78,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return _measured(docs).withColumn("fail_bits", total.cast("long"))
 
 
+def ledger(docs: DataFrame) -> DataFrame:
+    """The rows of ``evaluated``, stored."""
+    return C.stored(evaluated(docs), "ledger")
+
+
 def apply_policy(book: DataFrame, version: int = CURRENT) -> DataFrame:
     """Adds ``kept`` and ``reasons``, the names of the enforced rules that fail."""
     hit = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[version]))
@@ -100,7 +107,8 @@ def ablations(book: DataFrame) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = apply_policy(ledger(C.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    book = apply_policy(C.stored(evaluated(docs).drop("text"), "ledger"))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("fail_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "fail_bits")
 
 

@@ -51,5 +51,15 @@ def test_policies_and_ablations(spark):
 
 def test_no_python_in_plan(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
-    plan = Q.apply_policy(Q.ledger(df))._jdf.queryExecution().executedPlan().toString()
+    plan = Q.apply_policy(Q.evaluated(df))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_filter_measures_no_text(spark):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(5000))
+    df = spark.createDataFrame([(1, text, 4), (2, "few words", 5)], "doc_id long, text string, fail_bits int")
+    kept = Q.apply_policy(Q.ledger(df)).where("kept AND n_repeat_words * 2 < n_words")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "sort_array" not in plan
+    assert [(r.doc_id, r.n_words, r.text == text) for r in kept.collect()] == [(1, 5000, True)]
