@@ -70,25 +70,49 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot with more rows than this, and more than 1 / SPREAD of all rows.
+HOT, SPREAD = 10_000, 1000
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, a stored table, unique by ``on``, that tells in ``weight`` how many rows of ``many`` a row meets.
+
+    The rows of hot keys are dealt over several tasks. There are less than SPREAD such keys, so they can be
+    broadcast; the rows of ``few`` for them are repeated for each task, 2 * SPREAD in all at most. ``weight`` is dropped.
+    """
+    seen = few.agg(F.sum(weight).alias("total"), F.max(weight).alias("most")).first()
+    share = max(HOT, -(-(seen.total or 0) // SPREAD))
+    if (seen.most or 0) <= share:
+        return many.join(few.drop(weight), on, how)
+    few = few.withColumn("__salts", F.ceil(F.col(weight) / F.lit(share)).cast("int")).drop(weight)
+    hot = few.where("__salts > 1").select(*on, "__salts")
+    dealt = many.join(F.broadcast(hot), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    few = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))).drop("__salts")
+    return dealt.join(few, [*on, "__salt"], how).drop("__salt")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links(a, b)``, both long; component is the least node reachable.
+    """(node, component) for every node of ``links(a, b)``, of any type with an order; component is the least node reachable.
 
     Alternating large-star and small-star rounds, each a shuffle on nodes with partial minima, until
     nothing changes. Every round is a table in the shared folder; no links come to the driver.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        after = stored(small.where("a <> b").distinct(), "links")
-        mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark(after) == mark(edges):
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    old = mark(edges)
+    while old[0]:
+        # only links to greater nodes move, but a node's least neighbour may be less
+        least = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("k"))
+        least = stored(least.where("k > 0").select("a", F.least("a", "m").alias("m"), "k"), "least")
+        large = salted_join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), least, ["a"], "k").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.where("a <> b").distinct(), "large")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k")), "least")
+        small = salted_join(large, least, ["a"], "k").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        edges = stored(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        new = mark(edges)
+        if new == old:
             break
-        edges = after
+        old = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

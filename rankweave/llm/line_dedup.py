@@ -13,13 +13,16 @@ substrings at the starts that can still be within tau edits on either side. Keys
 Candidates are verified by a bit-parallel edit distance whose machine word holds the band of 2 tau + 1
 diagonals around the main one, so lines of any length take one word.
 
-Equal lines are grouped first, by a 64-bit hash of the text, with partial minima before the shuffle; only
-hashes, not lines, are shuffled for the join, and candidates' texts are fetched by a filter on their ids,
-broadcast if there are at most ``FEW_IDS``, else by a join.
+Equal lines are grouped first, by 126 bits of two hashes of the text, with partial minima before the shuffle.
+The texts of lines that share a key with another, and of these alone, are then fetched once, by a filter on
+their hashes, broadcast if there are at most ``FEW_IDS``, else by a join. For one edit the segments are cut
+finer and finer under the keys that lines still share (``one_edit``), so lines that differ in one place only
+by more than an edit never meet, and pairs are at most as many as lines and keys. For more edits, hubs join
+the lines of a key, and pairs still apart after that are compared all.
 
 Results of the corner cases: a null text stays null, with no lines; an empty text has one line, which is
-empty and stays; repeated rows of a doc_id are told apart by their text and copies of one row are treated
-alike, as the earlier one; columns beyond doc_id and text pass through untouched; a null doc_id comes first.
+empty and stays; rows of one doc_id are told apart by their text, in the order of a hash of it, and copies of
+one row are treated alike, as one; columns beyond doc_id and text pass through untouched; a null doc_id comes first.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ from . import _common as C
 
 #: Edits allowed; characters of a line that takes part at least; candidate ids that may be broadcast (8 bytes each).
 TAU, MIN_CHARS, FEW_IDS = 1, 20, 1_000_000
-#: Chunks of a line that are looked for before its edit distance is taken; characters of the chunks that bound a line's links.
-CHUNKS, SHORT = 12, 4
+#: Chunks of a line that are looked for before its edit distance is taken; characters of the chunks that bound a line's links;
+#: parts into which a key's free part is cut at a time.
+CHUNKS, SHORT, PARTS = 12, 4, 8
 
 
 def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -149,14 +153,83 @@ def verified(pairs: DataFrame, tau: int) -> DataFrame:
 
 
 def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line (number from 0), trimmed text and its 64-bit id, of every line that takes part."""
-    x = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", F.btrim("t", F.lit(C.BLANKS)))
-    return x.where(F.length("t") >= min_chars).withColumn("id", F.xxhash64("t"))
+    """doc_id, text_id (a hash of the row's text), line (number from 0), trimmed text and its two 64-bit hashes, of every line that takes part."""
+    x = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("line", "t")).withColumn("t", F.btrim("t", F.lit(C.BLANKS)))
+    return x.where(F.length("t") >= min_chars).withColumns({"h1": F.xxhash64("t"), "h2": F.xxhash64(F.lit(1), "t")})
 
 
-def _place(doc: Column, line: Column) -> Column:
-    """(doc_id, line) as one number that orders alike: of fixed width, so that hash aggregation can take its least."""
-    return F.coalesce(doc.cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + line, F.lit(Decimal(-(10**37))).cast("decimal(38,0)") + line).cast("decimal(38,0)")
+def _wide(value: Column, bits: int, rest: Column) -> Column:
+    return value.cast("decimal(38,0)") * F.lit(Decimal(1 << bits)).cast("decimal(19,0)") + rest
+
+
+def _place() -> Column:
+    """(doc_id, 30 bits of text_id, line) as one number that orders alike: of fixed width, so that hash aggregation can take its least."""
+    inner = F.col("text_id").bitwiseAND(F.lit((1 << 30) - 1)) * F.lit(1 << 31) + F.col("line")
+    return F.coalesce(_wide(F.col("doc_id"), 61, inner), F.lit(Decimal(-3 * 10**37)).cast("decimal(38,0)") + inner).cast("decimal(38,0)")
+
+
+def _id() -> Column:
+    """126 bits of a line's two hashes as one number."""
+    return _wide(F.col("h1"), 62, F.shiftrightunsigned("h2", 2)).cast("decimal(38,0)")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of ``rows(id, probe, key, ...)`` whose key an indexed line and another line have."""
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("probe")).alias("indexed"))
+    return C.salted_join(rows, C.stored(met.where("k > 1 AND indexed > 0").select("key", "k"), "met"), ["key"], "k", "left_semi")
+
+
+def _halves(texts: DataFrame) -> DataFrame:
+    """(id, probe, key, free): one row for each of the ``keys`` of one edit, with the half that the key leaves free.
+
+    The free part of a probing row is one character longer than those of the indexed rows under its key.
+    """
+    n, t = F.length("t"), F.col("t")
+    rows = []
+    for delta in (0, 1):
+        length = n - delta
+        cut = F.floor(length / 2).cast("int")
+        whole = ((F.lit(1), cut), (cut + 1, length - cut))
+        free = (F.substring(t, cut + 1, n), F.substring(t, F.lit(1), cut + delta))
+        for i, (start, size) in enumerate(whole):
+            row = F.struct(F.lit(delta > 0).alias("probe"), _key(t, length, i, start + (delta if i else 0), size).alias("key"), free[i].alias("free"))
+            rows.append(F.when(length >= 2, row))
+    return texts.select("id", F.explode(F.array_compact(F.array(*rows))).alias("r")).select("id", "r.*")
+
+
+def _finer(rows: DataFrame) -> DataFrame:
+    """Each row's free part cut into ``PARTS`` or fewer: a row for each, which leaves that part free and takes the others into its key."""
+    size = F.length("free") - F.col("probe").cast("int")  # of the indexed rows
+    cut = lambda j: F.floor(j * F.col("size") / PARTS).cast("int")
+    wider = F.col("probe").cast("int")
+
+    def part(j: Column) -> Column:
+        return F.struct(j.alias("j"), cut(j).alias("from"), (cut(j + 1) + wider).alias("to"))
+
+    cuts = rows.withColumn("size", size).withColumn("p", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), part), lambda p: p["to"] - p["from"] > wider)))
+    before, after = F.substring(F.col("free"), F.lit(1), F.col("p.from")), F.substring(F.col("free"), F.col("p.to") + 1, F.length("free"))
+    key = F.when(F.col("size") > 1, F.xxhash64("key", "p.j", before, after)).otherwise(F.col("key"))
+    return cuts.select("id", "probe", key.alias("key"), F.substring(F.col("free"), F.col("p.from") + 1, F.col("p.to") - F.col("p.from")).alias("free"))
+
+
+def one_edit(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``texts(id, t)`` that connect all lines within one edit of each other, as many as lines and keys at most.
+
+    Lines that share a key agree in all but its free part. That part is cut again and again, and only keys
+    that lines still share go on, until it is one character. The indexed lines under a key then differ in
+    that one character, so each is paired with the least of them alone; a line longer by one has two
+    characters there, and is paired with the indexed line that has either of them, of which there is one.
+    """
+    rows = C.stored(_shared(_halves(texts)), "halves")
+    longest = lambda: rows.agg(F.max(F.length("free") - F.col("probe").cast("int"))).first()[0] or 0
+    while longest() > 1:
+        rows = C.stored(_shared(_finer(rows)), "parts")
+    indexed, probes = rows.where("NOT probe"), rows.where("probe")
+    least = indexed.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "a")
+    changed = indexed.join(least, "key").where("a <> id").select("a", F.col("id").alias("b"))
+    either = F.array_distinct(F.array(F.substring("free", 1, 1), F.substring("free", 2, 1)))
+    longer = probes.select(F.col("id").alias("b"), "key", F.explode(either).alias("free")).join(indexed.select(F.col("id").alias("a"), "key", "free"), ["key", "free"])
+    return changed.unionByName(longer.select("a", "b")).distinct()
 
 
 def linkable(texts: DataFrame, tau: int) -> DataFrame:
@@ -176,39 +249,52 @@ def linkable(texts: DataFrame, tau: int) -> DataFrame:
     return hits.where(F.col("hits") >= F.col("n") - tau).select("id")
 
 
-def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """id, n, first and cls of every distinct line: its number of lines, first place, and its class (the least id linked)."""
-    tau_keys = [F.when(F.length("t") >= min_chars, k) for k in keys(F.col("t"), tau)] if exact_chars is not None else keys(F.col("t"), tau)
-    x = lines(docs, min_chars if exact_chars is None else exact_chars).select("id", _place(F.col("doc_id"), F.col("line")).alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(tau_keys)))
-    names = [f"k{i}" for i in range(len(tau_keys))]
-    distinct = C.stored(x.groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *(F.max(k).alias(k) for k in names)), "lines")
-    keyed = distinct.select("id", F.explode(F.array_distinct(F.array(*names))).alias("key")).where("key IS NOT NULL")
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-        return C.stored(lines(docs, min_chars).select("id", "t").join(F.broadcast(ids) if few else ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
+def _linked(texts: DataFrame, tau: int) -> DataFrame:
+    """(id, cls) of every one of ``texts(id, t)`` that is linked with another; cls is the least id reachable."""
 
     def similar(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(C.stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes and much work
+        spread = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes and much work
         return verified(both.repartition(spread, "a", "b"), tau).select("a", "b")
 
-    found = C.hub_links(keyed, similar, linkable=lambda ids: linkable(texts_of(ids), tau)).toDF("id", "cls")
-    return distinct.select("id", "first", "n").join(found, "id", "left").withColumn("cls", F.coalesce("cls", "id"))
+    if tau == 1:
+        return C.components(C.stored(similar(one_edit(texts)), "similar")).toDF("id", "cls")
+    keyed = texts.select("id", F.explode(F.array_distinct(F.array(*keys(F.col("t"), tau)))).alias("key")).where("key IS NOT NULL")
+    return C.hub_links(keyed, similar, linkable=lambda ids: linkable(texts.join(ids, "id", "left_semi"), tau)).toDF("id", "cls")
+
+
+def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """h1, h2, n, first and cls of every line that has a copy or a link: its number, first place, and its class (the least id linked)."""
+    least = min_chars if exact_chars is None else exact_chars
+    tau_keys = [F.when(F.length("t") >= min_chars, k) for k in keys(F.col("t"), tau)] if tau else []
+    x = lines(docs, least).select("h1", "h2", _place().alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(tau_keys)))
+    names = [f"k{i}" for i in range(len(tau_keys))]
+    distinct = C.stored(x.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *(F.max(k).alias(k) for k in names)), "lines")
+    book = distinct.select("h1", "h2", "first", "n", _id().alias("id"))
+    if not names:
+        return book.where("n > 1").withColumn("cls", F.col("id")).drop("id")
+    # the first tau + 1 keys are those of the index
+    keyed = distinct.select("h1", "h2", "first", F.posexplode(F.array(*names)).alias("i", "key")).where("key IS NOT NULL").withColumn("probe", F.col("i") > tau)
+    meet = C.stored(_shared(keyed).select("h1", "h2", "first").distinct(), "meet")
+    few = meet.limit(FEW_IDS + 1).count() <= FEW_IDS
+    there = lines(docs, min_chars).withColumn("place", _place()).join(F.broadcast(meet) if few else meet, ["h1", "h2"]).where("place = first")
+    found = C.stored(_linked(C.stored(there.select(_id().alias("id"), "t").dropDuplicates(["id"]), "texts"), tau), "linked")
+    linked = book.join(found, "id").drop("id")
+    return linked.unionByName(book.where("n > 1").join(found, "id", "left_anti").withColumn("cls", F.col("id")).drop("id"))
 
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the removed lines gone from ``text``, and n_lines and n_removed."""
     book = C.stored(classes(docs, tau, min_chars, exact_chars), "classes")
-    repeated = book.groupBy("cls").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("cls", "first")
-    known = book.join(repeated.select("cls", F.col("first").alias("stays")), "cls").select("id", "stays")
-    occurrences = lines(docs, min_chars if exact_chars is None else exact_chars).select("doc_id", "line", "id")
-    gone = occurrences.join(known, "id").where(_place(F.col("doc_id"), F.col("line")) != F.col("stays")).groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
-    out = docs.join(gone.withColumnRenamed("doc_id", "gone_of"), F.col("doc_id").eqNullSafe(F.col("gone_of")), "left").drop("gone_of")
+    stays = book.groupBy("cls").agg(F.min("first").alias("stays"))
+    known = C.stored(book.join(stays, "cls").select("h1", "h2", "n", "stays"), "known")
+    occurrences = lines(docs, min_chars if exact_chars is None else exact_chars).select("doc_id", "text_id", "line", "h1", "h2")
+    gone = C.salted_join(occurrences, known, ["h1", "h2"], "n").where(_place() != F.col("stays")).groupBy("doc_id", "text_id").agg(F.collect_set("line").alias("gone"))
+    gone = gone.toDF("gone_of", "gone_from", "gone")
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_of")) & (F.xxhash64("text") == F.col("gone_from")), "left").drop("gone_of", "gone_from")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed": F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(parts) - F.size(kept)).cast("long"), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}).drop("gone")
+    return out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"), "n_removed": F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.col("gone"))).cast("long"), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))}).drop("gone")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave.llm import _common as C
 from rankweave.llm import line_dedup as L
 
 
@@ -110,3 +111,35 @@ def test_linkable_loses_no_line(spark, tau):
     near = {i for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau}
     got = {r.id for r in L.linkable(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), tau).collect()}
     assert near and near <= got and len(got) < len(texts)
+
+
+def test_one_edit_makes_few_pairs(spark):
+    rng = random.Random(40)
+    start, end = "a line that many pages show, as of ", " at the latest, all times local"
+    texts = {start + "".join(rng.choice("abcdefghijklmnop") for _ in range(8)) + end for _ in range(250)}
+    texts |= {start + "mm" + x + "mmmmm" + end for x in "abcdefgh"} | {start + "mmxmmmmmm" + end, start + "mmmmmmm" + end}
+    df = spark.createDataFrame(list(enumerate(sorted(texts))), "id long, t string")
+    by_id = {i: x[len(start) : -len(end)] for i, x in enumerate(sorted(texts))}
+    pairs = {tuple(sorted(r)) for r in L.one_edit(df).collect()}
+    near = {(i, j) for i in by_id for j in by_id if i < j and edits(by_id[i], by_id[j]) <= 1}
+    assert near and pairs <= near and len(pairs) < 30
+    groups = {r.node: r.component for r in C.components(spark.createDataFrame(list(pairs), "a long, b long")).collect()}
+    assert all(groups[i] == groups[j] for i, j in near)
+
+
+def test_rows_of_one_doc_id(spark):
+    rows = [(1, "the first text's own line\na line that both texts hold"), (1, "the other text's own line\na line that both texts hold"), (1, "the other text's own line\na line that both texts hold"), (2, "a line that both texts hold")]
+    got = sorted((r.doc_id, r.n_removed, r.text.split("\n")[0]) for r in L.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [g[0] for g in got] == [1, 1, 1, 2] and got[3][1] == 1
+    removed = {own: n for _, n, own in got[:3]}
+    assert sorted(removed.values()) == [0, 1] and len(removed) == 2
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT", 5)
+    many = spark.createDataFrame([(k, i) for i in range(300) for k in (0, i)], "key long, x long")
+    few = many.groupBy("key").agg(F.count(F.lit(1)).alias("k")).withColumn("label", F.col("key") * 2).where("key % 2 = 0")
+    assert sorted(map(tuple, C.salted_join(many, few, ["key"], "k").collect())) == sorted((k, i, 2 * k) for i in range(300) for k in (0, i) if k % 2 == 0)
+    links = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)]
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(60)} | {100 + i: 100 for i in range(31)}
