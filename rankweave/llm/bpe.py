@@ -6,8 +6,9 @@ one per rank; a bitmap of three levels finds the lowest rank that has any, by fi
 word a level. Positions form a doubly linked list, and a bucket entry whose pair has changed since is
 skipped when it comes up. A pre-token of n bytes takes O(n log n), however long it is.
 
-Short pre-tokens that aren't in the cache go through one queue together, thousands at a time: a popped
-rank merges, in each pre-token, its leftmost pair of that rank, in one step of array operations.
+Texts of up to ``TOGETHER`` bytes in all are encoded together. Their distinct short pre-tokens go through one
+queue, thousands at a time: a popped rank merges, in each pre-token, its leftmost pair of that rank, in one
+step of array operations. The ids of each are then put where it stands, also in array steps.
 
 Results of the corner cases: a null text is an empty one; an empty text has no ids and decodes to no
 bytes; text that looks like a special token is ordinary text; unknown ids stop decoding with an error.
@@ -21,19 +22,23 @@ import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A rank file over this is refused: it is broadcast to every executor.
 MAX_RANK_FILE = 64 << 20
-#: Distinct short pre-tokens that one Python worker remembers, and the longest it does.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 64
-#: Characters of texts whose new pre-tokens are merged together; longer texts are split piece by piece.
-TOGETHER = 2_000_000
+#: Distinct short pre-tokens of the texts before that one Python worker remembers, and the most bytes of a short one.
+CACHE_ENTRIES, SHORT = 300_000, 256
+#: Bytes of texts that are encoded together; longer texts are split piece by piece.
+TOGETHER = 8_000_000
+#: Ids that are decoded together.
+IDS = 1_000_000
 
 
 class RankQueue:
@@ -98,13 +103,32 @@ class Pieces:
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(pieces), "u1")
 
-    def decode(self, ids: bytes) -> bytes:
-        ids = np.frombuffer(ids, "<u4").astype("int64")
-        lengths = self.lengths[ids]
-        if len(ids) and not lengths.all():
+    def _flat(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of ids, and where those of each end."""
+        lengths = self.lengths[np.minimum(ids, len(self.lengths) - 1)]
+        if not lengths.all() or (len(ids) and ids.max() >= len(self.lengths)):
             raise ValueError("ids without a token")
         ends = np.cumsum(lengths)
-        return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        return self.flat[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes(), ends
+
+    def decode(self, ids: bytes) -> bytes:
+        ids = np.frombuffer(ids, "<u4")
+        return b"".join(self._flat(ids[i : i + IDS])[0] for i in range(0, len(ids), IDS))
+
+    def decode_array(self, packed: pa.Array) -> Iterator[pa.Array]:
+        """The bytes of each row of packed ids, in arrays that follow each other."""
+        sizes = np.asarray(pc.fill_null(pc.binary_length(packed), 0)) // 4
+        i = 0
+        while i < len(packed):
+            j = max(i + int(np.searchsorted(np.cumsum(sizes[i:], dtype="int64"), IDS, side="right")), i + 1)
+            if j == i + 1:
+                yield pa.array([self.decode(packed[i].as_py() or b"")], pa.binary())
+            else:
+                own = b"".join(x or b"" for x in packed.slice(i, j - i).to_pylist())
+                data, ends = self._flat(np.frombuffer(own, "<u4"))
+                stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes[i:j])])].astype("i4")
+                yield pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(stops.tobytes()), pa.py_buffer(data)])
+            i = j
 
 
 def ranks_of(raw: bytes) -> dict[bytes, int]:
@@ -115,8 +139,8 @@ class ByteBpe:
     """The rank table of a byte-level BPE and its pattern.
 
     ``cut_at_spaces`` may be set for a pattern none of whose matches has a space after its first
-    character, other than matches of blanks alone: a text without double spaces can then be cut before
-    every space first, and what lies between is cached whole.
+    character, other than matches of blanks alone, and that matches a run of ASCII letters, with a space
+    before it or not, whole: a text without double spaces can then be cut before every space first.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cut_at_spaces: bool = False):
@@ -124,8 +148,10 @@ class ByteBpe:
         self.longest = max(map(len, ranks))
         self.pattern = regex.compile(pattern)
         self.n_ranks = max(ranks.values()) + 1
-        self.cache: dict[str, bytes] = {}
-        self.decode = Pieces(ranks).decode
+        self.cache: dict[bytes, bytes] = {}
+        self.packed = {piece: i.to_bytes(4, "little") for piece, i in ranks.items()} | {b"": b""}
+        self.pieces = Pieces(ranks)
+        self.decode = self.pieces.decode
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], dtype="int64")
         pairs, made = array("q"), array("q")  # every pair of tokens that make a token
         for piece, i in ranks.items():
@@ -233,63 +259,79 @@ class ByteBpe:
         stops = (np.cumsum(counts) * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def _chunks(self, text: str) -> list[str]:
-        if self.cut_at_spaces and "  " not in text and "\0" not in text:
-            return text.replace(" ", "\0 ").split("\0") if text else []
-        return self.pattern.findall(text)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts chunks into the cache."""
-        if len(self.cache) + len(chunks) > CACHE_ENTRIES:
-            self.cache.clear()
-        short, owners = {}, []
-        for chunk in chunks:
-            own = [x.encode() for x in self.pattern.findall(chunk)] if self.cut_at_spaces else [chunk.encode()]
-            owners.append((chunk, own))
-            for x in own:
-                if x not in short:
-                    if (whole := self.ranks.get(x)) is not None:
-                        short[x] = whole.to_bytes(4, "little")
-                    elif len(x) > 4 * CACHE_CHARS:
-                        short[x] = np.asarray(self.merge(x), "<u4").tobytes()
-                    else:
-                        short[x] = None
-        open_ = [x for x, ids in short.items() if ids is None]
-        short.update(zip(open_, self.merge_all(open_), strict=True))
-        for chunk, own in owners:
-            self.cache[chunk] = short[own[0]] if len(own) == 1 else b"".join(map(short.__getitem__, own))
+    def _learned(self, chunks: pa.Array) -> pa.Array:
+        """Packed ids of each of distinct chunks."""
+        if self.cut_at_spaces:
+            whole = np.asarray(pc.match_substring_regex(chunks, "^ ?[A-Za-z]+$"))
+        else:
+            whole = np.ones(len(chunks), dtype=bool)
+        raw = chunks.cast(pa.binary()).to_pylist()
+        parts = {k: [x.encode() for x in self.pattern.findall(raw[k].decode())] for k in np.flatnonzero(~whole).tolist()}
+        pieces = list(dict.fromkeys(chain((raw[k] for k in np.flatnonzero(whole).tolist()), *parts.values())))
+        packed, before = self.packed.get, self.cache.get
+        known = {x: packed(x) or before(x) for x in pieces}
+        open_ = []
+        for x in pieces:
+            if known[x] is None:
+                if len(x) > SHORT:
+                    known[x] = np.asarray(self.merge(x), "<u4").tobytes()
+                else:
+                    open_.append(x)
+        known.update(zip(open_, self.merge_all(open_), strict=True))
+        self.cache = {x: known[x] for x in pieces if len(known[x]) > 4 and len(x) <= SHORT} if len(pieces) <= CACHE_ENTRIES else {}
+        ids = known.__getitem__
+        return pa.array([b"".join(map(ids, parts[k])) if k in parts else ids(x) for k, x in enumerate(raw)], pa.binary())
+
+    def _together(self, lists: pa.ListArray) -> pa.Array:
+        """Packed ids of texts given as lists of chunks: each distinct chunk is encoded once, and their ids are put in place."""
+        coded = lists.flatten().dictionary_encode()
+        ids = self._learned(coded.dictionary).take(coded.indices)
+        if not len(ids):
+            return pa.array([b""] * len(lists), pa.binary())
+        _, starts, data = ids.buffers()
+        starts = np.frombuffer(starts, "i4")[ids.offset : ids.offset + len(ids) + 1]
+        ends = starts[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), data])
 
     def _long(self, text: str) -> bytes:
-        out = []
+        """Piece by piece: for texts whose pieces are too many to be held at a time."""
+        out, cache = [], {}
         for m in self.pattern.finditer(text):
             piece = m.group()
-            if (ids := self.cache.get(piece)) is None:
+            if (ids := cache.get(piece)) is None:
                 ids = np.asarray(self.merge(piece.encode()), "<u4").tobytes()
-                if len(piece) <= CACHE_CHARS and not self.cut_at_spaces:
-                    self.cache[piece] = ids
+                if len(piece) <= SHORT and len(cache) < CACHE_ENTRIES:
+                    cache[piece] = ids
             out.append(ids)
         return b"".join(out)
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
+    def _group(self, texts: pa.Array) -> pa.Array:
+        if not self.cut_at_spaces:
+            return self._together(pa.array([self.pattern.findall(x) for x in texts.to_pylist()], pa.list_(pa.string())))
+        other = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, "\0"))
+        cut = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(other)), " ", "\0 "), "\0")
+        rest = pa.array([["", *self.pattern.findall(x)] for x in texts.filter(other).to_pylist()], pa.list_(pa.string()))
+        place = np.argsort(np.argsort(np.asarray(other), kind="stable"), kind="stable")
+        return self._together(pa.concat_arrays([cut, rest])).take(pa.array(place))
+
+    def encode_array(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """Ids of each text, as little-endian unsigned 32-bit integers, in arrays that follow each other."""
+        texts = pc.fill_null(texts, "")
+        sizes = np.asarray(pc.binary_length(texts))
         i = 0
         while i < len(texts):
-            if len(texts[i]) > TOGETHER:
-                yield self._long(texts[i])
+            if sizes[i] > TOGETHER:
+                yield pa.array([self._long(texts[i].as_py())], pa.binary())
                 i += 1
                 continue
-            group, size = [], 0
-            while i < len(texts) and size + len(texts[i]) <= TOGETHER:
-                group.append(self._chunks(texts[i]))
-                size += len(texts[i])
-                i += 1
-            new = set().union(*group).difference(self.cache)
-            if new:
-                fits = len(self.cache) + len(new) <= CACHE_ENTRIES
-                self._learn(list(new) if fits else list(set().union(*group)))
-            get = self.cache.__getitem__
-            for chunks in group:
-                yield b"".join(map(get, chunks))
+            j = max(i + int(np.searchsorted(np.cumsum(sizes[i:], dtype="int64"), TOGETHER, side="right")), i + 1)
+            yield self._group(texts.slice(i, j - i))
+            i = j
+
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, as little-endian unsigned 32-bit integers."""
+        for part in self.encode_array(pa.array(texts, pa.string())):
+            yield from part.to_pylist()
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_batch([text]))
@@ -346,8 +388,6 @@ class _Buckets(RankQueue):
         return at, np.array(self.buckets.pop(at))
 
 
-#: Rows of a batch that are Python objects at a time.
-ROWS = 1000
 _loaded: dict[tuple, ByteBpe | Pieces] = {}
 
 
@@ -368,13 +408,9 @@ def _raw(path: str) -> bytes:
     return raw
 
 
-def _parts(batch: pa.Array) -> Iterator[pa.Array]:
-    for i in range(0, max(len(batch), 1), ROWS):
-        yield batch.slice(i, ROWS)
-
-
 def _joined(parts: Iterator[pa.Array]) -> pa.Array:
-    return pa.concat_arrays(list(parts))
+    parts = list(parts)
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids", cut_at_spaces: bool = False) -> DataFrame:
@@ -388,7 +424,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _table(*shared.value)
         for batch in batches:
-            yield _joined(pa.array(bpe.encode_batch([x or "" for x in part.to_pylist()]), pa.binary()) for part in _parts(batch))
+            yield _joined(bpe.encode_array(batch))
 
     return docs.withColumn(out_col, ids(F.col(text_col).cast("string")))
 
@@ -401,14 +437,28 @@ def decode(docs: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str =
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _table(shared.value, None)
         for batch in batches:
-            yield _joined(pa.array([pieces.decode(x or b"") for x in part.to_pylist()], pa.binary()) for part in _parts(batch))
+            yield _joined(pieces.decode_array(batch))
 
     return docs.withColumn(out_col, back(F.col(ids_col)))
 
 
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", cut_at_spaces: bool = False) -> DataFrame:
+    """Adds ``ids`` and ``decoded`` as encode() and decode() would, in one pass through the Python workers."""
+    shared = docs.sparkSession.sparkContext.broadcast((_raw(rank_file), pattern, cut_at_spaces))
+
+    @F.arrow_udf("struct<ids binary, decoded binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = _table(*shared.value)
+        for batch in batches:
+            ids = _joined(bpe.encode_array(batch))
+            yield pa.StructArray.from_arrays([ids, _joined(bpe.pieces.decode_array(ids))], ["ids", "decoded"])
+
+    return docs.withColumn("__both", both(F.col(text_col).cast("string"))).withColumns({"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")
+
+
 def digests(docs: DataFrame, rank_file: str, pattern: str, cut_at_spaces: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs(doc_id, text)``, through encode() and decode()."""
-    both = decode(encode(docs.select("doc_id", "text"), rank_file, pattern, cut_at_spaces=cut_at_spaces).select("doc_id", "ids"), rank_file)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``docs(doc_id, text)``, through round_trip()."""
+    both = round_trip(docs.select("doc_id", "text"), rank_file, pattern, cut_at_spaces=cut_at_spaces).select("doc_id", "ids", "decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -4,6 +4,7 @@ import random
 import struct
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -87,9 +88,21 @@ def test_frame(spark):
     for i, text, _ in rows:
         want = packed(text or "")
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(want) // 4, hashlib.sha256(want).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+        plain = bpe.decode(bpe.encode(df.where(df.doc_id == i), PATH, P.PATTERN), PATH).first()
+        assert (bytes(plain.ids), bytes(plain.decoded)) == (want, (text or "").encode())
     assert bpe.digests(df.limit(0), PATH, P.PATTERN).count() == 0
 
 
+def test_decode_in_slices(monkeypatch):
+    rng = random.Random(12)
+    rows = [packed("".join(rng.choice("abcde é") for _ in range(rng.randrange(80)))) for _ in range(200)] + [None, b"", packed("long " * 100)]
+    monkeypatch.setattr(bpe, "IDS", 50)
+    got = [x for part in OURS.pieces.decode_array(pa.array(rows, pa.binary())) for x in part.to_pylist()]
+    assert got == [LIB.decode_bytes(list(struct.unpack(f"<{len(x or b'') // 4}I", x or b""))) for x in rows]
+    with pytest.raises(ValueError):
+        OURS.decode(struct.pack("<I", 50_256 - 1) + b"\xff\xff\0\0")
+
+
 def test_rank_file_bound(monkeypatch, spark):
     monkeypatch.setattr(bpe, "MAX_RANK_FILE", 10)
     with pytest.raises(ValueError):
