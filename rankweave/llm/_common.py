@@ -5,9 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from pathlib import Path
-
 from collections.abc import Callable
+from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,46 +116,58 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _labelled(keyed: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Adds ``label``, the component of an id so far."""
-    if found is None:
-        return keyed.withColumn("label", F.col("id"))
-    return keyed.join(found.toDF("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+def wide_id(high: Column, low: Column) -> Column:
+    """126 bits of two 64-bit hashes as one number, which hash aggregation can take the least of."""
+    return (high.cast("decimal(38,0)") * F.lit(Decimal(1 << 62)).cast("decimal(19,0)") + F.shiftrightunsigned(low, 2)).cast("decimal(38,0)")
+
 
+def _apart(now: DataFrame) -> DataFrame:
+    """The rows of ``now(key, id, label, ...)`` under whose key there are two labels."""
+    found = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high")
+    return stored(salted_join(now, stored(found.select("key", "k"), "apart"), ["key"], "k", "left_semi"), "now")
 
-def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], hub_rounds: int = 3, linkable: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+
+def _bounded(now: DataFrame, book: DataFrame) -> DataFrame:
+    """``now`` with the columns of ``book(id, size, most, own)``, without the rows for which the sizes under their key rule out every partner."""
+    now = stored(now.join(book, "id"), "now")
+    sizes = now.groupBy("key").agg(F.min("size").alias("smallest"), F.max("most").alias("largest"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return salted_join(now, stored(sizes, "sizes"), ["key"], "k").where("smallest <= most AND size <= largest").drop("smallest", "largest")
+
+
+def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], linkable: Callable[[DataFrame], DataFrame], hub_rounds: int = 3) -> DataFrame:
     """(id, component) of every id that ``similar`` links with another that shares a key with it.
 
     ``keyed(key, id)``: candidates share a key. ``similar`` keeps the pairs (a, b) that are linked. In each
-    round, the members of a key that are not yet in one component are compared with one of them, the hub;
-    after ``hub_rounds`` rounds all pairs of a key that are still apart are. A group that hubs join costs
-    its size a round, not its square, and no link between components is lost. After the first round,
-    ``linkable`` may drop ids, of those still apart from some of their candidates, that a bound shows to
-    have no link at all with another of them.
+    round, the members of a key that are not yet in one component are compared with one of them, the hub:
+    first the one with most keys, then the one with the fewest features of its own, then any. After the first
+    round, ``linkable`` gives for the ids(id) that are still apart from some of their candidates their size,
+    the greatest size ``most`` that a partner can have, and the number of features ``own`` that no other of
+    them has; ids for which a bound on these rules out any link may be left out. Partners fit if each one's
+    size is within the other's bound. After ``hub_rounds`` rounds all pairs of a key that fit and are still
+    apart are compared. A group that hubs join costs its size a round, not its square, so do the members that
+    no size under their keys fits, and no link between components is lost.
     """
     spark = keyed.sparkSession
-    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    keyed = stored(keyed.join(several, "key"), "keys")
-    edges, found, tried = None, None, None
+    several = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
+    keyed = stored(salted_join(keyed, several, ["key"], "k", "left_semi"), "keys")
+    now = keyed.join(keyed.groupBy("id").agg((-F.count(F.lit(1))).alias("own")), "id").withColumn("label", F.col("id"))
+    edges, tried, found = None, None, None
     for turn in range(hub_rounds + 1):
-        if turn == 1 and linkable is not None:
-            now = _labelled(keyed, found)
-            apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-            ids = stored(now.join(apart, "key", "left_semi").select("id").distinct(), "ids")
-            keyed = stored(keyed.join(apart, "key", "left_semi").join(linkable(ids), "id", "left_semi"), "keys")
-        now = _labelled(keyed, found)
-        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        now = _apart(now)
+        if turn == 1:
+            ids = stored(now.select("id").distinct(), "ids")
+            now = _apart(_bounded(now.drop("own"), linkable(ids)))
+        if now.isEmpty():
+            break
+        fits = "size <= other.most AND other.size <= most" if turn else "true"
+        names = ["id", "label", *(["size", "most"] if turn else [])]
         if turn < hub_rounds:
-            # first the least id, then whichever has the least hash under the round's salt
-            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            rank = F.struct(order.alias("h"), F.col("id").alias("hub"), F.col("label").alias("hub_label"))
-            hubs = now.join(apart, "key").groupBy("key").agg(F.min(rank).alias("r")).select("key", "r.hub", "r.hub_label")
-            pairs = now.join(hubs, "key").where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("own") if turn > 1 else F.col("own"), *names)
+            hubs = stored(now.groupBy("key").agg(F.min(order).alias("other"), F.count(F.lit(1)).alias("k")), "hubs")
+            pairs = salted_join(now, hubs, ["key"], "k").where(f"label <> other.label AND {fits}")
         else:
-            left = now.join(apart, "key")
-            other = left.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(other, "key").where("id < b AND label <> lb").select(F.col("id").alias("a"), "b")
-        pairs = pairs.distinct()
+            pairs = now.join(now.select("key", F.struct(*names).alias("other")), "key").where(f"id < other.id AND label <> other.label AND {fits}")
+        pairs = pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -164,7 +176,6 @@ def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], hub_r
         new = stored(similar(pairs), "similar")
         tried = pairs if tried is None else tried.unionByName(pairs)
         edges = new if edges is None else edges.unionByName(new)
-        found = stored(components(edges), "components")
-    if found is None:
-        return spark.createDataFrame([], "id long, component long")
-    return found.toDF("id", "component")
+        found = stored(components(edges), "components").toDF("id", "component")
+        now = now.drop("label").join(found.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    return spark.createDataFrame([], keyed.select("id", F.col("id").alias("component")).schema) if found is None else found

@@ -168,11 +168,6 @@ def _place() -> Column:
     return F.coalesce(_wide(F.col("doc_id"), 61, inner), F.lit(Decimal(-3 * 10**37)).cast("decimal(38,0)") + inner).cast("decimal(38,0)")
 
 
-def _id() -> Column:
-    """126 bits of a line's two hashes as one number."""
-    return _wide(F.col("h1"), 62, F.shiftrightunsigned("h2", 2)).cast("decimal(38,0)")
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows of ``rows(id, probe, key, ...)`` whose key an indexed line and another line have."""
     met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.count_if(~F.col("probe")).alias("indexed"))
@@ -233,7 +228,7 @@ def one_edit(texts: DataFrame) -> DataFrame:
 
 
 def linkable(texts: DataFrame, tau: int) -> DataFrame:
-    """The ids of ``texts(id, t)`` that may be within tau edits of another of them.
+    """id, size, most and own (see ``hub_links``) of those of ``texts(id, t)`` that may be within tau edits of another of them.
 
     tau edits touch at most tau of a line's short chunks; each other chunk stands in the other line at most
     tau places off. A line more of whose chunks no other line has near their place is alone.
@@ -246,7 +241,8 @@ def linkable(texts: DataFrame, tau: int) -> DataFrame:
     near = starts(F.length("t") + tau).withColumn("from", F.explode(places)).select("id", F.xxhash64("at", chunk(F.col("from"))).alias("c"))
     held = near.groupBy("c").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     hits = own.join(held, "c").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("lo") != F.col("id")) | (F.col("hi") != F.col("id"))).alias("hits"))
-    return hits.where(F.col("hits") >= F.col("n") - tau).select("id")
+    own = hits.where(F.col("hits") >= F.col("n") - tau).select("id", (F.col("n") - F.col("hits")).alias("own"))
+    return texts.join(own, "id").select("id", F.length("t").cast("long").alias("size"), (F.length("t") + tau).cast("long").alias("most"), "own")
 
 
 def _linked(texts: DataFrame, tau: int) -> DataFrame:
@@ -260,7 +256,7 @@ def _linked(texts: DataFrame, tau: int) -> DataFrame:
     if tau == 1:
         return C.components(C.stored(similar(one_edit(texts)), "similar")).toDF("id", "cls")
     keyed = texts.select("id", F.explode(F.array_distinct(F.array(*keys(F.col("t"), tau)))).alias("key")).where("key IS NOT NULL")
-    return C.hub_links(keyed, similar, linkable=lambda ids: linkable(texts.join(ids, "id", "left_semi"), tau)).toDF("id", "cls")
+    return C.hub_links(keyed, similar, lambda ids: linkable(texts.join(ids, "id", "left_semi"), tau)).toDF("id", "cls")
 
 
 def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -270,7 +266,7 @@ def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_c
     x = lines(docs, least).select("h1", "h2", _place().alias("place"), *(k.alias(f"k{i}") for i, k in enumerate(tau_keys)))
     names = [f"k{i}" for i in range(len(tau_keys))]
     distinct = C.stored(x.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *(F.max(k).alias(k) for k in names)), "lines")
-    book = distinct.select("h1", "h2", "first", "n", _id().alias("id"))
+    book = distinct.select("h1", "h2", "first", "n", C.wide_id(F.col("h1"), F.col("h2")).alias("id"))
     if not names:
         return book.where("n > 1").withColumn("cls", F.col("id")).drop("id")
     # the first tau + 1 keys are those of the index
@@ -278,7 +274,7 @@ def classes(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, exact_c
     meet = C.stored(_shared(keyed).select("h1", "h2", "first").distinct(), "meet")
     few = meet.limit(FEW_IDS + 1).count() <= FEW_IDS
     there = lines(docs, min_chars).withColumn("place", _place()).join(F.broadcast(meet) if few else meet, ["h1", "h2"]).where("place = first")
-    found = C.stored(_linked(C.stored(there.select(_id().alias("id"), "t").dropDuplicates(["id"]), "texts"), tau), "linked")
+    found = C.stored(_linked(C.stored(there.select(C.wide_id(F.col("h1"), F.col("h2")).alias("id"), "t").dropDuplicates(["id"]), "texts"), tau), "linked")
     linked = book.join(found, "id").drop("id")
     return linked.unionByName(book.where("n > 1").join(found, "id", "left_anti").withColumn("cls", F.col("id")).drop("id"))
 

@@ -5,12 +5,14 @@ minhashes, give SIDE * SIDE table keys, one for every pair of a band of the firs
 as many tables of 2 * ROWS minhashes as would else take ROWS * SIDE * SIDE * 2 of them. At a similarity
 of 0.8, two documents share no key with a probability of 2 * (1 - 0.8 ** ROWS) ** SIDE.
 
-Documents of one set are one class. In each table, classes under a key are compared with a hub, the least
-class of the key, and a pair counts if the similarity of the full sets reaches the threshold. Classes that
-are not joined with their hub then meet the other members in further rounds, whose hubs are drawn anew
-from what is still apart; after ``HUB_ROUNDS`` rounds the pairs of a key that are still apart are compared
-all. So a large group of near copies, which its hubs join, never makes all its pairs, and no link between
-components is lost.
+Documents of one set are one class. A band's value that one class alone has makes no key, so most classes
+have none. In each table, classes under a key are compared with a hub, the class of the key that has most
+keys, and a pair counts if the similarity of the full sets reaches the threshold. Classes that are not joined
+with their hub then meet the other members in further rounds: first the one with the fewest shingles that no
+other has, which is nearest to what the copies of a text have in common, then any. A class none of whose
+candidates has a size that its own shingles leave possible goes before that. After ``HUB_ROUNDS`` rounds the
+pairs of a key that are still apart, and whose sizes and own shingles don't rule out a link, are compared all.
+So a large group of near copies never makes all its pairs, and no link between components is lost.
 
 Results of the corner cases: a null text, an empty one or one of blanks has no shingle, no link, and is
 its own component; fewer words than a shingle takes are one shingle; repeated rows are nodes of their own
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -108,13 +110,16 @@ class _Sets:
         return shingles(np.fromiter(map(self.get, words), "uint64", len(words)), self.size)
 
 
-def _cls(grams: np.ndarray) -> int | None:
-    """The number of a set's class: a 64-bit hash of the set."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+def _cls(grams: np.ndarray) -> tuple[int | None, int | None]:
+    """The two halves of a set's 128-bit hash."""
+    if not len(grams):
+        return None, None
+    h = xxhash.xxh3_128_intdigest(grams.tobytes())
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
 def _signed(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
-    """doc_id, n_shingles, cls, and the bands of either collection, in one pass over the texts."""
+    """doc_id, n_shingles, cls (126 bits of the set's hash), and the bands of either collection, in one pass over the texts."""
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sets = _Sets(size)
@@ -127,11 +132,13 @@ def _signed(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
                 cls.append(_cls(x))
                 a.append(None if low[0] is None else low[0].view("int64"))
                 b.append(None if low[1] is None else low[1].view("int64"))
-            yield pd.DataFrame({"n_shingles": counts, "cls": pd.array(cls, dtype="Int64"), "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+            c1, c2 = (pd.array([c[i] for c in cls], dtype="Int64") for i in (0, 1))
+            yield pd.DataFrame({"n_shingles": counts, "c1": c1, "c2": c2, "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
 
     found.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    signs = F.pandas_udf(found, "n_shingles long, cls long, a array<long>, b array<long>")(F.col("text").cast("string"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), signs.alias("s")).select("doc_id", "s.*")
+    signs = F.pandas_udf(found, "n_shingles long, c1 long, c2 long, a array<long>, b array<long>")(F.col("text").cast("string"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signs.alias("s")).select("doc_id", "s.*")
+    return out.select("doc_id", "n_shingles", C.wide_id(F.col("c1"), F.col("c2")).alias("cls"), "a", "b")
 
 
 def _grams(docs: DataFrame, size: int) -> DataFrame:
@@ -141,50 +148,69 @@ def _grams(docs: DataFrame, size: int) -> DataFrame:
         sets = _Sets(size)
         for f in frames:
             for at in range(0, len(f), 1000):
-                own = [sets(t) for t in f.text.iloc[at : at + 1000]]
-                yield pd.DataFrame({"cls": pd.array([_cls(x) for x in own], dtype="Int64"), "h": pd.Series([x.view("int64") for x in own], dtype=object)})
+                own = [x for x in map(sets, f.text.iloc[at : at + 1000]) if len(x)]
+                cls = [_cls(x) for x in own]
+                yield pd.DataFrame({"c1": pd.array([c[0] for c in cls], dtype="int64"), "c2": pd.array([c[1] for c in cls], dtype="int64"), "h": pd.Series([x.view("int64") for x in own], dtype=object)})
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(found, "cls long, h array<long>").where("cls IS NOT NULL")
+    out = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(found, "c1 long, c2 long, h array<long>")
+    return out.select(C.wide_id(F.col("c1"), F.col("c2")).alias("cls"), "h")
 
 
 def tensor_keys(classes: DataFrame) -> DataFrame:
-    """(key, id): for every class its table keys, one for each pair of a band of ``a`` and one of ``b``."""
-    keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i, j))))
-    return classes.select(F.explode(keys).alias("key"), F.col("cls").alias("id"))
+    """(key, id): the table keys of ``classes(cls, a, b)``, one for each pair of a band of ``a`` and one of ``b``, but for those of bands that no other class has."""
 
+    def side(name: str) -> Column:
+        return F.transform(name, lambda x, i: F.struct(F.lit(name == "a").alias("first"), F.xxhash64(x, i, F.lit(name)).alias("band")))
 
-def _texts(docs: DataFrame, classes: DataFrame, cls: DataFrame) -> DataFrame:
-    """A text or more of each of the classes ``cls(cls)``; ids are broadcast if there are at most ``FEW_IDS``."""
-    ids = C.stored(cls.join(classes.select("cls", "first"), "cls").select(F.col("first").alias("doc_id")).distinct(), "ids")
-    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    rows = classes.select("cls", F.explode(F.concat(side("a"), side("b"))).alias("x")).select("cls", "x.*")
+    shared = C.stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "bands")
+    some = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("band")))
+    both = C.salted_join(rows, shared, ["band"], "k", "left_semi").groupBy("cls").agg(some(True).alias("a"), some(False).alias("b"))
+    keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
+    return both.select(F.explode(keys).alias("key"), F.col("cls").alias("id"))
 
 
-def linkable(ids: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``ids(id)`` that may be similar to another of them.
+class _Full:
+    """The full sets of classes, made again from one text each and stored, as far as they are asked for."""
 
-    Of a set of n shingles, u of which no other of these sets has, the similarity with any of them is
-    (n - u) / n at most. A text with many edits of its own is ruled out without meeting its near copies.
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int):
+        self.docs, self.classes, self.size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), classes, size
+        self.held: DataFrame | None = None
+
+    def __call__(self, cls: DataFrame) -> DataFrame:
+        """A frame (cls, h) that has all of ``cls(cls)``, and maybe others."""
+        if self.held is not None:
+            cls = cls.join(self.held, "cls", "left_anti")
+        ids = C.stored(cls.join(self.classes.select("cls", "first"), "cls").select("cls", F.col("first").alias("doc_id")).distinct(), "ids")
+        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+        texts = self.docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
+        new = C.stored(_grams(texts, self.size).join(ids, "cls", "left_semi").dropDuplicates(["cls"]), "grams")
+        self.held = new if self.held is None else self.held.unionByName(new)
+        return self.held
+
+
+def linkable(ids: DataFrame, full: _Full, percent: int) -> DataFrame:
+    """id, size, most and own (see ``hub_links``) of those of ``ids(id)`` that may be similar to another of them.
+
+    Of a set of n shingles, u of which no other of these sets has, the intersection with any of them has at
+    most n - u, so a partner has at most (100 + percent) * (n - u) / percent - n shingles, and n - u at least.
+    A text with many edits of its own is ruled out without meeting its near copies.
     """
     cls = ids.select(F.col("id").alias("cls"))
-    grams = C.stored(_grams(_texts(docs, classes, cls), size).join(cls, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "h"), "grams")
+    grams = full(cls).join(cls, "cls", "left_semi")
     own = grams.select("cls", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("cls")).where("k = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("u"))
-    n = F.size("h")
-    return grams.join(own, "cls", "left").where(100 * (n - F.coalesce("u", F.lit(0))) >= percent * n).select(F.col("cls").alias("id"))
+    n = F.size("h").cast("long")
+    out = grams.join(own, "cls", "left").select(F.col("cls").alias("id"), n.alias("size"), F.coalesce("u", F.lit(0)).alias("own"))
+    most = F.floor((100 + percent) * (F.col("size") - F.col("own")) / percent).cast("long") - F.col("size")
+    return out.withColumn("most", most).where(F.col("most") >= F.col("size") - F.col("own"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` of classes with 100 * intersection >= percent * union, on the full sets.
-
-    Sizes alone rule out pairs first. The sets of the classes that are left are made again from one text
-    each; the texts are found by a filter on doc_id, broadcast if there are at most ``FEW_IDS``, else by a join.
-    """
+def verified(pairs: DataFrame, classes: DataFrame, full: _Full, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` of classes with 100 * intersection >= percent * union, on the full sets; sizes alone rule out pairs first."""
     sizes = classes.select("cls", "n_shingles")
     close = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
     close = C.stored(close, "close")
-    texts = _texts(docs, classes, close.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    grams = C.stored(_grams(texts, size).dropDuplicates(["cls"]), "grams")
-
+    grams = full(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     both = F.size(F.array_intersect("ha", "hb"))
     similar = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
     return close.join(grams.toDF("a", "ha"), "a").join(grams.toDF("b", "hb"), "b").where(similar).select("a", "b")
@@ -193,12 +219,13 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept for every row of ``docs(doc_id, text)``."""
     signed = C.stored(_signed(docs, shingle, MinHasher(side, rows)), "signed")
-    classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
-    found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, docs, classes, shingle, percent), hub_rounds, lambda ids: linkable(ids, docs, classes, shingle, percent)).toDF("cls", "label")
-    labelled = classes.select("cls", "first", "last").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    full = _Full(docs, classes, shingle)
+    found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, classes, full, percent), lambda ids: linkable(ids, full, percent), hub_rounds).toDF("cls", "label")
+    labelled = classes.select("cls", "first", "last", "n_docs").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, "label").where("first <> last OR first <> component_id").select("cls", F.col("component_id").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    named = labelled.join(least, "label").where("first <> last OR first <> component_id").select("cls", "n_docs", F.col("component_id").alias("c"))
+    out = C.salted_join(signed.select("doc_id", "n_shingles", "cls"), C.stored(named, "named"), ["cls"], "n_docs", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -68,3 +68,21 @@ def test_chain_of_edits_without_a_common_hub(spark):
     want = brute(rows, 2, 80)
     got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
     assert got == {k: c for k, (_, c) in want.items()} and set(got.values()) == {0}
+
+
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    """Copies of one text, each with edits of its own: most are linked with the text, the others with none, and hardly any two copies meet."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(300)}" for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        copy = list(base)
+        for k in rng.sample(range(120), 3 + i % 9):
+            copy[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    seen = []
+    kept = M.verified
+    monkeypatch.setattr(M, "verified", lambda pairs, *rest: seen.append(pairs.count()) or kept(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert got == {k: c for k, (_, c) in brute(rows, 2, 80).items()} and len(set(got.values())) > 10
+    assert sum(seen) < 8 * len(rows) < 149 * 150 // 2
