@@ -134,7 +134,16 @@ def _bounded(now: DataFrame, book: DataFrame) -> DataFrame:
     return salted_join(now, stored(sizes, "sizes"), ["key"], "k").where("smallest <= most AND size <= largest").drop("smallest", "largest")
 
 
-def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], linkable: Callable[[DataFrame], DataFrame], hub_rounds: int = 3) -> DataFrame:
+def _fitting(now: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``now(key, id, label, size, most)`` that share a key, fit and are apart."""
+    other = now.select("key", F.struct("id", "label", "size", "most").alias("other"))
+    pairs = now.join(other, "key").where("id < other.id AND label <> other.label AND size <= other.most AND other.size <= most")
+    return pairs.select(F.col("id").alias("a"), F.col("other.id").alias("b"))
+
+
+def hub_links(
+    keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], linkable: Callable[[DataFrame], DataFrame], hub_rounds: int = 3, last: Callable[[DataFrame], DataFrame] = _fitting
+) -> DataFrame:
     """(id, component) of every id that ``similar`` links with another that shares a key with it.
 
     ``keyed(key, id)``: candidates share a key. ``similar`` keeps the pairs (a, b) that are linked. In each
@@ -143,9 +152,10 @@ def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], linka
     round, ``linkable`` gives for the ids(id) that are still apart from some of their candidates their size,
     the greatest size ``most`` that a partner can have, and the number of features ``own`` that no other of
     them has; ids for which a bound on these rules out any link may be left out. Partners fit if each one's
-    size is within the other's bound. After ``hub_rounds`` rounds all pairs of a key that fit and are still
-    apart are compared. A group that hubs join costs its size a round, not its square, so do the members that
-    no size under their keys fits, and no link between components is lost.
+    size is within the other's bound. After ``hub_rounds`` rounds the pairs (a, b) that ``last`` makes of
+    ``now(key, id, label, size, most, own)`` are compared: all that fit, or those of them that it can't rule
+    out. A group that hubs join costs its size a round, not its square, so do the members that no size under
+    their keys fits, and no link between components is lost.
     """
     spark = keyed.sparkSession
     several = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
@@ -159,15 +169,14 @@ def hub_links(keyed: DataFrame, similar: Callable[[DataFrame], DataFrame], linka
             now = _apart(_bounded(now.drop("own"), linkable(ids)))
         if now.isEmpty():
             break
-        fits = "size <= other.most AND other.size <= most" if turn else "true"
-        names = ["id", "label", *(["size", "most"] if turn else [])]
         if turn < hub_rounds:
-            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("own") if turn > 1 else F.col("own"), *names)
+            fits = "size <= other.most AND other.size <= most" if turn else "true"
+            order = F.struct(F.xxhash64("id", F.lit(turn)).alias("own") if turn > 1 else F.col("own"), "id", "label", *(["size", "most"] if turn else []))
             hubs = stored(now.groupBy("key").agg(F.min(order).alias("other"), F.count(F.lit(1)).alias("k")), "hubs")
             pairs = salted_join(now, hubs, ["key"], "k").where(f"label <> other.label AND {fits}")
+            pairs = pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
         else:
-            pairs = now.join(now.select("key", F.struct(*names).alias("other")), "key").where(f"id < other.id AND label <> other.label AND {fits}")
-        pairs = pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+            pairs = last(now).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")

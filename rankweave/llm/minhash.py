@@ -10,9 +10,10 @@ have none. In each table, classes under a key are compared with a hub, the class
 keys, and a pair counts if the similarity of the full sets reaches the threshold. Classes that are not joined
 with their hub then meet the other members in further rounds: first the one with the fewest shingles that no
 other has, which is nearest to what the copies of a text have in common, then any. A class none of whose
-candidates has a size that its own shingles leave possible goes before that. After ``HUB_ROUNDS`` rounds the
-pairs of a key that are still apart, and whose sizes and own shingles don't rule out a link, are compared all.
-So a large group of near copies never makes all its pairs, and no link between components is lost.
+candidates has a size that its own shingles leave possible goes before that. What is still apart after
+``HUB_ROUNDS`` rounds meets by what it differs in from its hub (``by_differences``): copies with edits of
+their own differ from each other in both their edits, so only such as share edits can be linked. So a large
+group of near copies never makes all its pairs, and no link between components is lost.
 
 Results of the corner cases: a null text, an empty one or one of blanks has no shingle, no link, and is
 its own component; fewer words than a shingle takes are one shingle; repeated rows are nodes of their own
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 #: Bands on either side, minhashes in a band, rounds of hubs.
-SIDE, ROWS, HUB_ROUNDS = 12, 3, 3
+SIDE, ROWS, HUB_ROUNDS = 12, 3, 2
 #: Candidate documents' ids that may be broadcast (8 bytes each).
 FEW_IDS = 1_000_000
 SEED = 41
@@ -205,6 +206,45 @@ def linkable(ids: DataFrame, full: _Full, percent: int) -> DataFrame:
     return out.withColumn("most", most).where(F.col("most") >= F.col("size") - F.col("own"))
 
 
+def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``now(key, id, label, size, own, ...)``, more than one label under each key: all that may be linked and differ in label.
+
+    Each member of a key is described by D, the shingles that it or the key's hub alone has. The union of two
+    sets x and y is larger than their intersection by |Dx| + |Dy| - 2 |Dx and Dy|, which for a link is at most
+    (100 - percent) / (100 + percent) of |x| + |y|. One of the two has another label than the hub, so it isn't
+    linked with the hub and its D is larger than that; hence a link needs common members of Dx and Dy, for
+    each set at least as many as the least possible D of a partner demands. So the two share one of the first
+    |D| - that number + 1 of each D, by rising frequency under the hub; members that no other D has come first.
+    """
+    up, down = 100 + percent, 100 - percent
+    hubs = C.stored(now.groupBy("key").agg(F.min(F.struct("own", "id", "label")).alias("hub"), F.count(F.lit(1)).alias("k")), "hubs")
+    members = C.salted_join(now, hubs, ["key"], "k").where("id <> hub.id").select(F.col("hub.id").alias("hub"), "id", (F.col("label") != F.col("hub.label")).alias("other"), "label").distinct()
+    members = C.stored(members, "members")
+    sets = full(members.select(F.col("id").alias("cls")).unionByName(members.select(F.col("hub").alias("cls"))).distinct())
+    few = C.stored(members.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).join(sets.toDF("hub", "hh"), "hub"), "hubs")
+    both = C.salted_join(members, few, ["hub"], "k").join(sets.toDF("id", "h"), "id")
+    d = F.concat(F.array_except("h", "hh"), F.array_except("hh", "h"))
+    x = C.stored(both.select("hub", "id", "other", "label", F.size("h").cast("long").alias("n"), d.alias("d")), "differences")
+    rows = x.select("hub", "id", F.explode("d").alias("e"))
+    often = C.stored(rows.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumn("k", F.col("f")), "often")
+    shared = C.salted_join(rows, often, ["hub", "e"], "k").groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("shared"))
+    x = x.join(shared, ["hub", "id"]).select("hub", "id", "other", "label", "n", F.size("d").cast("long").alias("d"), "shared").withColumn("over", up * F.col("d") - down * F.col("n"))
+    x = C.stored(x, "shared")
+    least = x.groupBy("hub").agg(F.min("over").alias("any"), F.min(F.when(F.col("other"), F.col("over"))).alias("apart"), F.count(F.lit(1)).alias("k")).where("apart IS NOT NULL")
+    x = C.salted_join(x, C.stored(least, "least"), ["hub"], "k")
+
+    def first(partner: str) -> Column:
+        common = F.greatest(F.ceil((F.col("over") + F.col(partner)) / F.lit(2 * up)).cast("long"), F.lit(1))
+        own = F.col("d") - F.size("shared")
+        return F.slice("shared", F.lit(1), F.greatest(F.col("d") - common + 1 - own, F.lit(0)).cast("int"))
+
+    side = lambda df, partner: df.select("hub", "id", "label", "over", F.size("shared").cast("long").alias("s"), F.explode(first(partner)).alias("e")).select("hub", "id", "label", "over", "s", "e.e")
+    a = side(x.where("other"), "any")
+    b = side(x, "apart").toDF("hub", "b", "lb", "overb", "sb", "e")
+    met = a.join(b, ["hub", "e"]).where(f"id <> b AND label <> lb AND over + overb <= {2 * up} * least(s, sb)")
+    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, classes: DataFrame, full: _Full, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` of classes with 100 * intersection >= percent * union, on the full sets; sizes alone rule out pairs first."""
     sizes = classes.select("cls", "n_shingles")
@@ -221,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side:
     signed = C.stored(_signed(docs, shingle, MinHasher(side, rows)), "signed")
     classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     full = _Full(docs, classes, shingle)
-    found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, classes, full, percent), lambda ids: linkable(ids, full, percent), hub_rounds).toDF("cls", "label")
+    found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, classes, full, percent), lambda ids: linkable(ids, full, percent), hub_rounds, lambda now: by_differences(now, full, percent)).toDF("cls", "label")
     labelled = classes.select("cls", "first", "last", "n_docs").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "label").where("first <> last OR first <> component_id").select("cls", "n_docs", F.col("component_id").alias("c"))

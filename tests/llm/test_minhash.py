@@ -86,3 +86,23 @@ def test_near_copies_make_few_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
     assert got == {k: c for k, (_, c) in brute(rows, 2, 80).items()} and len(set(got.values())) > 10
     assert sum(seen) < 8 * len(rows) < 149 * 150 // 2
+
+
+def test_links_among_those_apart_from_the_hub(spark):
+    """Families of copies that share edits: too far from the text they come from, near to each other."""
+    rng = random.Random(18)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(1000 - i, " ".join(w if rng.random() > 0.02 else "x" for w in base)) for i in range(40)]
+    for family in range(6):
+        edits = rng.sample(range(120), 9 + family)
+        for i in range(8):
+            copy = [f"f{family}" if k in edits else w for k, w in enumerate(base)]
+            for k in rng.sample(range(120), i % 4):
+                copy[k] = rng.choice(base)
+            rows.append((family * 100 + i, " ".join(copy)))
+    want = brute(rows, 2, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (1, 2):
+        got = {r.doc_id: r.component_id for r in M.near_duplicates(df, 2, 80, hub_rounds=rounds).collect()}
+        assert got == {k: c for k, (_, c) in want.items()}
+    assert 3 < len(set(got.values())) < 40
