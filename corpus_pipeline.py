@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a frame that
 ``run`` writes as Parquet to the shared folder and reads again for the next. All but the last return the
-columns of ``documents``; n_chars follows the text.
+columns of ``documents``; n_chars follows the text. Other columns are dropped.
+
+Corner cases: a null text is an empty one, and the rules reject it, as they do any text of few words; a row
+without a doc_id or with one that another row has passes through every stage as a row of its own; null sources
+are one source; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,9 +32,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8."""
-    book = minhash.near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(book, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8.
+
+    The one with the least doc_id stays; rows of one doc_id are told apart by their text, and of equal rows one
+    stays. A row without a doc_id takes part under a hash of its text in its place. Texts without words have no
+    group and stay, one for each doc_id.
+    """
+    own = docs.withColumn("__text_id", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.col("__text_id")))
+    book = C.stored(minhash.near_duplicates(own.select(F.col("__id").alias("doc_id"), "text", "__text_id"), shingle=5, percent=80, keep=("__text_id",)), "book")
+    stays = book.where("kept").groupBy("doc_id").agg(F.min("__text_id").alias("stays"))
+    rows = book.groupBy("doc_id", "__text_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).join(stays, "doc_id", "left")
+    rows = C.stored(rows.select(F.col("doc_id").alias("__id"), "__text_id", "n", (F.col("kept") & (F.col("__text_id") == F.col("stays"))).alias("kept")).where("NOT kept OR n > 1"), "rows")
+    once = own.join(rows.select("__id", "__text_id"), ["__id", "__text_id"], "left_anti").select(COLUMNS)
+    several = rows.where("kept").select("__id", "__text_id")
+    if several.isEmpty():
+        return once
+    return once.unionByName(own.join(several, ["__id", "__text_id"], "left_semi").dropDuplicates(["__id", "__text_id"]).select(COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,8 +119,8 @@ def _cls(grams: np.ndarray) -> tuple[int | None, int | None]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _signed(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
-    """doc_id, n_shingles, cls (126 bits of the set's hash), and the bands of either collection, in one pass over the texts."""
+def _signed(docs: DataFrame, size: int, hasher: MinHasher, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, the columns ``keep``, n_shingles, cls (126 bits of the set's hash), and the bands of either collection, in one pass over the texts."""
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sets = _Sets(size)
@@ -138,8 +138,8 @@ def _signed(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
 
     found.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     signs = F.pandas_udf(found, "n_shingles long, c1 long, c2 long, a array<long>, b array<long>")(F.col("text").cast("string"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signs.alias("s")).select("doc_id", "s.*")
-    return out.select("doc_id", "n_shingles", C.wide_id(F.col("c1"), F.col("c2")).alias("cls"), "a", "b")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, signs.alias("s")).select("doc_id", *keep, "s.*")
+    return out.select("doc_id", *keep, "n_shingles", C.wide_id(F.col("c1"), F.col("c2")).alias("cls"), "a", "b")
 
 
 def _grams(docs: DataFrame, size: int) -> DataFrame:
@@ -256,18 +256,18 @@ def verified(pairs: DataFrame, classes: DataFrame, full: _Full, percent: int) ->
     return close.join(grams.toDF("a", "ha"), "a").join(grams.toDF("b", "hb"), "b").where(similar).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable) and kept for every row of ``docs(doc_id, text)``."""
-    signed = C.stored(_signed(docs, shingle, MinHasher(side, rows)), "signed")
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, n_shingles, component_id (the least doc_id reachable) and kept for every row of ``docs(doc_id, text)`` and its columns ``keep``."""
+    signed = C.stored(_signed(docs, shingle, MinHasher(side, rows), keep), "signed")
     classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     full = _Full(docs, classes, shingle)
     found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, classes, full, percent), lambda ids: linkable(ids, full, percent), hub_rounds, lambda now: by_differences(now, full, percent)).toDF("cls", "label")
     labelled = classes.select("cls", "first", "last", "n_docs").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "label").where("first <> last OR first <> component_id").select("cls", "n_docs", F.col("component_id").alias("c"))
-    out = C.salted_join(signed.select("doc_id", "n_shingles", "cls"), C.stored(named, "named"), ["cls"], "n_docs", "left")
+    out = C.salted_join(signed.select("doc_id", *keep, "n_shingles", "cls"), C.stored(named, "named"), ["cls"], "n_docs", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", *keep, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

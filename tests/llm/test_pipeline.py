@@ -61,3 +61,22 @@ def test_lines_drops_short_repeats(spark):
     rows = [(1, "Menu\n\nown line one\n\nMenu"), (2, " Menu\nMenus\nanother own line"), (3, "Menu")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.text for r in CP.lines(spark, docs, "").collect()} == {1: "Menu\n\nown line one\n", 2: "Menus\nanother own line"}
+
+
+def test_repeated_and_null_ids(spark):
+    rng = random.Random(31)
+    text = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(6)) for _ in range(90))
+    one, other, third, null = text(), text(), text(), text()
+    rows = [(1, one), (2, one), (2, other), (3, third), (3, third), (None, null), (None, null), (None, third), (4, None), (4, None), (5, "long " * 40_000), (6, "long " * 40_000)]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), 7) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int")
+    near = [(r.doc_id, r.text) for r in CP.near_duplicates(spark, docs, "").collect()]
+    thirds = [x for x in near if x[1] == third]
+    assert len(thirds) == 1 and len(near) == 6
+    assert sorted((i or 0, t or "") for i, t in near if t != third) == sorted([(1, one), (2, other), (0, null), (4, ""), (5, "long " * 40_000)])
+    kept = CP.quality(spark, docs, "").collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 0, 1, 2, 2, 3, 3] and kept[0].asDict().keys() == set(CP.COLUMNS)
+    lined = CP.lines(spark, CP.quality(spark, docs, ""), "").collect()
+    assert sorted({r.text for r in lined}) == sorted([one, other, third, null])
+    mixed = CP.mix(spark, CP.near_duplicates(spark, CP.quality(spark, docs, ""), ""), "").collect()
+    assert {r.text for r in mixed} <= {one, other, third, null} and any(r.doc_id is None for r in mixed)
+    assert CP.tokens(spark, docs, "").count() == len(rows)
