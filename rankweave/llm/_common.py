@@ -146,7 +146,7 @@ def hub_links(
 ) -> DataFrame:
     """(id, component) of every id that ``similar`` links with another that shares a key with it.
 
-    ``keyed(key, id)``: candidates share a key. ``similar`` keeps the pairs (a, b) that are linked. In each
+    ``keyed(key, id)``: candidates share a key. ``similar`` keeps the pairs (a, b) that are linked; few are an a. In each
     round, the members of a key that are not yet in one component are compared with one of them, the hub:
     first the one with most keys, then the one with the fewest features of its own, then any. After the first
     round, ``linkable`` gives for the ids(id) that are still apart from some of their candidates their size,
@@ -174,7 +174,7 @@ def hub_links(
             order = F.struct(F.xxhash64("id", F.lit(turn)).alias("own") if turn > 1 else F.col("own"), "id", "label", *(["size", "most"] if turn else []))
             hubs = stored(now.groupBy("key").agg(F.min(order).alias("other"), F.count(F.lit(1)).alias("k")), "hubs")
             pairs = salted_join(now, hubs, ["key"], "k").where(f"label <> other.label AND {fits}")
-            pairs = pairs.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
+            pairs = pairs.select(F.col("other.id").alias("a"), F.col("id").alias("b")).distinct()
         else:
             pairs = last(now).distinct()
         if tried is not None:

@@ -35,6 +35,8 @@ from . import _common as C
 
 #: Bands on either side, minhashes in a band, rounds of hubs.
 SIDE, ROWS, HUB_ROUNDS = 12, 3, 2
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Candidate documents' ids that may be broadcast (8 bytes each).
 FEW_IDS = 1_000_000
 SEED = 41
@@ -119,13 +121,20 @@ def _cls(grams: np.ndarray) -> tuple[int | None, int | None]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
+def _bits(grams: np.ndarray) -> np.ndarray:
+    """A bitmap of the set: bit i is set if a shingle's hash ends in i."""
+    on = np.zeros(BITS, dtype=bool)
+    on[(grams & np.uint64(BITS - 1)).astype("int64")] = True
+    return np.packbits(on).view("int64")
+
+
 def _signed(docs: DataFrame, size: int, hasher: MinHasher, keep: tuple[str, ...]) -> DataFrame:
-    """doc_id, the columns ``keep``, n_shingles, cls (126 bits of the set's hash), and the bands of either collection, in one pass over the texts."""
+    """doc_id, the columns ``keep``, n_shingles, cls (126 bits of the set's hash), the bands of either collection and the set's bitmap, in one pass over the texts."""
 
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sets = _Sets(size)
         for batch in batches:
-            counts, cls, a, b = [], [], [], []
+            counts, cls, a, b, bits = [], [], [], [], []
             for text in batch:
                 x = sets(text)
                 low = hasher.bands(x) if len(x) else (None, None)
@@ -133,13 +142,14 @@ def _signed(docs: DataFrame, size: int, hasher: MinHasher, keep: tuple[str, ...]
                 cls.append(_cls(x))
                 a.append(None if low[0] is None else low[0].view("int64"))
                 b.append(None if low[1] is None else low[1].view("int64"))
+                bits.append(_bits(x) if len(x) else None)
             c1, c2 = (pd.array([c[i] for c in cls], dtype="Int64") for i in (0, 1))
-            yield pd.DataFrame({"n_shingles": counts, "c1": c1, "c2": c2, "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object)})
+            yield pd.DataFrame({"n_shingles": counts, "c1": c1, "c2": c2, "a": pd.Series(a, dtype=object), "b": pd.Series(b, dtype=object), "bits": pd.Series(bits, dtype=object)})
 
     found.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    signs = F.pandas_udf(found, "n_shingles long, c1 long, c2 long, a array<long>, b array<long>")(F.col("text").cast("string"))
+    signs = F.pandas_udf(found, "n_shingles long, c1 long, c2 long, a array<long>, b array<long>, bits array<long>")(F.col("text").cast("string"))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, signs.alias("s")).select("doc_id", *keep, "s.*")
-    return out.select("doc_id", *keep, "n_shingles", C.wide_id(F.col("c1"), F.col("c2")).alias("cls"), "a", "b")
+    return out.select("doc_id", *keep, "n_shingles", C.wide_id(F.col("c1"), F.col("c2")).alias("cls"), "a", "b", "bits")
 
 
 def _grams(docs: DataFrame, size: int) -> DataFrame:
@@ -207,7 +217,7 @@ def linkable(ids: DataFrame, full: _Full, percent: int) -> DataFrame:
 
 
 def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``now(key, id, label, size, own, ...)``, more than one label under each key: all that may be linked and differ in label.
+    """Pairs (a, b) of ``now(key, id, label, size, own, ...)``, more than one label under each key: all that are linked and differ in label.
 
     Each member of a key is described by D, the shingles that it or the key's hub alone has. The union of two
     sets x and y is larger than their intersection by |Dx| + |Dy| - 2 |Dx and Dy|, which for a link is at most
@@ -215,6 +225,7 @@ def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
     linked with the hub and its D is larger than that; hence a link needs common members of Dx and Dy, for
     each set at least as many as the least possible D of a partner demands. So the two share one of the first
     |D| - that number + 1 of each D, by rising frequency under the hub; members that no other D has come first.
+    Those that do are compared on all members of D that others have.
     """
     up, down = 100 + percent, 100 - percent
     hubs = C.stored(now.groupBy("key").agg(F.min(F.struct("own", "id", "label")).alias("hub"), F.count(F.lit(1)).alias("k")), "hubs")
@@ -238,28 +249,37 @@ def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
         own = F.col("d") - F.size("shared")
         return F.slice("shared", F.lit(1), F.greatest(F.col("d") - common + 1 - own, F.lit(0)).cast("int"))
 
-    side = lambda df, partner: df.select("hub", "id", "label", "over", F.size("shared").cast("long").alias("s"), F.explode(first(partner)).alias("e")).select("hub", "id", "label", "over", "s", "e.e")
+    side = lambda df, partner: df.select("hub", "id", "label", "over", F.col("shared.e").alias("s"), F.explode(first(partner)).alias("e")).select("hub", "id", "label", "over", "s", "e.e")
     a = side(x.where("other"), "any")
     b = side(x, "apart").toDF("hub", "b", "lb", "overb", "sb", "e")
-    met = a.join(b, ["hub", "e"]).where(f"id <> b AND label <> lb AND over + overb <= {2 * up} * least(s, sb)")
+    enough = f"over + overb <= {2 * up} * least(size(s), size(sb)) AND over + overb <= {2 * up} * size(array_intersect(s, sb))"
+    met = a.join(b, ["hub", "e"]).where(f"id <> b AND label <> lb AND {enough}")
     return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, classes: DataFrame, full: _Full, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` of classes with 100 * intersection >= percent * union, on the full sets; sizes alone rule out pairs first."""
-    sizes = classes.select("cls", "n_shingles")
-    close = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    """The (a, b) of ``pairs`` of classes with 100 * intersection >= percent * union, on the full sets; few classes are an a.
+
+    Sizes and bitmaps rule out pairs first: each bit that one set's bitmap alone has is a shingle at least that
+    the other set lacks. Sets are then brought to where their pair's a is, each a's own once.
+    """
+    known = classes.select("cls", "n_shingles", "bits")
+    missing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda t, n: t + n)
+    common = F.least(F.col("na") - missing("ba", "bb"), F.col("nb") - missing("bb", "ba"))
+    close = pairs.join(known.toDF("a", "na", "ba"), "a").join(known.toDF("b", "nb", "bb"), "b").where((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     close = C.stored(close, "close")
     grams = full(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    theirs = close.join(grams.toDF("b", "hb"), "b")
+    hubs = C.stored(grams.join(close.groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("k")), "cls").select(F.col("cls").alias("a"), F.col("h").alias("ha"), "k"), "hubs")
     both = F.size(F.array_intersect("ha", "hb"))
     similar = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
-    return close.join(grams.toDF("a", "ha"), "a").join(grams.toDF("b", "hb"), "b").where(similar).select("a", "b")
+    return C.salted_join(theirs, hubs, ["a"], "k").where(similar).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ``keep``, n_shingles, component_id (the least doc_id reachable) and kept for every row of ``docs(doc_id, text)`` and its columns ``keep``."""
     signed = C.stored(_signed(docs, shingle, MinHasher(side, rows), keep), "signed")
-    classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b")), "classes")
+    classes = C.stored(signed.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n_docs"), F.first("n_shingles").alias("n_shingles"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("bits").alias("bits")), "classes")
     full = _Full(docs, classes, shingle)
     found = C.hub_links(tensor_keys(classes), lambda pairs: verified(pairs, classes, full, percent), lambda ids: linkable(ids, full, percent), hub_rounds, lambda now: by_differences(now, full, percent)).toDF("cls", "label")
     labelled = classes.select("cls", "first", "last", "n_docs").join(found, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
