@@ -2,7 +2,8 @@
 
 Support obeys a recursion: each new value multiplies every pattern's support by e^-k and adds 1 for the
 patterns that end at it. State holds a series' last max_len - 1 values and, for each pattern seen, its
-support and the position it holds for.
+support and the position it holds for: at most the sum of 2! to max_len! patterns a series, 32 of them for
+lengths up to 4, whatever the length of the stream.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 OUT = "series_id string, pos long, pattern string, support double"
-STATE = "pos long, buf array<double>, patterns array<string>, supports array<double>, places array<long>"
+STATE = "pos long, seq long, buf array<double>, patterns array<string>, supports array<double>, places array<long>"
 
 
 def _shape(win: list[float]) -> str | None:
@@ -27,17 +28,21 @@ def _shape(win: list[float]) -> str | None:
 def stream_supports(values: DataFrame, k: float, min_len: int = 2, max_len: int = 4) -> DataFrame:
     """Of a stream (series_id, seq, value): for each batch and series the supports, at its newest value, of the patterns that ended in it.
 
-    Values are taken by ``seq`` inside a batch; batches must come in order. -0.0 counts as 0.0.
+    Values are taken by ``seq``, a whole number, inside a batch; batches must come in order, and a value that
+    comes after one with the same ``seq`` or a later one ends the stream with an error. -0.0 counts as 0.0.
     """
     if not k > 0:
         raise ValueError("the forgetting factor must be above 0")
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pos, buf, known = -1, [], {}
+        pos, seq, buf, known = -1, None, [], {}
         if state.exists:
-            pos, buf, names, sums, places = state.get
+            pos, seq, buf, names, sums, places = state.get
             buf, known = list(buf), {n: (s, p) for n, s, p in zip(names, sums, places, strict=True)}
         rows = pd.concat(list(frames)).sort_values("seq")
+        order = ([] if seq is None else [seq]) + rows.seq.tolist()
+        if any(a >= b for a, b in zip(order, order[1:], strict=False)):
+            raise ValueError(f"values of series {key[0]} came out of order")
         touched = set()
         for value in rows.value:
             pos += 1
@@ -47,7 +52,7 @@ def stream_supports(values: DataFrame, k: float, min_len: int = 2, max_len: int
                     s, p = known.get(name, (0.0, pos))
                     known[name] = (s * math.exp(-k * (pos - p)) + 1.0, pos)
                     touched.add(name)
-        state.update((pos, buf, list(known), [s for s, _ in known.values()], [p for _, p in known.values()]))
+        state.update((pos, int(order[-1]), buf, list(known), [s for s, _ in known.values()], [p for _, p in known.values()]))
         out = sorted(touched)
         yield pd.DataFrame({"series_id": key[0], "pos": pos, "pattern": out, "support": [known[n][0] * math.exp(-k * (pos - known[n][1])) for n in out]})
 

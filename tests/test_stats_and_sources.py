@@ -1,5 +1,7 @@
 import hashlib
 import itertools
+import os
+import shutil
 import statistics
 
 import pytest
@@ -7,8 +9,10 @@ from pyspark.sql import functions as F
 
 from rankweave.operators import digest as D
 from rankweave.operators import stats as T
+from rankweave.plans import mining
 from rankweave.sources import series as S
 from rankweave.sources import sinks
+from rankweave.streaming import recency
 
 
 def test_wilcoxon(spark):
@@ -63,23 +67,27 @@ def test_sources_and_sinks(spark, tmp_path):
     assert sinks.markdown(rows.select("mode", "rank")) == "| mode | rank |\n|---|---|\n| tk | 1 |"
 
 
-def test_stream(spark, tmp_path):
-    from rankweave.plans import mining
-    from rankweave.streaming import recency
+def _feed(spark, folder, parts):
+    """A folder of one file a part, whose times tell their order."""
+    folder.mkdir()
+    for i, rows in enumerate(parts):
+        own = folder.parent / f"{folder.name}-{i}"
+        spark.createDataFrame(rows, "series_id string, seq int, value double").coalesce(1).write.parquet(str(own))
+        shutil.copy(next(own.glob("*.parquet")), folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + 100 * i,) * 2)
+    return spark.readStream.schema("series_id string, seq int, value double").option("maxFilesPerTrigger", 1).parquet(str(folder))
 
-    t = [15, 32, 29, 27, 34, 33, 25, 20, 28, 23]
-    for i, part in enumerate((t[:4], t[4:])):
-        rows = [("a", i * 4 + j, float(v)) for j, v in enumerate(part)]
-        spark.createDataFrame(rows, "series_id string, seq int, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in{i}"))
-    schema = "series_id string, seq int, value double"
-    import shutil
-
-    (tmp_path / "feed").mkdir()
-    for i in range(2):
-        shutil.copy(next((tmp_path / f"in{i}").glob("*.parquet")), tmp_path / "feed" / f"{i}.parquet")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed"))
-    q = recency.stream_supports(stream, 0.1).writeStream.outputMode("update").format("memory").queryName("recency").trigger(availableNow=True).start()
+
+def _run(stream, name):
+    q = recency.stream_supports(stream, 0.1).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination(120)
+    return q
+
+
+def test_stream(spark, tmp_path):
+    t = [15, 32, 29, 27, 34, 33, 25, 20, 28, 23]
+    rows = [("a", i, float(v)) for i, v in enumerate(t)]
+    _run(_feed(spark, tmp_path / "feed", [rows[:4], rows[4:]]), "recency")
     df = spark.createDataFrame([("a", p, float(v)) for p, v in enumerate(t)], "series_id string, pos int, value double")
     want = {r.pattern: r.support for r in mining.top_k_one_pass(df, 100, 2, 4, 0.1).collect()}
     newest = {r.pattern: r for r in spark.table("recency").orderBy("pos").collect()}
@@ -87,3 +95,11 @@ def test_stream(spark, tmp_path):
         if r.pos == 9:
             assert r.support == pytest.approx(want[name])
     assert sum(r.pos == 9 for r in newest.values()) >= 5
+
+
+def test_stream_out_of_order(spark, tmp_path):
+    rows = [("a", i, float(v)) for i, v in enumerate([15, 32, 29, 27])]
+    with pytest.raises(Exception, match="out of order"):
+        _run(_feed(spark, tmp_path / "late", [rows[2:], rows[:2]]), "late")
+    with pytest.raises(Exception, match="out of order"):
+        _run(_feed(spark, tmp_path / "twice", [[*rows, rows[1]]]), "twice")
