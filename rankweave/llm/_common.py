@@ -146,7 +146,8 @@ def hub_links(
 ) -> DataFrame:
     """(id, component) of every id that ``similar`` links with another that shares a key with it.
 
-    ``keyed(key, id)``: candidates share a key. ``similar`` keeps the pairs (a, b) that are linked; few are an a. In each
+    ``keyed(key, id)``: candidates share a key; of keys with the same ids, told by their number and 128 bits, one
+    is looked at. ``similar`` keeps the pairs (a, b) that are linked; few are an a. In each
     round, the members of a key that are not yet in one component are compared with one of them, the hub:
     first the one with most keys, then the one with the fewest features of its own, then any. After the first
     round, ``linkable`` gives for the ids(id) that are still apart from some of their candidates their size,
@@ -158,12 +159,15 @@ def hub_links(
     their keys fits, and no link between components is lost.
     """
     spark = keyed.sparkSession
-    several = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
-    keyed = stored(salted_join(keyed, several, ["key"], "k", "left_semi"), "keys")
-    now = keyed.join(keyed.groupBy("id").agg((-F.count(F.lit(1))).alias("own")), "id").withColumn("label", F.col("id"))
+    prints = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"p{i}") for i in (0, 1)]
+    several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), *prints).where("k > 1")
+    several = several.groupBy("k", "p0", "p1").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("m")).select("key", "k", "m")
+    keyed = stored(salted_join(keyed, stored(several, "several"), ["key"], "k"), "keys")
+    now = keyed.join(keyed.groupBy("id").agg((-F.sum("m")).alias("own")), "id").drop("m").withColumn("label", F.col("id"))
     edges, tried, found = None, None, None
     for turn in range(hub_rounds + 1):
-        now = _apart(now)
+        if turn:
+            now = _apart(now)
         if turn == 1:
             ids = stored(now.select("id").distinct(), "ids")
             now = _apart(_bounded(now.drop("own"), linkable(ids)))

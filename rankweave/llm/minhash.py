@@ -195,7 +195,9 @@ class _Full:
         ids = C.stored(cls.join(self.classes.select("cls", "first"), "cls").select("cls", F.col("first").alias("doc_id")).distinct(), "ids")
         few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
         texts = self.docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
-        new = C.stored(_grams(texts, self.size).join(ids, "cls", "left_semi").dropDuplicates(["cls"]), "grams")
+        new = C.stored(_grams(texts, self.size).join(ids, "cls", "left_semi"), "grams")
+        if new.count() > ids.count():  # rows of one doc_id
+            new = C.stored(new.dropDuplicates(["cls"]), "grams")
         self.held = new if self.held is None else self.held.unionByName(new)
         return self.held
 
@@ -233,7 +235,7 @@ def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
     members = C.stored(members, "members")
     sets = full(members.select(F.col("id").alias("cls")).unionByName(members.select(F.col("hub").alias("cls"))).distinct())
     few = C.stored(members.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).join(sets.toDF("hub", "hh"), "hub"), "hubs")
-    both = C.salted_join(members, few, ["hub"], "k").join(sets.toDF("id", "h"), "id")
+    both = C.salted_join(members.join(sets.toDF("id", "h"), "id"), few, ["hub"], "k")
     d = F.concat(F.array_except("h", "hh"), F.array_except("hh", "h"))
     x = C.stored(both.select("hub", "id", "other", "label", F.size("h").cast("long").alias("n"), d.alias("d")), "differences")
     rows = x.select("hub", "id", F.explode("d").alias("e"))
@@ -263,7 +265,8 @@ def verified(pairs: DataFrame, classes: DataFrame, full: _Full, percent: int) ->
     Sizes and bitmaps rule out pairs first: each bit that one set's bitmap alone has is a shingle at least that
     the other set lacks. Sets are then brought to where their pair's a is, each a's own once.
     """
-    known = classes.select("cls", "n_shingles", "bits")
+    ids = C.stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ids")
+    known = C.stored(classes.select("cls", "n_shingles", "bits").join(ids, "cls", "left_semi"), "known")
     missing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda t, n: t + n)
     common = F.least(F.col("na") - missing("ba", "bb"), F.col("nb") - missing("bb", "ba"))
     close = pairs.join(known.toDF("a", "na", "ba"), "a").join(known.toDF("b", "nb", "bb"), "b").where((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
