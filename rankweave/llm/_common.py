@@ -70,17 +70,29 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be broadcast: some tens of MB.
+FEW = 500_000
+
+
+def if_few(stored_rows: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it has at most FEW rows, and joined by shuffles beyond."""
+    return F.broadcast(stored_rows) if stored_rows.limit(FEW + 1).count() <= FEW else stored_rows
+
+
 #: A key is hot with more rows than this, and more than 1 / SPREAD of all rows.
 HOT, SPREAD = 10_000, 1000
 
 
-def salted_join(many: DataFrame, few: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], weight: str, how: str = "inner", wide: bool = False) -> DataFrame:
     """``many`` joined with ``few``, a stored table, unique by ``on``, that tells in ``weight`` how many rows of ``many`` a row meets.
 
     The rows of hot keys are dealt over several tasks. There are less than SPREAD such keys, so they can be
-    broadcast; the rows of ``few`` for them are repeated for each task, 2 * SPREAD in all at most. ``weight`` is dropped.
+    broadcast; the rows of ``few`` for them are repeated for each task, 2 * SPREAD in all at most. If ``few`` isn't
+    ``wide`` and has at most FEW rows, it is broadcast whole. ``weight`` is dropped.
     """
-    seen = few.agg(F.sum(weight).alias("total"), F.max(weight).alias("most")).first()
+    seen = few.agg(F.sum(weight).alias("total"), F.max(weight).alias("most"), F.count(F.lit(1)).alias("n")).first()
+    if seen.n <= FEW and not wide:
+        return many.join(F.broadcast(few.drop(weight)), on, how)
     share = max(HOT, -(-(seen.total or 0) // SPREAD))
     if (seen.most or 0) <= share:
         return many.join(few.drop(weight), on, how)

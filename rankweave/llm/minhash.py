@@ -37,8 +37,6 @@ from . import _common as C
 SIDE, ROWS, HUB_ROUNDS = 12, 3, 2
 #: Bits of a set's bitmap.
 BITS = 1024
-#: Candidate documents' ids that may be broadcast (8 bytes each).
-FEW_IDS = 1_000_000
 SEED = 41
 #: Words a worker remembers the hashes of.
 CACHE_WORDS = 300_000
@@ -178,7 +176,7 @@ def tensor_keys(classes: DataFrame) -> DataFrame:
     some = lambda first: F.collect_list(F.when(F.col("first") == first, F.col("band")))
     both = C.salted_join(rows, shared, ["band"], "k", "left_semi").groupBy("cls").agg(some(True).alias("a"), some(False).alias("b"))
     keys = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return both.select(F.explode(keys).alias("key"), F.col("cls").alias("id"))
+    return C.stored(both, "both").select(F.explode(keys).alias("key"), F.col("cls").alias("id"))
 
 
 class _Full:
@@ -193,8 +191,8 @@ class _Full:
         if self.held is not None:
             cls = cls.join(self.held, "cls", "left_anti")
         ids = C.stored(cls.join(self.classes.select("cls", "first"), "cls").select("cls", F.col("first").alias("doc_id")).distinct(), "ids")
-        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
-        texts = self.docs.join(F.broadcast(ids.select("doc_id")) if few else ids.select("doc_id"), "doc_id", "left_semi")
+        ids = C.if_few(ids)
+        texts = self.docs.join(ids, "doc_id", "left_semi")
         new = C.stored(_grams(texts, self.size).join(ids, "cls", "left_semi"), "grams")
         if new.count() > ids.count():  # rows of one doc_id
             new = C.stored(new.dropDuplicates(["cls"]), "grams")
@@ -209,11 +207,11 @@ def linkable(ids: DataFrame, full: _Full, percent: int) -> DataFrame:
     most n - u, so a partner has at most (100 + percent) * (n - u) / percent - n shingles, and n - u at least.
     A text with many edits of its own is ruled out without meeting its near copies.
     """
-    cls = ids.select(F.col("id").alias("cls"))
+    cls = C.if_few(ids.select(F.col("id").alias("cls")))
     grams = full(cls).join(cls, "cls", "left_semi")
     own = grams.select("cls", F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("cls").alias("cls")).where("k = 1").groupBy("cls").agg(F.count(F.lit(1)).alias("u"))
-    n = F.size("h").cast("long")
-    out = grams.join(own, "cls", "left").select(F.col("cls").alias("id"), n.alias("size"), F.coalesce("u", F.lit(0)).alias("own"))
+    sizes = grams.select("cls", F.size("h").cast("long").alias("size"))
+    out = sizes.join(own, "cls", "left").select(F.col("cls").alias("id"), "size", F.coalesce("u", F.lit(0)).alias("own"))
     most = F.floor((100 + percent) * (F.col("size") - F.col("own")) / percent).cast("long") - F.col("size")
     return out.withColumn("most", most).where(F.col("most") >= F.col("size") - F.col("own"))
 
@@ -232,10 +230,11 @@ def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
     up, down = 100 + percent, 100 - percent
     hubs = C.stored(now.groupBy("key").agg(F.min(F.struct("own", "id", "label")).alias("hub"), F.count(F.lit(1)).alias("k")), "hubs")
     members = C.salted_join(now, hubs, ["key"], "k").where("id <> hub.id").select(F.col("hub.id").alias("hub"), "id", (F.col("label") != F.col("hub.label")).alias("other"), "label").distinct()
-    members = C.stored(members, "members")
+    members = C.if_few(C.stored(members, "members"))
     sets = full(members.select(F.col("id").alias("cls")).unionByName(members.select(F.col("hub").alias("cls"))).distinct())
-    few = C.stored(members.groupBy("hub").agg(F.count(F.lit(1)).alias("k")).join(sets.toDF("hub", "hh"), "hub"), "hubs")
-    both = C.salted_join(members.join(sets.toDF("id", "h"), "id"), few, ["hub"], "k")
+    counts = C.if_few(C.stored(members.groupBy("hub").agg(F.count(F.lit(1)).alias("k")), "counts"))
+    few = C.stored(sets.toDF("hub", "hh").join(counts, "hub"), "hubs")
+    both = C.salted_join(sets.toDF("id", "h").join(members, "id"), few, ["hub"], "k", wide=True)
     d = F.concat(F.array_except("h", "hh"), F.array_except("hh", "h"))
     x = C.stored(both.select("hub", "id", "other", "label", F.size("h").cast("long").alias("n"), d.alias("d")), "differences")
     rows = x.select("hub", "id", F.explode("d").alias("e"))
@@ -265,18 +264,20 @@ def verified(pairs: DataFrame, classes: DataFrame, full: _Full, percent: int) ->
     Sizes and bitmaps rule out pairs first: each bit that one set's bitmap alone has is a shingle at least that
     the other set lacks. Sets are then brought to where their pair's a is, each a's own once.
     """
-    ids = C.stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ids")
+    pairs = C.if_few(pairs)
+    ids = C.if_few(C.stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ids"))
     known = C.stored(classes.select("cls", "n_shingles", "bits").join(ids, "cls", "left_semi"), "known")
     missing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda t, n: t + n)
     common = F.least(F.col("na") - missing("ba", "bb"), F.col("nb") - missing("bb", "ba"))
-    close = pairs.join(known.toDF("a", "na", "ba"), "a").join(known.toDF("b", "nb", "bb"), "b").where((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    close = C.stored(close, "close")
+    close = known.toDF("a", "na", "ba").join(pairs, "a").join(known.toDF("b", "nb", "bb"), "b").where((100 + percent) * common >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    close = C.if_few(C.stored(close, "close"))
     grams = full(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-    theirs = close.join(grams.toDF("b", "hb"), "b")
-    hubs = C.stored(grams.join(close.groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("k")), "cls").select(F.col("cls").alias("a"), F.col("h").alias("ha"), "k"), "hubs")
+    theirs = grams.toDF("b", "hb").join(close, "b")
+    counts = C.if_few(C.stored(close.groupBy(F.col("a").alias("cls")).agg(F.count(F.lit(1)).alias("k")), "counts"))
+    hubs = C.stored(grams.join(counts, "cls").select(F.col("cls").alias("a"), F.col("h").alias("ha"), "k"), "hubs")
     both = F.size(F.array_intersect("ha", "hb"))
     similar = 100 * both >= percent * (F.size("ha") + F.size("hb") - both)
-    return C.salted_join(theirs, hubs, ["a"], "k").where(similar).select("a", "b")
+    return C.salted_join(theirs, hubs, ["a"], "k", wide=True).where(similar).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, side: int = SIDE, rows: int = ROWS, hub_rounds: int = HUB_ROUNDS, keep: tuple[str, ...] = ()) -> DataFrame:

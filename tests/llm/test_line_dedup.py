@@ -137,6 +137,7 @@ def test_rows_of_one_doc_id(spark):
 
 def test_hot_keys_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(C, "HOT", 5)
+    monkeypatch.setattr(C, "FEW", 3)
     many = spark.createDataFrame([(k, i) for i in range(300) for k in (0, i)], "key long, x long")
     few = many.groupBy("key").agg(F.count(F.lit(1)).alias("k")).withColumn("label", F.col("key") * 2).where("key % 2 = 0")
     assert sorted(map(tuple, C.salted_join(many, few, ["key"], "k").collect())) == sorted((k, i, 2 * k) for i in range(300) for k in (0, i) if k % 2 == 0)
