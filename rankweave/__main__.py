@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import windows as X
+from .operators.scratch import stored
 from .plans import mining
 from .sources import series, sinks
 
@@ -25,7 +26,8 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
     values = series.read_text(spark, a.input)
-    answer = mining.mine(values, a.mode, a.topK, a.minSup, a.minLen, a.maxLen, a.forgetting)
+    values = stored(values, "input")
+    answer = stored(mining.mine(values, a.mode, a.topK, a.minSup, a.minLen, a.maxLen, a.forgetting), "answer")
     longest = answer.agg(F.max("m")).first()[0]
     if longest:
         ends = X.occurrences(values, 2, longest).join(answer.select("series_id", "ranks"), ["series_id", "ranks"], "left_semi")

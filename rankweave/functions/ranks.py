@@ -65,12 +65,12 @@ def weight(pos: Column, n: Column, k: Column) -> Column:
 def exact_sum(w: Column) -> Column:
     """Sum of weights in [0, 1] that no order of addition changes, with partial sums before the shuffle.
 
-    A weight becomes two whole numbers, of 28 and 34 bits, so equal sets of weights have equal sums to the
-    last bit, and ties between patterns stay ties. Room for 500 million weights a group.
+    A weight becomes two whole numbers of 31 bits, so equal sets of weights have equal sums to the last bit, and
+    ties between patterns stay ties. Room for 2^32 weights a group; positions are ints, so a series has fewer.
     """
-    high = F.floor(w * (1 << 28))
-    low = F.floor((w * (1 << 28) - high) * (1 << 34))
-    return F.coalesce(F.sum(high) / float(1 << 28) + F.sum(low) / float(1 << 62), F.lit(0.0))
+    high = F.floor(w * (1 << 31))
+    low = F.floor((w * (1 << 31) - high) * (1 << 31))
+    return F.coalesce(F.sum(high) / float(1 << 31) + F.sum(low) / float(1 << 62), F.lit(0.0))
 
 
 def folded_sum(ends: Column, n: Column, k: Column) -> Column:

@@ -13,15 +13,30 @@ from ..functions import ranks as R
 from .windows import decay
 
 EPS = 1e-12
+#: Depths that have a bound each; all beyond share one.
+DENSE = 48
 
 
 def profiles(occurred: DataFrame, depth: int, k: float | None = None, times: float = 1.0) -> DataFrame:
-    """Every pattern with n_occ, support and ub, the array UB_0..UB_depth."""
+    """Every pattern with n_occ, support and ub, the array UB_0..UB_depth.
+
+    Beyond DENSE depths, ub is UB_0..UB_(DENSE - 1) and twice a bound of all depths from DENSE to ``depth``; twice, so
+    that ``pdub`` holds it against the last single depth and against itself. The rest is cut into steps that grow by
+    an eighth, and a step has its first depth's sum and its last depth's factor, so the sums grow with the logarithm
+    of ``depth``.
+    """
+    single = depth + 1 if depth < 2 * DENSE else DENSE
+    starts = [*range(single)]
+    while single <= depth and starts[-1] + max(1, starts[-1] // 8) <= depth:
+        starts.append(starts[-1] + max(1, starts[-1] // 8) if len(starts) > single else single)
+    lasts = [*starts[:single], *(x - 1 for x in starts[single + 1 :]), *([depth] if len(starts) > single else [])]
     factor = decay(k, times)
     x = occurred.withColumns({"k": factor, "w": R.weight(F.col("pos"), F.col("n"), factor)})
-    sums = [R.exact_sum(F.when(F.col("pos") <= F.col("n") - 1 - d, F.col("w"))).alias(f"s{d}") for d in range(depth + 1)]
+    sums = [R.exact_sum(F.when(F.col("pos") <= F.col("n") - 1 - d, F.col("w"))).alias(f"s{d}") for d in starts]
     g = x.groupBy("series_id", "n", "k", "m", "ranks").agg(F.count(F.lit(1)).alias("n_occ"), *sums)
-    ub = F.array(*(F.when(F.col("n") - 1 - d < 0, 0.0).otherwise(F.exp(F.col("k") * d) * F.col(f"s{d}")) for d in range(depth + 1)))
+    bound = [F.when(F.col("n") - 1 - d < 0, 0.0).otherwise(F.exp(F.col("k") * F.least(F.lit(e), F.col("n") - 1)) * F.col(f"s{d}")) for d, e in zip(starts, lasts, strict=True)]
+    rest = [F.greatest(*bound[single:], F.lit(0.0))] * 2 if len(starts) > single else []
+    ub = F.array(*bound[:single], *rest)
     return g.select("series_id", "n", "k", "m", "ranks", "n_occ", F.col("s0").alias("support"), ub.alias("ub"))
 
 

@@ -50,9 +50,14 @@ def wilcoxon(diffs: DataFrame, value: str = "diff") -> DataFrame:
 
 
 def bootstrap_median(runs: DataFrame, keys: Sequence[str] = ("dataset", "mode"), value: str = "runtime_ms", rounds: int = 1000, seed: int = 20_260_907) -> DataFrame:
-    """Median and its 95 % interval from ``rounds`` resamples, drawn by hashes, so that reruns agree."""
+    """Median and its 95 % interval from ``rounds`` resamples, drawn by hashes, so that reruns agree.
+
+    Rounds are dealt over tasks in blocks of a hundred, so that a few large groups don't take as few tasks.
+    """
     groups = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("xs"), F.percentile(value, 0.5).alias("median"))
-    drawn = groups.select(*keys, "xs", "median", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    blocks = -(-rounds // 100)
+    dealt = groups.select(*keys, "xs", "median", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition(blocks, *keys, "block")
+    drawn = dealt.select(*keys, "xs", "median", F.explode(F.sequence(F.col("block") * 100 + 1, F.least(F.col("block") * 100 + 100, F.lit(rounds)))).alias("round"))
     pick = F.transform("xs", lambda _, i: F.get("xs", F.pmod(F.xxhash64(F.lit(seed), F.col("round"), i, *keys), F.size("xs").cast("long")).cast("int")))
     mids = F.array_sort(pick)
     n = F.size("xs")

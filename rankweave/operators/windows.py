@@ -69,12 +69,11 @@ def weight_prefixes(occurred: DataFrame, k: float | None = None) -> DataFrame:
     return occurred.withColumn("prefix", F.sum(R.weight(F.col("pos"), F.col("n"), decay(k))).over(by))
 
 
-def seeds(series: DataFrame) -> DataFrame:
-    """The length-2 occurrences, by comparison of neighbours; a tie gives null ranks."""
-    x = sized(series)
-    last = F.lag("value").over(W.Window.partitionBy("series_id").orderBy("pos"))
-    shape = F.when(F.col("last") < F.col("value"), F.array(F.lit(1), F.lit(2))).when(F.col("last") > F.col("value"), F.array(F.lit(2), F.lit(1)))
-    return x.withColumn("last", last).where("last IS NOT NULL").select("series_id", "pos", "n", F.lit(2).alias("m"), shape.alias("ranks"))
+def seeds(series: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The length-2 occurrences, by comparison of neighbours, chunk by chunk; a tie gives null ranks."""
+    last, value = F.get("win", F.lit(0)), F.get("win", F.lit(1))
+    shape = F.when(last < value, F.array(F.lit(1), F.lit(2))).when(last > value, F.array(F.lit(2), F.lit(1)))
+    return windows(series, 2, 2, chunk).select("series_id", "pos", "n", F.lit(2).alias("m"), shape.alias("ranks"))
 
 
 def ranked(patterns: DataFrame) -> DataFrame:

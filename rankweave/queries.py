@@ -269,6 +269,13 @@ def dub(spark, d):
     return _profiled(spark, d).select("series_id", R.compact(F.col("ranks")).alias("pattern"), F.round(B.dub(F.col("ub")), 6).alias("bound"))
 
 
+@query("dub_filter", _UB + f" SELECT series_id, {_P} AS pattern, round(max(bound), 6) AS bound FROM u GROUP BY series_id, n, ranks HAVING max(bound) + 1e-12 >= 0.1 * n")
+def dub_filter(spark, d):
+    """Patterns whose extensions may still reach a least support of a tenth of the series' length."""
+    kept = _profiled(spark, d).where(~B.below(B.dub(F.col("ub")), 0.1 * F.col("n")))
+    return kept.select("series_id", R.compact(F.col("ranks")).alias("pattern"), F.round(B.dub(F.col("ub")), 6).alias("bound"))
+
+
 _UB_PAIRS = f"j AS (SELECT a.series_id, a.n, a.ranks AS p, b.ranks AS q FROM (SELECT DISTINCT series_id, n, ranks FROM u) a JOIN (SELECT DISTINCT series_id, ranks FROM u) b ON a.series_id = b.series_id AND {_without('a.ranks', '1')} = {_without('b.ranks', '3')})"
 
 
@@ -391,6 +398,19 @@ def answer_diff(spark, d):
     return J.answer_diff(M.mine(series, "hjtopk", 10, max_len=4), M.mine(series, "tk", 10, max_len=4)).agg(F.count(F.lit(1)).alias("differing"))
 
 
+_LONG = _top(events, 2, 12, 50) + _ANSWER
+
+
+@query("topk_long", _LONG)
+def topk_long(spark, d):
+    return _shown(M.top_k_one_pass(events(spark, d), 50, 2, 12), *_COLUMNS)
+
+
+@query("topk_long_pruned", _LONG)
+def topk_long_pruned(spark, d):
+    return _shown(M.mine(events(spark, d), "tk", 50, max_len=12), *_COLUMNS)
+
+
 @query("canonical_digest", _top(events, 2, 4, 10) + f" SELECT series_id, n::BIGINT AS n, sha256(string_agg({_P} || chr(9) || printf('%.6f', support) || chr(10), '' ORDER BY rank)) AS sha256 FROM t GROUP BY series_id, n")
 def canonical_digest(spark, d):
     return D.digests(M.top_k_one_pass(events(spark, d), 10, 2, 4, ends=True), 6).withColumn("n", F.col("n").cast("long"))
@@ -452,7 +472,7 @@ def nearest_factor(spark, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    return T.bootstrap_median(run_log(spark, d), rounds=200)
+    return T.bootstrap_median(run_log(spark, d), rounds=1000)
 
 
 @query("search_counters")

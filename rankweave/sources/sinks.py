@@ -27,15 +27,15 @@ def canonical(ranked: DataFrame, digests: DataFrame, mode: str, k: float, topk:
     return sized.select(F.col("series_id").alias("dataset"), F.col("n").cast("int").alias("n"), F.lit(mode).alias("mode"), F.lit(k).alias("k"), F.lit(topk).alias("topk"), F.lit(maxlen).alias("maxlen"), "rank", "pattern", F.format_string("%.12f", "support").alias("support"), "sha256")
 
 
-def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small aggregate as a Markdown table."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame) -> str:
+    """A small aggregate as a Markdown table, all rows of it, read a partition at a time."""
+    rows = df.toLocalIterator()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return "\n".join([head, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)])
 
 
-def latex(df: DataFrame, most: int = 1000) -> str:
-    rows = df.limit(most).collect()
+def latex(df: DataFrame) -> str:
+    rows = df.toLocalIterator()
     return "\n".join([" & ".join(df.columns) + r" \\ \hline", *(" & ".join("" if v is None else str(v) for v in r) + r" \\" for r in rows)])
 
 

@@ -155,3 +155,36 @@ def test_digest(spark):
     top = M.top_k_one_pass(df, 5, k=0.1, ends=True)
     lines = "".join(f"({','.join(map(str, r.ranks))})\t{r.support:.12f}\n" for r in top.orderBy("rank").collect())
     assert D.digests(top).first().sha256 == hashlib.sha256(lines.encode()).hexdigest()
+
+
+def test_bounds_of_deep_searches_hold(spark):
+    """The shared bound of all depths beyond the single ones is no less than any of theirs."""
+    rng = random.Random(4)
+    n = 130
+    df = spark.createDataFrame([("a", i, rng.random()) for i in range(n)], "series_id string, pos int, value double")
+    occurred = X.occurrences(df, 3, 3).cache()
+    ends = {}
+    for r in occurred.collect():
+        ends.setdefault(tuple(r.ranks), []).append(r.pos)
+    got = {tuple(r.ranks): r.ub for r in B.profiles(occurred, n - 3, None).collect()}
+    for p, own in ends.items():
+        ub = got[p]
+        assert len(ub) == B.DENSE + 2 and ub[-1] == ub[-2]
+        each = [sum(math.exp(-(n - 1 - e - d) / n) for e in own if e <= n - 1 - d) for d in range(n - 2)]
+        assert ub[: B.DENSE] == pytest.approx(each[: B.DENSE])
+        assert max(each[B.DENSE :]) <= ub[-1] + 1e-12 <= 1.3 * max(each[B.DENSE :]) + 1e-9
+
+
+def test_search_without_a_length_limit(spark):
+    """maxLen 0 stands for the series' length, and the search ends with the last level that can matter."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([("a", i, rng.random()) for i in range(110)], "series_id string, pos int, value double")
+    got = [(r.pattern, r.n_occ, round(r.support, 9)) for r in M.mine(df, "tk", 5).orderBy("rank").collect()]
+    want = [(r.pattern, r.n_occ, round(r.support, 9)) for r in M.top_k_one_pass(df, 5, 2, 8).orderBy("rank").collect()]
+    assert got == want
+
+
+def test_seeds_by_chunks(spark):
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([3, 1, 1, 2, 5, 4, 4])], "series_id string, pos int, value double")
+    got = {r.pos: r.ranks for r in X.seeds(df, chunk=2).collect()}
+    assert got == {1: [2, 1], 2: None, 3: [1, 2], 4: [1, 2], 5: [2, 1], 6: None}
