@@ -11,8 +11,10 @@ The model is fit on at most about ``PER_LANG`` documents of a language, chosen b
 its cost does not grow; predictions cover every row and whole texts. The vocabulary and at most
 ``MAX_LANGS`` languages bound what is broadcast.
 
-Words are split at ASCII blanks and, beyond ``LONGEST`` characters, cut into parts of that length. A
-character that is no piece is the unknown piece. Results of the corner cases: ``und`` with score 0 for a
+Words are split at ASCII blanks and scored whole, however long: the forward pass is scaled as it goes, and
+words over ``BLOCK`` characters pass through it a block of positions at a time, each block starting with
+the last sums of the one before. Only fitting cuts words, into parts of ``LONGEST`` characters. A character
+that is no piece is the unknown piece. Results of the corner cases: ``und`` with score 0 for a
 null or empty text, one without a letter, and if nothing could be learned; ties go to the language first
 in code point order; repeated rows each get their row; columns beyond those named are not read.
 """
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MARK = "▁"
-#: Characters of a word scored in one piece; words a worker remembers; words in one array step.
-LONGEST, CACHE_WORDS, STEP = 40, 150_000, 4000
+#: Words and characters of words that a worker remembers; words in one array step.
+CACHE_WORDS, CACHE_CHARS, STEP = 150_000, 8_000_000, 4000
+#: Characters of a word fitted in one part; positions of a word in one array step; positions between scalings.
+LONGEST, BLOCK, SCALING = 40, 2048, 8
 #: Documents of a language that the model is fit on, about, at most; rounds of fitting; languages at most.
 PER_LANG, ROUNDS, MAX_LANGS = 3000, 3, 1000
 #: Added to every expected count.
@@ -119,6 +123,53 @@ def forward(lattice: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(lattice: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log alpha[word, language] at the words' ends, of ``forward`` with sums scaled every SCALING positions."""
+    none, longest = len(p) - 1, lattice.shape[2] - 1
+    alpha = np.zeros((len(n), lattice.shape[1], p.shape[1]))
+    alpha[:, 0] = 1
+    scale = np.zeros((len(n), p.shape[1]))
+    out = np.zeros_like(scale)
+    for e in range(1, lattice.shape[1]):
+        for size in range(1, min(e, longest) + 1):
+            own = np.flatnonzero(lattice[:, e, size] < none)
+            if len(own):
+                alpha[own, e] += alpha[own, e - size] * p[lattice[own, e, size]]
+        done = np.flatnonzero(n == e)
+        if len(done):
+            out[done] = np.log(np.maximum(alpha[done, e], 1e-300)) + scale[done]
+        if e % SCALING == 0 and e + 1 < lattice.shape[1]:
+            scale += _scaled(alpha[:, max(0, e - longest + 1) : e + 1])
+    return out
+
+
+def _scaled(window: np.ndarray) -> np.ndarray:
+    """Divides sums[word, position, language] by their largest of all positions, in place; its logarithm."""
+    top = window.max(axis=1)
+    top[top == 0] = 1
+    window /= top[:, None]
+    return np.log(top)
+
+
+def long_log_forward(vocabulary: Vocabulary, word: str, p: np.ndarray) -> np.ndarray:
+    """As log_forward for one word, by blocks of positions; what a block needs of the one before is its last sums."""
+    longest = vocabulary.longest
+    carry, scale = np.ones((1, p.shape[1])), np.zeros(p.shape[1])
+    for start in range(0, len(word), BLOCK):
+        low = start - len(carry) + 1
+        lattice = vocabulary.lattice([word[low : start + BLOCK]])[0][0]
+        alpha = np.zeros((len(lattice), p.shape[1]))
+        alpha[: len(carry)] = carry
+        for e in range(len(carry), len(lattice)):
+            reach = min(e, lattice.shape[1] - 1)
+            ids = lattice[e, 1 : reach + 1]
+            alpha[e] = (alpha[e - reach : e][::-1] * p[ids]).sum(axis=0)
+            if e % SCALING == 0:
+                scale += _scaled(alpha[None, max(0, e - longest + 1) : e + 1])[0]
+        carry = alpha[-longest:].copy()
+    return np.log(np.maximum(carry[-1], 1e-300)) + scale
+
+
 def expected(lattice: np.ndarray, n: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected counts of pieces in weighted words under one language's ``p[piece]``."""
     alpha = forward(lattice, n, p[:, None])[:, :, 0]
@@ -145,8 +196,13 @@ def parts(text: str) -> list[bytes]:
 
 
 def spelled(word: bytes) -> list[str]:
-    """What the lattice sees of a word: parts of at most LONGEST characters, the first with the mark."""
-    w = MARK + word.decode()
+    """What the lattice sees of a word: the whole word, with the mark."""
+    return [MARK + word.decode()]
+
+
+def fitted(word: str) -> list[str]:
+    """What fitting sees of a word: parts of at most LONGEST characters, the first with the mark."""
+    w = MARK + word
     return [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
 
 
@@ -158,16 +214,25 @@ class Scorer:
         self._forget()
 
     def _forget(self) -> None:
+        self.chars = 0
         self.place: dict[bytes, int] = {}
         self.logs = np.zeros((CACHE_WORDS + 1, self.p.shape[1]))
 
     def logs_of(self, spellings: list[str]) -> np.ndarray:
         out = np.zeros((len(spellings), self.p.shape[1]))
         order = np.argsort([len(x) for x in spellings], kind="stable")
-        for i in range(0, len(order), STEP):
-            own = order[i : i + STEP]
-            lattice, n = self.vocabulary.lattice([spellings[j] for j in own])
-            out[own] = np.log(np.maximum(forward(lattice, n, self.p)[np.arange(len(n)), n], 1e-300))
+        i = 0
+        while i < len(order):
+            longest = len(spellings[order[min(i + STEP, len(order)) - 1]])  # shorter words come first
+            step = max(1, STEP * (LONGEST + 1) * 16 // (max(longest, LONGEST + 1) * max(self.p.shape[1], 16)))
+            own = order[i : i + step]
+            i += step
+            if len(spellings[own[-1]]) > BLOCK:
+                for j in own:
+                    out[j] = long_log_forward(self.vocabulary, spellings[j], self.p)
+            else:
+                lattice, n = self.vocabulary.lattice([spellings[j] for j in own])
+                out[own] = log_forward(lattice, n, self.p)
         return out
 
     def texts(self, texts: list[str]) -> np.ndarray:
@@ -175,9 +240,11 @@ class Scorer:
         out = np.zeros((len(texts), self.p.shape[1]))
         words = [parts(t) for t in texts]
         new = list(set().union(*words).difference(self.place)) if words else []
-        if len(self.place) + len(new) > CACHE_WORDS:
+        chars = sum(map(len, new))
+        if len(self.place) + len(new) > CACHE_WORDS or self.chars + chars > CACHE_CHARS and self.place:
             self._forget()
             new = list(set().union(*words))
+            chars = sum(map(len, new))
             if len(new) > CACHE_WORDS:
                 if len(texts) > 1:
                     half = len(texts) // 2
@@ -191,6 +258,7 @@ class Scorer:
             starts = np.cumsum([0, *(len(x) for x in spellings)])[:-1]
             at = len(self.place)
             self.logs[at : at + len(new)] = np.add.reduceat(flat, starts, axis=0)
+            self.chars += chars
             self.place.update(zip(new, range(at, at + len(new)), strict=True))
         get = self.place.__getitem__
         for k, own in enumerate(words):
@@ -241,7 +309,7 @@ def fit(docs: DataFrame, pieces: list[str], text_col: str = "text", lang_col: st
             total = np.zeros(probs.shape)
             for f in frames:
                 for lang, g in f.groupby("lang"):
-                    spell = [(x, c) for w, c in zip(g.word, g["count"], strict=True) for x in spelled(w.encode())]
+                    spell = [(x, c) for w, c in zip(g.word, g["count"], strict=True) for x in fitted(w)]
                     spell.sort(key=lambda x: len(x[0]))
                     for i in range(0, len(spell), STEP):
                         lattice, n = own.lattice([x for x, _ in spell[i : i + STEP]])

@@ -78,3 +78,25 @@ def test_frame(spark):
     none = L.fit(df.where("doc_id = 101"), pieces)
     assert {r.lang_pred for r in L.predict(df, none).collect()} == {"und"}
     assert L.predict(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_long_words_are_scored_whole(monkeypatch, block):
+    """Segmentations across any place count, and products far below the least float have their logarithm."""
+    from fractions import Fraction
+
+    monkeypatch.setattr(L, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    p = rng.random((len(PIECES) + 1, 2)) * 1e-4
+    v = L.Vocabulary(PIECES)
+    words = ["abc" * 150 + "xyab", "ba" * 25, "ab", "c" * 9]
+    got = L.Scorer(v, p).logs_of([L.MARK + w for w in words])
+    for w, row in zip(words, got):
+        w = L.MARK + w
+        for k in range(2):
+            sums = [Fraction(1)]
+            for e in range(1, len(w) + 1):
+                ids = {s: v.id.get(w[e - s : e], v.unknown if s == 1 else None) for s in range(1, min(e, 3) + 1)}
+                sums.append(sum((sums[e - s] * Fraction(p[i, k]) for s, i in ids.items() if i is not None), Fraction(0)))
+            want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert row[k] == pytest.approx(want, rel=1e-9)
