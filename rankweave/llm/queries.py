@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import _common as C
-from . import ann, bpe, html_extract, langid, line_dedup, minhash, mixing, quality_model, quality_rules, substring_dedup
+from . import ann, bpe, html_extract, langid, line_dedup, minhash, mixing, quality_model, quality_rules, runs, substring_dedup, whitening
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_langid": langid.op9_langid,
     "op10_minhash": minhash.op10_minhash,
+    "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_whitening": whitening.op12_whitening,
 }
 
 QUERIES = {name: C.shipped(query) for name, query in QUERIES.items()}
