@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import _common as C
-from . import ann, bpe, html_extract, langid, line_dedup, minhash, mixing, quality_model, quality_rules, runs, substring_dedup, whitening
+from . import ann, bpe, html_extract, langid, line_dedup, lm_score, minhash, mixing, quality_model, quality_rules, runs, substring_dedup, whitening
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_minhash": minhash.op10_minhash,
     "op11_periodic_runs": runs.op11_periodic_runs,
     "op12_whitening": whitening.op12_whitening,
+    "op13_lm_score": lm_score.op13_lm_score,
 }
 
 QUERIES = {name: C.shipped(query) for name, query in QUERIES.items()}

@@ -237,15 +237,12 @@ def strongest(runs: Column) -> Column:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    w = C.words(F.col("text"))
-    g = F.floor(h / 10)
     # the contract's planted repeats: from word a on, the p words from a over and over
-    a = F.col("g") % F.greatest(F.col("n"), F.lit(1))
-    p = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    docs = docs.withColumns({"g": F.floor(h / 10), "w": F.when(h % 10 == 0, C.words(F.col("text")))}).withColumn("n", F.size("w").cast("long"))
+    docs = docs.withColumn("a", F.col("g") % F.greatest(F.col("n"), F.lit(1))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
     place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
-    planted = docs.where(h % 10 == 0).withColumns({"w": w, "g": g}).withColumn("n", F.size("w").cast("long")).withColumn("a", a).withColumn("p", p)
-    planted = planted.select("doc_id", F.array_join(F.transform("w", lambda _, i: F.get("w", place(i))), " ").alias("text"))
-    found = periodic_runs(docs.where(F.coalesce(h % 10 != 0, F.lit(True))).unionByName(planted))
+    planted = F.array_join(F.transform("w", lambda _, i: F.get("w", place(i))), " ")
+    found = periodic_runs(docs.select("doc_id", F.when(F.col("w").isNotNull(), planted).otherwise(F.col("text")).alias("text")))
     found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), strongest(F.col("runs")).alias("top"), "runs", "collapsed")
     lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
     lines = F.when(F.col("n_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")

@@ -21,6 +21,7 @@ CONTRACT = {
     "op10_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
     "op11_periodic_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
     "op12_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_lm_score": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
 }
 #: Columns must be of these types, whatever else a query returns.
 TYPES = {"doc_id": "bigint", "n_tokens": "bigint", "query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double", "predicted": "int", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint", "n_chars": "bigint", "n_words": "bigint", "n_removed": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean", "held_out": "boolean", "base_failed": "boolean"}
