@@ -10,8 +10,8 @@ The automaton of a whole corpus has no bound, so it is never broadcast. Texts ar
 ``BLOCK`` words, whose words become numbers inside the block. Counts of words, by the words themselves, and of longer
 n-grams, by 64-bit hashes, are summed over all blocks by Spark, and each block gets back the counts of its own
 n-grams: the states and arcs that its texts can reach. A key stands once a block at most, so no key is hot.
-The hashes travel sorted, by their first ``BITS`` bits, many in a row. Two n-grams with one hash would count
-together; of 10^13 n-grams, one in a million would.
+Words and hashes travel in the order of their hashes, many in a row, and counts come back under their places in
+that order. Two n-grams with one hash would count together; of 10^13 n-grams, one in a million would.
 
 The order is a parameter; the query's model has bigrams.
 
@@ -38,10 +38,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _common as C
 
-#: Longest n-grams; weight of the shorter history; words in a block, about; leading bits of a hash by which hashes travel.
-ORDER, KAPPA, BLOCK, BITS = 2, 500.0, 1 << 22, 14
+#: Longest n-grams; weight of the shorter history; words in a block, about; leading bits of their hashes by which words and n-grams travel.
+ORDER, KAPPA, BLOCK, BITS = 2, 500.0, 6 << 20, (12, 14)
 #: Numbers, in every block, of the end and of the start, and what stands for them among the words; no word is empty or blank.
-END, START, MARKS = 0, 1, ("", " ")
+END, START, MARKS = 0, 1, (b"", b" ")
 OUTPUT = {"n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}
 
 
@@ -86,9 +86,9 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def hashes(words: list[bytes], grams: list[Grams]) -> list[np.ndarray]:
-    """A 64-bit hash of each n-gram, which no block's numbering enters."""
+    """A 64-bit hash of each word and of each n-gram, which no block's numbering enters."""
     of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-    out, last = [], of_word
+    out, last = [of_word], of_word
     for g in grams:
         last = _mixed(last[g.history], of_word[g.word])
         out.append(last)
@@ -157,21 +157,42 @@ class Automaton:
         return out
 
 
+CODEC = dict(codec="zstd", compression_level=6)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, their lowest bytes first, then the next, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec(CODEC["codec"], CODEC["compression_level"]).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpacked(raw: pa.Buffer, count: int) -> np.ndarray:
+    planes = pa.decompress(raw, count * 4, CODEC["codec"], asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _blocks(docs: DataFrame, rows: T.StructType) -> DataFrame:
-    """One row a block: its words with their counts in its training texts, token numbers, sizes, train flags and the texts' other columns."""
+    """One row a block: its words, the token numbers, which follow the words' frequency in it, sizes, train flags and the texts' other columns."""
 
     def made(part: int, number: int, index: dict, tokens: list, sizes: list, train: list, rest: list) -> pa.RecordBatch:
-        size, flag, token = np.array(sizes), np.array(train, dtype=bool), np.concatenate(tokens)
-        counts = np.bincount(token[np.repeat(flag, size)], minlength=len(index) + 2)
-        packed = pa.compress(token.astype("<u4").tobytes(), "zstd", asbytes=True)
+        token = np.concatenate(tokens)
+        seen = np.bincount(token, minlength=len(index) + len(MARKS))[len(MARKS) :]
+        order = np.argsort(-seen, kind="stable")
+        rank = np.empty(len(seen) + len(MARKS), dtype=np.uint32)
+        rank[: len(MARKS)] = np.arange(len(MARKS))
+        rank[order + len(MARKS)] = np.arange(len(seen)) + len(MARKS)
+        known = list(index)
+        words = b"\n".join(known[i] for i in order.tolist())
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-        words = pa.array([MARKS[END], MARKS[START], *(w.decode() for w in index)], pa.string())
-        fields = [pa.array([(part << 32) + number]), one(words), one(pa.array(counts)), pa.array([packed], pa.binary()), one(pa.array(size, pa.int64())), one(pa.array(flag)), one(pa.concat_arrays(rest))]
-        return pa.RecordBatch.from_arrays(fields, ["block", "words", "counts", "token", "size", "train", "docs"])
+        packed = pa.Codec(CODEC["codec"], CODEC["compression_level"]).compress(words, asbytes=True)
+        fields = [[(part << 32) + number], [len(known)], [len(words)], [packed], [_packed(rank[token])]]
+        fields = [pa.array(f, t) for f, t in zip(fields, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        fields += [one(pa.array(sizes, pa.int64())), one(pa.array(train, pa.bool_())), one(pa.concat_arrays(rest))]
+        return pa.RecordBatch.from_arrays(fields, ["block", "n_words", "bytes", "words", "token", "size", "train", "docs"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        fresh = lambda: (defaultdict(count(2).__next__), [], [], [], [])
+        fresh = lambda: (defaultdict(count(len(MARKS)).__next__), [], [], [], [])
         index, tokens, sizes, train, rest = fresh()
         held = 0
         for batch in batches:
@@ -195,48 +216,76 @@ def _blocks(docs: DataFrame, rows: T.StructType) -> DataFrame:
         if held:
             yield made(part, number, index, tokens, sizes, train, rest)
 
-    schema = T.StructType.fromDDL("block bigint, words array<string>, counts array<bigint>, token binary, size array<bigint>, train array<boolean>").add("docs", T.ArrayType(rows))
+    schema = T.StructType.fromDDL("block bigint, n_words bigint, bytes bigint, words binary, token binary, size array<bigint>, train array<boolean>").add("docs", T.ArrayType(rows))
     return C.stored(docs.mapInArrow(gathered, schema), "blocks")
 
 
 def _opened(row: dict[str, pa.Scalar]) -> tuple[Block, list[bytes]]:
     """A block and its words."""
     size = row["size"].values.to_numpy()
-    raw = pa.decompress(row["token"].as_buffer(), int(size.sum()) * 4, "zstd", asbytes=True)
-    words = row["words"].values.cast(pa.binary()).to_pylist()
-    return Block(np.frombuffer(raw, "<u4"), size, row["train"].values.to_numpy(zero_copy_only=False), len(words)), words
+    joined = pa.decompress(row["words"].as_buffer(), row["bytes"].as_py(), CODEC["codec"], asbytes=True) if row["bytes"].as_py() else b""
+    words = [*MARKS, *(joined.split(b"\n") if row["n_words"].as_py() else [])]
+    return Block(_unpacked(row["token"].as_buffer(), int(size.sum())), size, row["train"].values.to_numpy(zero_copy_only=False), len(words)), words
+
+
+def _in_order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of hashes, in it the first place of each group of those with equal leading bits, and these bits."""
+    order = np.argsort(key, kind="stable")
+    part = (key[order] >> np.uint64(64 - bits)).astype(np.int32)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    return order, first, part[first]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
+    for i in range(batch.num_rows):
+        yield {c: batch.column(c)[i] for c in batch.schema.names}
+
+
+def _sent(part: np.ndarray, block: int, start: np.ndarray, items: pa.Array, counts: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    stops = pa.array(np.append(first, len(counts)), pa.int32())
+    fields = [pa.array(part), pa.array([block] * len(part), pa.int64()), pa.array(start.astype(np.int32)), items, pa.ListArray.from_arrays(stops, pa.array(counts.astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(fields, ["part", "block", "start", "items", "counts"])
 
 
 def _word_totals(blocks: DataFrame) -> DataFrame:
-    """(block, at, c, first): of each word of a block its count in all training texts, if any, and whether the block is the word's first."""
-    each = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
-    by = W.Window.partitionBy("word")
+    """(block, at, c, first): of each word of a block, by its place, its count in all training texts, if any, and whether the block is the word's first."""
+
+    def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in _rows(b)):
+            block, words = _opened(row)
+            order, first, part = _in_order(hashes(words, [])[0], BITS[0])
+            stops = [*first.tolist()[1:], len(order)]
+            texts = [b"\n".join(words[i] for i in order[a:b].tolist()).decode() for a, b in zip(first.tolist(), stops, strict=True)]
+            counts = np.bincount(block.token[block.learns], minlength=len(words))[order]
+            yield _sent(part, row["block"].as_py(), first, pa.array(texts, pa.string()), counts, first)
+
+    sent = blocks.mapInArrow(emitted, "part int, block bigint, start int, items string, counts array<int>").repartition("part")
+    each = sent.select("part", "block", "start", F.posexplode(F.arrays_zip(F.split("items", "\n").alias("word"), F.col("counts").alias("c"))).alias("i", "w"))
+    by = W.Window.partitionBy("part", "word")
+    each = each.select("part", "block", (F.col("start") + F.col("i")).alias("at"), F.col("w.word").alias("word"), F.col("w.c").alias("c"))
     each = each.withColumns({"total": F.sum("c").over(by), "least": F.min("block").over(by)}).where("total > 0")
-    return C.stored(each.select("block", "at", F.col("total").alias("c"), ((F.col("block") == F.col("least")) & (F.col("at") != START)).alias("first")), "words")
+    return C.stored(each.select("block", "at", F.col("total").alias("c"), ((F.col("block") == F.col("least")) & (F.col("word") != MARKS[START].decode())).alias("first")), "words")
 
 
 def _gram_totals(blocks: DataFrame, order: int) -> DataFrame:
-    """(block, key, c): of each n-gram of a block its count in all training texts, where that is more than the block's own."""
+    """(block, at, c): of each n-gram of a block, by its place, its count in all training texts, where that is more than the block's own."""
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                block, words = _opened(row)
-                grams = block.grams(order)
-                for key, g in zip(hashes(words, grams), grams, strict=True):
-                    by = np.argsort(key)
-                    key, c = key[by], g.count[by]
-                    part = (key >> np.uint64(64 - BITS)).astype(np.int32)
-                    cut = np.flatnonzero(np.diff(part, prepend=-1))
-                    stops = pa.array(np.append(cut, len(key)), pa.int32())
-                    lists = [pa.ListArray.from_arrays(stops, pa.array(x)) for x in (key.view(np.int64), c.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array([row["block"].as_py()] * len(cut), pa.int64()), *lists], ["part", "block", "keys", "counts"])
-
-    sent = blocks.select("block", "words", "token", "size", "train").mapInArrow(emitted, "part int, block bigint, keys array<bigint>, counts array<int>").repartition("part")
-    each = sent.select("part", "block", F.explode(F.arrays_zip("keys", "counts")).alias("g")).select("part", "block", F.col("g.keys").alias("key"), F.col("g.counts").alias("own"))
+        for row in (r for b in batches for r in _rows(b)):
+            block, words = _opened(row)
+            grams = block.grams(order)
+            before = 0
+            for key, g in zip(hashes(words, grams)[1:], grams, strict=True):
+                by, first, part = _in_order(key, BITS[1])
+                items = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(key[by].view(np.int64)))
+                yield _sent(part, row["block"].as_py(), before + first, items, g.count[by], first)
+                before += len(key)
+
+    sent = blocks.mapInArrow(emitted, "part int, block bigint, start int, items array<bigint>, counts array<int>").repartition("part")
+    each = sent.select("part", "block", "start", F.posexplode(F.arrays_zip(F.col("items").alias("key"), F.col("counts").alias("own"))).alias("i", "g"))
+    each = each.select("part", "block", (F.col("start") + F.col("i")).alias("at"), F.col("g.key").alias("key"), F.col("g.own").alias("own"))
     total = F.sum("own").over(W.Window.partitionBy("part", "key"))
-    return each.withColumn("c", total).where("c > own").select("block", "key", "c")
+    return each.withColumn("c", total).where("c > own").select("block", "at", "c")
 
 
 def lm_score(docs: DataFrame, train: Column, text_col: str = "text", keep: Sequence[str] = ("doc_id",), order: int = ORDER, kappa: float = KAPPA) -> DataFrame:
@@ -255,7 +304,7 @@ def lm_score(docs: DataFrame, train: Column, text_col: str = "text", keep: Seque
     seen = words.agg(F.count_if("first").alias("types")).first()
     tokens = blocks.select(F.sum(F.aggregate(F.zip_with("size", "train", lambda n, t: F.when(t, n - 1).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     types = seen.types
-    counted = words.select("block", F.col("at").cast("bigint").alias("key"), "c", F.lit(True).alias("word"))
+    counted = words.select("block", "at", "c", F.lit(True).alias("word"))
     if order > 1:
         counted = counted.unionByName(_gram_totals(blocks, order).withColumn("word", F.lit(False)))
 
@@ -274,21 +323,18 @@ def lm_score(docs: DataFrame, train: Column, text_col: str = "text", keep: Seque
 def _scored(row: dict[str, pa.Scalar], counted: pa.Table, order: int, kappa: float, tokens: int, types: int) -> dict[str, pa.Array]:
     """The figures of a block's texts."""
     block, words = _opened(row)
-    word = counted["word"].to_numpy()
-    key, c = counted["key"].to_numpy(), counted["c"].to_numpy()
-    totals = np.zeros(block.words, dtype=np.int64)
-    totals[key[word]] = c[word]
-    key, c = key[~word].view(np.uint64), c[~word]
-    by = np.argsort(key)
-    key, c = key[by], c[by]
+    word, at, c = counted["word"].to_numpy(), counted["at"].to_numpy(), counted["c"].to_numpy()
     grams = block.grams(order)
-    counts = []
-    for h, g in zip(hashes(words, grams), grams, strict=True):
+    key = hashes(words, grams)
+    totals = np.zeros(len(words), dtype=np.int64)
+    totals[_in_order(key[0], BITS[0])[0][at[word]]] = c[word]
+    counts, before, at, c = [], 0, at[~word], c[~word]
+    for h, g in zip(key[1:], grams, strict=True):
         total = g.count.astype(np.int64)
-        if len(key):
-            at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-            total = np.where(key[at] == h, c[at], total)
+        own = (at >= before) & (at < before + len(h))
+        total[_in_order(h, BITS[1])[0][at[own] - before]] = c[own]
         counts.append(total)
+        before += len(h)
     automaton = Automaton(block.words, totals, grams, counts, tokens, types, kappa)
     read = block.token != START
     text = np.repeat(np.arange(len(block.size)), block.size)[read]
