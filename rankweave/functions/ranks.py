@@ -52,6 +52,15 @@ def fusions(p: Column, q: Column) -> Column:
     return F.filter(both, lambda r: is_permutation(r) & (prefix_key(r) == p) & (suffix_key(r) == q))
 
 
+def visit_key(r: Column) -> Column:
+    """Patterns of one length in the order in which a search meets them that pairs its patterns in order and offers the child with the lower first value first.
+
+    Children of one pattern then come by falling rank of their last value, so the key has, for each prefix, the
+    rank of its last value, negated.
+    """
+    return F.transform(F.sequence(F.lit(2), F.size(r)), lambda j: -F.size(F.filter(F.slice(r, 1, j), lambda u: u <= F.get(r, j - 1))))
+
+
 def compact(r: Column) -> Column:
     """Text form, as in (1,3,2)."""
     return F.concat(F.lit("("), F.array_join(F.transform(r, lambda v: v.cast("string")), ","), F.lit(")"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -21,3 +22,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{at.rstrip('/')}/rankweave-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, what: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``stored``, with the number of rows and other aggregates observed while it is written: no job of their own."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in sums.items())), what)
+    return out, {n: v or 0 for n, v in seen.get.items()}
+
+
+#: Rows of patterns, some hundred bytes each at most, that may be broadcast.
+FEW = 100_000
+
+
+def if_few(df: DataFrame, rows: int) -> DataFrame:
+    """To be broadcast, if its counted rows are few."""
+    return F.broadcast(df) if rows <= FEW else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ranks as R
+from .scratch import stored
 
 #: Positions of a series that one task holds; chunks overlap by the window length less one.
 CHUNK = 1 << 16
@@ -63,17 +64,40 @@ def pattern_ends(occurred: DataFrame, k: float | None = None, times: float = 1.0
     return listed.withColumns({"n_occ": F.size("ends").cast("long"), "support": R.folded_sum(F.col("ends"), F.col("n"), decay(k, times))})
 
 
-def weight_prefixes(occurred: DataFrame, k: float | None = None) -> DataFrame:
-    """Adds the running sum of weights of a pattern's occurrences."""
-    by = W.Window.partitionBy("series_id", "m", "ranks").orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)
-    return occurred.withColumn("prefix", F.sum(R.weight(F.col("pos"), F.col("n"), decay(k))).over(by))
+def weight_prefixes(occurred: DataFrame, k: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Adds the running sum of weights of a pattern's occurrences.
+
+    Two levels: running sums inside chunks of positions, and the sums of the chunks before, so a pattern with any
+    number of occurrences takes many tasks, and only its chunks' sums meet in one.
+    """
+    key = ["series_id", "m", "ranks"]
+    x = occurred.withColumns({"__w": R.weight(F.col("pos"), F.col("n"), decay(k)), "__c": F.floor(F.col("pos") / chunk)})
+    earlier = W.Window.partitionBy(*key).orderBy("__c").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = x.groupBy(*key, "__c").agg(F.sum("__w").alias("__s"))
+    sums = sums.select(*key, "__c", F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__before"))
+    inside = W.Window.partitionBy(*key, "__c").orderBy("pos").rowsBetween(W.Window.unboundedPreceding, 0)
+    return x.join(sums, [*key, "__c"]).withColumn("prefix", F.col("__before") + F.sum("__w").over(inside)).drop("__w", "__c", "__before")
+
+
+def dense(rows: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+    """Adds pos, each row's place from 0 under its keys; ``order`` is total there.
+
+    Rows are sorted by ranges and counted a range at a time, so no key's rows meet in one task.
+    """
+    sort = [*keys, *order]
+    ranged = (rows.repartitionByRange(partitions, *sort) if partitions else rows.repartitionByRange(*sort)).sortWithinPartitions(*sort)
+    ranged = stored(ranged.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "ranged")
+    sizes = ranged.groupBy(*keys, "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = W.Window.partitionBy(*keys).orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return ranged.join(starts, [*keys, "__part"]).withColumn("pos", F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
 
 
 def seeds(series: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The length-2 occurrences, by comparison of neighbours, chunk by chunk; a tie gives null ranks."""
-    last, value = F.get("win", F.lit(0)), F.get("win", F.lit(1))
-    shape = F.when(last < value, F.array(F.lit(1), F.lit(2))).when(last > value, F.array(F.lit(2), F.lit(1)))
-    return windows(series, 2, 2, chunk).select("series_id", "pos", "n", F.lit(2).alias("m"), shape.alias("ranks"))
+    """The length-2 occurrences with their first and last value, by comparison of neighbours, chunk by chunk; a tie gives null ranks."""
+    first, last = F.get("win", F.lit(0)), F.get("win", F.lit(1))
+    shape = F.when(first < last, F.array(F.lit(1), F.lit(2))).when(first > last, F.array(F.lit(2), F.lit(1)))
+    return windows(series, 2, 2, chunk).select("series_id", "pos", "n", F.lit(2).alias("m"), shape.alias("ranks"), first.alias("first"), last.alias("last"))
 
 
 def ranked(patterns: DataFrame) -> DataFrame:

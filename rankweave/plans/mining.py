@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ranks as R
 from ..operators import bounds as B
 from ..operators import joins as J
 from ..operators import windows as X
-from ..operators.scratch import stored
+from ..operators.scratch import counted, if_few, stored
 
 COLUMNS = ["series_id", "n", "m", "ranks", "n_occ", "support"]
 
@@ -38,58 +38,124 @@ def top_k_one_pass(series: DataFrame, topk: int, min_len: int = 2, max_len: int
 
 @dataclass
 class Search:
-    """What a level-wise search found, and its counters."""
+    """What a level-wise search found, and each series' counters."""
 
     top: DataFrame
-    counters: dict[str, int] = field(default_factory=dict)
+    counters: DataFrame
 
 
-def top_k_pruned(series: DataFrame, topk: int, min_len: int = 2, max_len: int = 0, k: float | None = None, times: float = 1.0, use_pdub: bool = True, use_dub: bool = True) -> Search:
-    """Ranked top-k by level-wise search. Levels fuse surviving occurrences; theta rises once a level.
+COUNTERS = ("pair_attempts", "compatible_pairs", "pdub_prunes", "dub_prunes", "generated_patterns", "expanded_patterns", "aligned_checks")
 
-    Level tables go to the shared folder: lineage stays short, and a lost executor costs one level at most.
+
+def _tally(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
+    """Sums by series of the counters that ``parts`` have."""
+    every = spark.createDataFrame([], "series_id string, " + ", ".join(f"{c} bigint" for c in COUNTERS))
+    for part in parts:
+        every = every.unionByName(part, allowMissingColumns=True)
+    return every.groupBy("series_id").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS))
+
+
+def _pairs(live: DataFrame) -> DataFrame:
+    """(series_id, p, q, bound, pruned) of the pairs that ``live``, patterns with ub and theta, fuse to; theta null where there are too few patterns for one."""
+    own = live.select("series_id", "ranks", "ub", "theta")
+    pairs = J.pair_join(live).join(own.toDF("series_id", "p", "ub_p", "theta"), ["series_id", "p"]).join(own.select("series_id", F.col("ranks").alias("q"), F.col("ub").alias("ub_q")), ["series_id", "q"])
+    bound = B.pdub(F.col("ub_p"), F.col("ub_q"))
+    return pairs.select("series_id", "p", "q", bound.alias("bound"), F.coalesce(B.below(bound, F.col("theta")), F.lit(False)).alias("pruned"))
+
+
+def running_thetas(found: DataFrame, top: DataFrame | None, topk: int) -> DataFrame:
+    """(series_id, theta, steps) for every series of ``found`` or ``top``: theta before the level, and, in the order of ``visit_key``, the keys of the patterns that raise it or fill the last place, with theta after each.
+
+    Only patterns above theta can; their parents are at most e^k below it, so about (length + 1) * topk of them
+    meet in a row.
+    """
+    held = found.select("series_id").distinct().withColumn("heap", F.array().cast("array<double>"))
+    if top is not None:
+        heaps = top.groupBy("series_id").agg(F.sort_array(F.collect_list("support"), asc=False).alias("full"))
+        held = held.join(heaps, "series_id", "full").select("series_id", F.coalesce("full", F.array().cast("array<double>")).alias("heap"))
+    kth = lambda h: F.get(h, F.lit(topk - 1))
+    new = found.join(held, "series_id").where(F.coalesce(F.col("support") > kth(F.col("heap")), F.lit(True)))
+    new = new.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct(R.visit_key(F.col("ranks")).alias("key"), "support"))).alias("new"))
+    none = F.array().cast("array<struct<key:array<int>,theta:double>>")
+
+    def offered(state: Column, x: Column) -> Column:
+        heap = F.slice(F.sort_array(F.array_append(state["heap"], x["support"]), asc=False), 1, topk)
+        return F.struct(heap.alias("heap"), F.array_append(state["steps"], F.struct(x["key"].alias("key"), kth(heap).alias("theta"))).alias("steps"))
+
+    steps = F.aggregate(F.coalesce("new", F.array().cast("array<struct<key:array<int>,support:double>>")), F.struct(F.col("heap"), none.alias("steps")), offered, lambda state: state["steps"])
+    return held.join(new, "series_id", "left").select("series_id", kth(F.col("heap")).alias("theta"), steps.alias("steps"))
+
+
+def _theta_at(key: Column, itself: bool) -> Column:
+    """Theta before a place in the order, or after it."""
+    passed = F.filter("steps", lambda s: (s["key"] <= key) if itself else (s["key"] < key))
+    return F.when(F.size(passed) > 0, F.element_at(passed, -1)["theta"]).otherwise(F.col("theta"))
+
+
+def top_k_pruned(
+    series: DataFrame, topk: int, min_len: int = 2, max_len: int = 0, k: float | None = None, times: float = 1.0, use_pdub: bool = True, use_dub: bool = True, exact: bool = False
+) -> Search:
+    """Ranked top-k by level-wise search: levels fuse the occurrences of the patterns that may still matter.
+
+    Theta, the k-th support so far, rises once a level. With ``exact``, it rises with every pattern, as in a search
+    that visits pairs in order one by one, so prunes and all other counters are that search's; aligned_checks is
+    counted then, too. A pruned pair's children can't raise theta, so both find the same answer.
+    An occurrence carries its first and last value, and a level costs one exchange of occurrences. Level
+    tables go to the shared folder: lineage stays short, and a lost executor costs one level at most.
     """
     most = _checked(series, topk, min_len, max_len)
-    series = stored(series, "series")
+    spark = series.sparkSession
     level = X.seeds(series).where("ranks IS NOT NULL")
-    top, counters = None, {"pair_attempts": 0, "compatible_pairs": 0, "pdub_prunes": 0, "dub_prunes": 0, "generated_patterns": 0, "expanded_patterns": 0}
+    top, pairs, tally = None, None, []
     for m in range(2, most + 1):
-        level = stored(level, "level")
-        found = stored(B.profiles(level, most - m, k, times), "patterns")
-        count = found.count()
-        counters["generated_patterns"] += count
-        if not count:
+        if m < most:
+            level = stored(level, "level")
+        found, size = counted(B.profiles(level, most - m, k, times), "patterns")
+        total = size["rows"]
+        if not total and pairs is None:
+            break
+        offered = found if m >= min_len else found.limit(0)
+        if exact and pairs is not None:
+            thetas = stored(running_thetas(offered, top, topk), "thetas")
+            first = F.array_min(F.transform(R.fusions(F.col("p"), F.col("q")), R.visit_key))
+            late = pairs.join(thetas, "series_id", "left").withColumn("theta", _theta_at(first, False))
+            pairs = stored(late.withColumn("pruned", F.lit(use_pdub) & F.coalesce(B.below(F.col("bound"), F.col("theta")), F.lit(False))).select("series_id", "p", "q", "pruned"), "pairs")
+            gone = pairs.where("pruned").select("series_id", "p", "q")
+            found = found.withColumns({"p": R.prefix_key(F.col("ranks")), "q": R.suffix_key(F.col("ranks"))}).join(gone, ["series_id", "p", "q"], "left_anti").drop("p", "q")
+            found, size = counted(found.join(thetas, "series_id", "left").withColumn("theta", _theta_at(R.visit_key(F.col("ranks")), True)).drop("steps"), "patterns")
+            total = size["rows"]
+            tally.append(J.aligned_checks(parents, pairs.where("NOT pruned")).groupBy("series_id").agg(F.sum("checks").alias("aligned_checks")))
+        if pairs is not None:
+            tally.append(pairs.groupBy("series_id").agg(F.count(F.lit(1)).alias("compatible_pairs"), F.count_if("pruned").alias("pdub_prunes")))
+            tally.append(found.groupBy("series_id").agg(F.count(F.lit(1)).alias("generated_patterns")))
+        if not total:
             break
         if m >= min_len:
             offer = found.select(COLUMNS)
             top = stored(X.top_k(offer if top is None else top.unionByName(offer), topk).select(COLUMNS), "top")
         if m == most:
             break
-        theta = X.theta(top, topk) if top is not None else None
-        live = found if theta is None else found.join(theta, "series_id", "left").na.fill(0.0, ["theta"])
-        live = live if theta is not None else live.withColumn("theta", F.lit(0.0))
-        if use_dub:
-            live = live.where(~B.below(B.dub(F.col("ub")), F.col("theta")))
-        live = stored(live, "live")
-        expanded = live.count()
-        counters["dub_prunes"] += count - expanded
-        counters["expanded_patterns"] += expanded
-        counters["pair_attempts"] += expanded
-        pairs = J.pair_join(live)
-        own = live.select("series_id", "ranks", "ub", "theta")
-        pairs = pairs.join(own.toDF("series_id", "p", "ub_p", "theta"), ["series_id", "p"]).join(own.select("series_id", F.col("ranks").alias("q"), F.col("ub").alias("ub_q")), ["series_id", "q"])
-        pairs = stored(pairs.withColumn("pruned", B.below(B.pdub(F.col("ub_p"), F.col("ub_q")), F.col("theta"))).select("series_id", "p", "q", "pruned"), "pairs")
-        if use_pdub:
-            kept = pairs.where("NOT pruned")
-        else:
-            kept = pairs
-        both = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if("pruned").alias("pruned")).first()
-        counters["compatible_pairs"] += both.n
-        counters["pdub_prunes"] += both.pruned if use_pdub else 0
-        level = J.fuse_join(level.join(live.select("series_id", "ranks"), ["series_id", "ranks"], "left_semi"), series, kept)
+        if not exact or pairs is None:
+            theta = X.theta(top, topk) if top is not None else None
+            found = found.withColumn("theta", F.lit(None).cast("double")) if theta is None else found.join(theta, "series_id", "left")
+        lost = F.lit(use_dub) & F.coalesce(B.below(B.dub(F.col("ub")), F.col("theta")), F.lit(False))
+        marked, size = counted(found.withColumn("lost", lost), "marked", lost=F.count_if(lost))
+        tally.append(marked.groupBy("series_id").agg(F.count_if("lost").alias("dub_prunes"), F.count_if(~F.col("lost")).alias("pair_attempts"), *([F.count_if(~F.col("lost")).alias("expanded_patterns")] if pairs is not None else [])))
+        live, alive = marked.where("NOT lost"), total - size["lost"]
+        if exact:  # theta of the whole level, which holds before the next
+            live = live.drop("theta")
+            live = live.withColumn("theta", F.lit(None).cast("double")) if top is None else live.join(X.theta(top, topk), "series_id", "left")
+        pairs, size = counted(_pairs(live), "pairs", pruned=F.count_if("pruned"))
+        if not use_pdub:
+            pairs, size["pruned"] = pairs.withColumn("pruned", F.lit(False)), 0
+        parents = level.join(if_few(live.select("series_id", "ranks"), alive), ["series_id", "ranks"], "left_semi") if alive < total or exact else level
+        met = J.aligned(parents)
+        if size["pruned"]:
+            met = met.join(if_few(pairs.where("pruned").select("series_id", "p", "q"), size["pruned"]), ["series_id", "p", "q"], "left_anti")
+        level = J.fuse(met)
     if top is None:
-        top = series.sparkSession.createDataFrame([], "series_id string, n int, m int, ranks array<int>, n_occ long, support double")
-    return Search(X.top_k(top, topk).withColumn("pattern", R.compact(F.col("ranks"))), counters)
+        top = spark.createDataFrame([], "series_id string, n int, m int, ranks array<int>, n_occ long, support double")
+    return Search(X.top_k(top, topk).withColumn("pattern", R.compact(F.col("ranks"))), _tally(tally, spark))
 
 
 def threshold(series: DataFrame, min_sup: float, max_len: int = 0, k: float | None = None, times: float = 1.0) -> DataFrame:
@@ -98,15 +164,14 @@ def threshold(series: DataFrame, min_sup: float, max_len: int = 0, k: float | No
     Support can grow from a pattern to its extension, so this is less than every pattern above the threshold.
     """
     most = (series.agg((F.max("pos") + 1).alias("n")).first().n or 0) if max_len <= 0 else max_len
-    series = stored(series, "series")
     level, out, m = X.seeds(series).where("ranks IS NOT NULL"), None, 2
     while True:
-        level = stored(level, "level")
-        kept = stored(X.pattern_supports(level, k, times).where(F.col("support") + B.EPS >= min_sup), "kept")
+        level = stored(level, "level") if m < most else level
+        kept, size = counted(X.pattern_supports(level, k, times).where(F.col("support") + B.EPS >= min_sup), "kept")
         out = kept if out is None else out.unionByName(kept)
-        if m >= most or kept.isEmpty():
+        if m >= most or not size["rows"]:
             break
-        level = J.fuse_join(level.join(kept.select("series_id", "ranks"), ["series_id", "ranks"], "left_semi"), series)
+        level = J.fuse_join(level.join(if_few(kept.select("series_id", "ranks"), size["rows"]), ["series_id", "ranks"], "left_semi"))
         m += 1
     return X.ranked(out.select(COLUMNS)).withColumn("pattern", R.compact(F.col("ranks")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators.scratch import stored
+from ..operators.windows import dense
 
 MISSING = ("", ".", "ND", "NA", "NAN", "NULL")
 
@@ -40,13 +40,7 @@ def from_large_table(df: DataFrame, series: Column, order: Sequence[str], value:
     """As from_table, for series too long for one task: rows are sorted by ranges, and places counted a range at a time."""
     names = [f"o{i}" for i in range(len(order))]
     x = df.select(series.cast("string").alias("series_id"), *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)), _clean(value).alias("value")).where("value IS NOT NULL")
-    sort = ["series_id", *names]
-    ranged = (x.repartitionByRange(partitions, *sort) if partitions else x.repartitionByRange(*sort)).sortWithinPartitions(*sort)
-    ranged = stored(ranged.select("series_id", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "ranged")
-    sizes = ranged.groupBy("series_id", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = W.Window.partitionBy("series_id").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = sizes.select("series_id", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return ranged.join(starts, ["series_id", "part"]).select("series_id", (F.col("row") - F.col("first") + F.col("start")).cast("int").alias("pos"), "value")
+    return dense(x, ["series_id"], names, partitions).select("series_id", F.col("pos").cast("int").alias("pos"), "value")
 
 
 def from_arrays(df: DataFrame, series: Column, values: Column) -> DataFrame:
