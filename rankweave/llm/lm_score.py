@@ -24,10 +24,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,8 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _common as C
 
-#: Longest n-grams; weight of the shorter history; words in a block, about; leading bits of their hashes by which words and n-grams travel.
-ORDER, KAPPA, BLOCK, BITS = 2, 500.0, 6 << 20, (12, 14)
+#: Longest n-grams; weight of the shorter history; words in a block, about; leading bits of their hashes by which words, and n-grams of a lone block, travel.
+ORDER, KAPPA, BLOCK, BITS = 2, 500.0, 9 << 19, (12, 9)
 #: Numbers, in every block, of the end and of the start, and what stands for them among the words; no word is empty or blank.
 END, START, MARKS = 0, 1, (b"", b" ")
 OUTPUT = {"n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}
@@ -49,7 +50,7 @@ class Block:
     """Texts side by side: ``token`` numbers with a start and an end for each text, ``size`` of each with both."""
 
     def __init__(self, token: np.ndarray, size: np.ndarray, train: np.ndarray, words: int):
-        self.token, self.size, self.train, self.words = token.astype(np.int64), size.astype(np.int64), train, words
+        self.token, self.size, self.train, self.words = token.astype(np.int32), size.astype(np.int64), train, words
         self.begin = np.cumsum(self.size) - self.size
         self.learns = np.repeat(train, self.size)
 
@@ -60,10 +61,15 @@ class Block:
             fits = np.zeros_like(here)
             fits[1:] = here[:-1] & (self.token[1:] != START)
             at = np.flatnonzero(fits)
-            pair, first, own = np.unique(last[at - 1] * self.words + self.token[at], return_index=True, return_inverse=True)
-            number = np.full(len(self.token), -1, dtype=np.int64)
-            number[at] = own
-            out.append(Grams(pair // self.words, pair % self.words, last[at[first]], np.bincount(own[self.learns[at]], minlength=len(pair)), number))
+            pair = last[at - 1] * np.int64(self.words) + self.token[at]
+            by = np.argsort(pair)
+            pair = pair[by]
+            fresh = np.diff(pair, prepend=-1) != 0
+            number = np.full(len(self.token), -1, dtype=np.int32)
+            number[at[by]] = np.cumsum(fresh, dtype=np.int32) - 1
+            pair, some = pair[fresh], at[by[fresh]]
+            learned = np.bincount(number[at[self.learns[at]]], minlength=len(pair)).astype(np.int32)
+            out.append(Grams((pair // self.words).astype(np.int32), (pair % self.words).astype(np.int32), last[some], learned, number))
             last, here = number, fits
         return out
 
@@ -166,6 +172,15 @@ def _packed(numbers: np.ndarray) -> bytes:
     return pa.Codec(CODEC["codec"], CODEC["compression_level"]).compress(planes.tobytes(), asbytes=True)
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Rising numbers of 64 bits: their steps, lowest bytes first, then the next, so that what is common compresses."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _unpacked(raw: pa.Buffer, count: int) -> np.ndarray:
     planes = pa.decompress(raw, count * 4, CODEC["codec"], asbytes=True)
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
@@ -229,11 +244,11 @@ def _opened(row: dict[str, pa.Scalar]) -> tuple[Block, list[bytes]]:
 
 
 def _in_order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of hashes, in it the first place of each group of those with equal leading bits, and these bits."""
+    """The order of hashes, in it the first place of each group of those with equal leading bits and the end, and these bits."""
     order = np.argsort(key, kind="stable")
     part = (key[order] >> np.uint64(64 - bits)).astype(np.int32)
     first = np.flatnonzero(np.diff(part, prepend=-1))
-    return order, first, part[first]
+    return order, np.append(first, len(order)), part[first]
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
@@ -241,34 +256,39 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict[str, pa.Scalar]]:
         yield {c: batch.column(c)[i] for c in batch.schema.names}
 
 
-def _sent(part: np.ndarray, block: int, start: np.ndarray, items: pa.Array, counts: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-    stops = pa.array(np.append(first, len(counts)), pa.int32())
-    fields = [pa.array(part), pa.array([block] * len(part), pa.int64()), pa.array(start.astype(np.int32)), items, pa.ListArray.from_arrays(stops, pa.array(counts.astype(np.int32)))]
+def _sent(part: np.ndarray, block: int, before: int, items: pa.Array, counts: np.ndarray, cut: np.ndarray) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(counts.astype(np.int32)))
+    fields = [pa.array(part), pa.array([block] * len(part), pa.int64()), pa.array((before + cut[:-1]).astype(np.int32)), items, lists]
     return pa.RecordBatch.from_arrays(fields, ["part", "block", "start", "items", "counts"])
 
 
 def _word_totals(blocks: DataFrame) -> DataFrame:
-    """(block, at, c, first): of each word of a block, by its place, its count in all training texts, if any, and whether the block is the word's first."""
+    """(block, at, c, types): lists of the places of a block's words and of their counts in all training texts, if any, and the number of words of which the block is the first."""
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in _rows(b)):
             block, words = _opened(row)
-            order, first, part = _in_order(hashes(words, [])[0], BITS[0])
-            stops = [*first.tolist()[1:], len(order)]
-            texts = [b"\n".join(words[i] for i in order[a:b].tolist()).decode() for a, b in zip(first.tolist(), stops, strict=True)]
+            order, cut, part = _in_order(hashes(words, [])[0], BITS[0])
+            texts = [b"\n".join(words[i] for i in order[a:b].tolist()).decode() for a, b in pairwise(cut.tolist())]
             counts = np.bincount(block.token[block.learns], minlength=len(words))[order]
-            yield _sent(part, row["block"].as_py(), first, pa.array(texts, pa.string()), counts, first)
+            yield _sent(part, row["block"].as_py(), 0, pa.array(texts, pa.string()), counts, cut)
 
     sent = blocks.mapInArrow(emitted, "part int, block bigint, start int, items string, counts array<int>").repartition("part")
     each = sent.select("part", "block", "start", F.posexplode(F.arrays_zip(F.split("items", "\n").alias("word"), F.col("counts").alias("c"))).alias("i", "w"))
     by = W.Window.partitionBy("part", "word")
     each = each.select("part", "block", (F.col("start") + F.col("i")).alias("at"), F.col("w.word").alias("word"), F.col("w.c").alias("c"))
     each = each.withColumns({"total": F.sum("c").over(by), "least": F.min("block").over(by)}).where("total > 0")
-    return C.stored(each.select("block", "at", F.col("total").alias("c"), ((F.col("block") == F.col("least")) & (F.col("word") != MARKS[START].decode())).alias("first")), "words")
+    mine = (F.col("block") == F.col("least")) & (F.col("word") != MARKS[START].decode())
+    lists = each.groupBy("part", "block").agg(F.collect_list(F.struct("at", "total")).alias("x"), F.count_if(mine).alias("types"))
+    return C.stored(lists.select("block", F.col("x.at").alias("at"), F.col("x.total").alias("c"), "types"), "words")
 
 
 def _gram_totals(blocks: DataFrame, order: int) -> DataFrame:
-    """(block, at, c): of each n-gram of a block, by its place, its count in all training texts, where that is more than the block's own."""
+    """(block, at, c): lists of the places of a block's n-grams, in steps, and of their counts in all training texts, where these are more than the block's own.
+
+    Hashes are cut into as many parts as keep a part small whatever the number of blocks.
+    """
+    bits = BITS[1] + blocks.count().bit_length()
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in _rows(b)):
@@ -276,16 +296,34 @@ def _gram_totals(blocks: DataFrame, order: int) -> DataFrame:
             grams = block.grams(order)
             before = 0
             for key, g in zip(hashes(words, grams)[1:], grams, strict=True):
-                by, first, part = _in_order(key, BITS[1])
-                items = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(key[by].view(np.int64)))
-                yield _sent(part, row["block"].as_py(), before + first, items, g.count[by], first)
+                by, cut, part = _in_order(key, bits)
+                key = key[by]
+                items = pa.array([_planes(key[a:b]) for a, b in pairwise(cut.tolist())], pa.binary())
+                yield _sent(part, row["block"].as_py(), before, items, g.count[by], cut)
                 before += len(key)
 
-    sent = blocks.mapInArrow(emitted, "part int, block bigint, start int, items array<bigint>, counts array<int>").repartition("part")
-    each = sent.select("part", "block", "start", F.posexplode(F.arrays_zip(F.col("items").alias("key"), F.col("counts").alias("own"))).alias("i", "g"))
-    each = each.select("part", "block", (F.col("start") + F.col("i")).alias("at"), F.col("g.key").alias("key"), F.col("g.own").alias("own"))
-    total = F.sum("own").over(W.Window.partitionBy("part", "key"))
-    return each.withColumn("c", total).where("c > own").select("block", "at", "c")
+    def summed(part: pa.Table) -> pa.Table:
+        own = part["counts"].combine_chunks()
+        size, own = np.diff(own.offsets.to_numpy()), own.flatten().to_numpy()
+        key = np.concatenate([_keys(x) for x in part["items"].to_pylist()])
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(size)), size)
+        at = part["start"].to_numpy()[row] + np.arange(len(key)) - begin[row]
+        by = np.argsort(key)
+        fresh = np.diff(key[by], prepend=~key[by[:1]]) != 0
+        total = np.empty(len(key), dtype=np.int64)
+        total[by] = np.add.reduceat(own[by].astype(np.int64), np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        kept = np.flatnonzero(total > own)
+        at, row = at[kept], row[kept]
+        step = np.diff(at, prepend=0)
+        new = np.diff(row, prepend=-1) != 0
+        step[new] = at[new]
+        stops = pa.array(np.searchsorted(row, np.arange(len(size) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(stops, pa.array(x)) for x in (step.astype(np.int32), total[kept])]
+        return pa.table({"block": part["block"].combine_chunks(), "at": lists[0], "c": lists[1]})
+
+    sent = blocks.mapInArrow(emitted, "part int, block bigint, start int, items binary, counts array<int>")
+    return sent.groupBy("part").applyInArrow(summed, "block bigint, at array<int>, c array<bigint>").where(F.size("at") > 0)
 
 
 def lm_score(docs: DataFrame, train: Column, text_col: str = "text", keep: Sequence[str] = ("doc_id",), order: int = ORDER, kappa: float = KAPPA) -> DataFrame:
@@ -301,9 +339,8 @@ def lm_score(docs: DataFrame, train: Column, text_col: str = "text", keep: Seque
     rows = own.schema["docs"].dataType
     blocks = _blocks(own, rows)
     words = _word_totals(blocks)
-    seen = words.agg(F.count_if("first").alias("types")).first()
+    types = words.agg(F.sum("types")).first()[0] or 0
     tokens = blocks.select(F.sum(F.aggregate(F.zip_with("size", "train", lambda n, t: F.when(t, n - 1).otherwise(0)), F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    types = seen.types
     counted = words.select("block", "at", "c", F.lit(True).alias("word"))
     if order > 1:
         counted = counted.unionByName(_gram_totals(blocks, order).withColumn("word", F.lit(False)))
@@ -320,21 +357,32 @@ def lm_score(docs: DataFrame, train: Column, text_col: str = "text", keep: Seque
     return out.select(*(F.col(n).alias(c) for n, c in zip(inner, keep, strict=True)), *OUTPUT)
 
 
+def _lists(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and counts of all rows' lists, none of them empty, and the first place of each list."""
+    at, c = rows["at"].combine_chunks(), rows["c"].combine_chunks()
+    size = np.diff(at.offsets.to_numpy())
+    return at.flatten().to_numpy().astype(np.int64), c.flatten().to_numpy(), np.cumsum(size) - size
+
+
 def _scored(row: dict[str, pa.Scalar], counted: pa.Table, order: int, kappa: float, tokens: int, types: int) -> dict[str, pa.Array]:
     """The figures of a block's texts."""
     block, words = _opened(row)
-    word, at, c = counted["word"].to_numpy(), counted["at"].to_numpy(), counted["c"].to_numpy()
     grams = block.grams(order)
     key = hashes(words, grams)
     totals = np.zeros(len(words), dtype=np.int64)
-    totals[_in_order(key[0], BITS[0])[0][at[word]]] = c[word]
-    counts, before, at, c = [], 0, at[~word], c[~word]
+    at, c, _ = _lists(counted.filter(counted["word"]))
+    totals[_in_order(key[0], BITS[0])[0][at]] = c
+    step, c, first = _lists(counted.filter(pc.invert(counted["word"])))
+    at = np.cumsum(step)
+    at -= np.repeat((at - step)[first], np.diff(np.append(first, len(at))))
+    counts, before = [], 0
     for h, g in zip(key[1:], grams, strict=True):
         total = g.count.astype(np.int64)
         own = (at >= before) & (at < before + len(h))
         total[_in_order(h, BITS[1])[0][at[own] - before]] = c[own]
         counts.append(total)
         before += len(h)
+    del key, at, c, step
     automaton = Automaton(block.words, totals, grams, counts, tokens, types, kappa)
     read = block.token != START
     text = np.repeat(np.arange(len(block.size)), block.size)[read]
