@@ -39,8 +39,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _common as C
 
-#: Longest n-grams; weight of the shorter history; words in a block, about; leading bits of their hashes by which words, and n-grams of a lone block, travel.
-ORDER, KAPPA, BLOCK, BITS = 2, 500.0, 9 << 19, (12, 9)
+#: Longest n-grams; weight of the shorter history; words in a block, about; leading bits of their hashes by which words travel; tokens for each part of the n-grams.
+ORDER, KAPPA, BLOCK, BITS, PART = 2, 500.0, 9 << 19, 8, 1 << 18
 #: Numbers, in every block, of the end and of the start, and what stands for them among the words; no word is empty or blank.
 END, START, MARKS = 0, 1, (b"", b" ")
 OUTPUT = {"n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"}
@@ -268,7 +268,7 @@ def _word_totals(blocks: DataFrame) -> DataFrame:
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in _rows(b)):
             block, words = _opened(row)
-            order, cut, part = _in_order(hashes(words, [])[0], BITS[0])
+            order, cut, part = _in_order(hashes(words, [])[0], BITS)
             texts = [b"\n".join(words[i] for i in order[a:b].tolist()).decode() for a, b in pairwise(cut.tolist())]
             counts = np.bincount(block.token[block.learns], minlength=len(words))[order]
             yield _sent(part, row["block"].as_py(), 0, pa.array(texts, pa.string()), counts, cut)
@@ -286,9 +286,11 @@ def _word_totals(blocks: DataFrame) -> DataFrame:
 def _gram_totals(blocks: DataFrame, order: int) -> DataFrame:
     """(block, at, c): lists of the places of a block's n-grams, in steps, and of their counts in all training texts, where these are more than the block's own.
 
-    Hashes are cut into as many parts as keep a part small whatever the number of blocks.
+    Hashes are cut, by their leading bits, into parts of about PART n-grams of all blocks. A block sends a row for each
+    part that it has n-grams of, so at most as many rows as n-grams.
     """
-    bits = BITS[1] + blocks.count().bit_length()
+    every = blocks.select(F.sum(F.aggregate("size", F.lit(0).cast("bigint"), lambda a, n: a + n))).first()[0] or 0
+    bits = max(BITS, (every // PART).bit_length())
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in _rows(b)):
@@ -371,7 +373,7 @@ def _scored(row: dict[str, pa.Scalar], counted: pa.Table, order: int, kappa: flo
     key = hashes(words, grams)
     totals = np.zeros(len(words), dtype=np.int64)
     at, c, _ = _lists(counted.filter(counted["word"]))
-    totals[_in_order(key[0], BITS[0])[0][at]] = c
+    totals[_in_order(key[0], BITS)[0][at]] = c
     step, c, first = _lists(counted.filter(pc.invert(counted["word"])))
     at = np.cumsum(step)
     at -= np.repeat((at - step)[first], np.diff(np.append(first, len(at))))
@@ -379,7 +381,7 @@ def _scored(row: dict[str, pa.Scalar], counted: pa.Table, order: int, kappa: flo
     for h, g in zip(key[1:], grams, strict=True):
         total = g.count.astype(np.int64)
         own = (at >= before) & (at < before + len(h))
-        total[_in_order(h, BITS[1])[0][at[own] - before]] = c[own]
+        total[_in_order(h, BITS)[0][at[own] - before]] = c[own]
         counts.append(total)
         before += len(h)
     del key, at, c, step
