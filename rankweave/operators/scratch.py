@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it again, which ends its lineage and survives lost executors."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that the driver and every executor see."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or (context._jsc.sc().getCheckpointDir().get() if context._jsc.sc().getCheckpointDir().isDefined() else None)
     if at is None:
@@ -19,9 +18,14 @@ def stored(df: DataFrame, what: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="rankweave-")
         context.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/rankweave-{what}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/rankweave-{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Writes a frame to the shared folder and reads it again, which ends its lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def counted(df: DataFrame, what: str, **sums: Column) -> tuple[DataFrame, dict[str, int]]:

@@ -158,22 +158,36 @@ def top_k_pruned(
     return Search(X.top_k(top, topk).withColumn("pattern", R.compact(F.col("ranks"))), _tally(tally, spark))
 
 
-def threshold(series: DataFrame, min_sup: float, max_len: int = 0, k: float | None = None, times: float = 1.0) -> DataFrame:
+def threshold_search(series: DataFrame, min_sup: float, max_len: int = 0, k: float | None = None, times: float = 1.0, nested: bool = False) -> Search:
     """Patterns with at least ``min_sup`` whose prefix and suffix were kept too, level by level, ranked.
 
     Support can grow from a pattern to its extension, so this is less than every pattern above the threshold.
+    ``nested`` counts pair attempts as a search without an index would. Counters are made only when they are read.
     """
     most = (series.agg((F.max("pos") + 1).alias("n")).first().n or 0) if max_len <= 0 else max_len
-    level, out, m = X.seeds(series).where("ranks IS NOT NULL"), None, 2
+    level, out, m, tally = X.seeds(series).where("ranks IS NOT NULL"), None, 2, []
     while True:
-        level = stored(level, "level") if m < most else level
+        level = stored(level, "level")
         kept, size = counted(X.pattern_supports(level, k, times).where(F.col("support") + B.EPS >= min_sup), "kept")
         out = kept if out is None else out.unionByName(kept)
+        if m > 2:
+            tally.append(kept.groupBy("series_id").agg(F.count(F.lit(1)).alias("expanded_patterns")))
+            tally.append(level.select("series_id", "ranks").distinct().groupBy("series_id").agg(F.count(F.lit(1)).alias("generated_patterns")))
         if m >= most or not size["rows"]:
             break
-        level = J.fuse_join(level.join(if_few(kept.select("series_id", "ranks"), size["rows"]), ["series_id", "ranks"], "left_semi"))
+        parents = level.join(if_few(kept.select("series_id", "ranks"), size["rows"]), ["series_id", "ranks"], "left_semi")
+        pairs = J.pair_counters(kept)
+        tally.append(pairs.select("series_id", F.col("nested_attempts" if nested else "hash_attempts").alias("pair_attempts"), "compatible_pairs"))
+        tally.append(J.aligned_checks(parents, J.pair_join(kept)).groupBy("series_id").agg(F.sum("checks").alias("aligned_checks")))
+        level = J.fuse_join(parents)
         m += 1
-    return X.ranked(out.select(COLUMNS)).withColumn("pattern", R.compact(F.col("ranks")))
+    top = X.ranked(out.select(COLUMNS)).withColumn("pattern", R.compact(F.col("ranks")))
+    return Search(top, _tally(tally, series.sparkSession))
+
+
+def threshold(series: DataFrame, min_sup: float, max_len: int = 0, k: float | None = None, times: float = 1.0) -> DataFrame:
+    """The answer of ``threshold_search``."""
+    return threshold_search(series, min_sup, max_len, k, times).top
 
 
 def threshold_complete(series: DataFrame, min_sup: float, max_len: int, k: float | None = None, times: float = 1.0) -> DataFrame:
@@ -190,6 +204,17 @@ MODES = {
 ALIASES = {"full": "tk", "dub-only": "tk-no-pdub", "pdub-only": "tk-no-dub", "no-bounds": "tk-no-bounds"}
 
 
+def search(series: DataFrame, mode: str = "tk", topk: int = 10, min_sup: float = 1.5, min_len: int = 2, max_len: int = 0, k: float | None = None, times: float = 1.0) -> Search:
+    """The ranked answer of a mode, by name, and the counters of the search that the mode stands for."""
+    mode = ALIASES.get(mode, mode)
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    if mode in ("hj", "baseline"):
+        return threshold_search(series, min_sup, max_len, k, times, nested=mode == "baseline")
+    flags = MODES[mode] or {"use_pdub": False, "use_dub": False}
+    return top_k_pruned(series, topk, min_len, max_len, k, times, exact=True, **flags)
+
+
 def mine(series: DataFrame, mode: str = "tk", topk: int = 10, min_sup: float = 1.5, min_len: int = 2, max_len: int = 0, k: float | None = None) -> DataFrame:
     """The ranked answer of a mode, by name."""
     mode = ALIASES.get(mode, mode)

@@ -13,8 +13,11 @@ from .operators import digest as D
 from .operators import joins as J
 from .operators import stats as T
 from .operators import windows as X
+from .operators.scratch import scratch_path
+from .plans import grid as G
 from .plans import mining as M
 from .sources import series as S
+from .sources import text_source as N
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -383,6 +386,22 @@ def sensitivity_k(spark, d):
     return _grid([(f, X.top_k(X.pattern_supports(occurred, None, f), 3)) for f in (0.5, 1.0, 2.0)], "factor")
 
 
+_GRID = "(VALUES " + ", ".join(f"('{c.phase}', {c.factor}, {c.topk}, {c.maxlen})" for c in G.CAMPAIGN) + ") AS g(phase, factor, topk, maxlen)"
+
+
+@query(
+    "campaign_grid",
+    _windows(orders, 2, 16)
+    + f""", f AS (SELECT DISTINCT factor::DOUBLE AS factor FROM {_GRID}),
+    p AS (SELECT series_id, n, factor, m, ranks, count(*) AS n_occ, sum(exp(-(factor / n) * ((n - 1) - pos)) ORDER BY pos) AS support FROM o, f GROUP BY series_id, n, factor, m, ranks),
+    t AS (SELECT series_id, phase, g.factor::DOUBLE AS factor, topk::BIGINT AS topk, maxlen::BIGINT AS maxlen, m, ranks, n_occ, support, row_number() OVER (PARTITION BY series_id, phase, g.factor, topk, maxlen ORDER BY support DESC, m, ranks) AS rank FROM p JOIN {_GRID} ON g.factor = p.factor AND m <= maxlen AND maxlen <= n QUALIFY rank <= topk)
+    SELECT series_id, phase, factor, topk, maxlen, rank, {_P} AS pattern, n_occ, round(support, 6) AS support FROM t""",
+)
+def campaign_grid(spark, d):
+    found = G.campaign(orders(spark, d))
+    return _shown(found, "series_id", "phase", "factor", "topk", "maxlen", "rank", "pattern", "n_occ", "support")
+
+
 @query("mode_agreement", "SELECT DISTINCT o_orderpriority AS dataset, 3::BIGINT AS modes, 1::BIGINT AS digests, TRUE AS agree FROM orders")
 def mode_agreement(spark, d):
     series, out = orders(spark, d), None
@@ -472,7 +491,7 @@ def nearest_factor(spark, d):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, d):
-    return T.bootstrap_median(run_log(spark, d), rounds=1000)
+    return T.bootstrap_median(run_log(spark, d))
 
 
 @query("search_counters")
@@ -533,7 +552,18 @@ def array_series(spark, d):
 
 @query("dataset_sha")
 def dataset_sha(spark, d):
-    return S.file_digests(spark, f"{d}/region.parquet")
+    """Digests of every table's files."""
+    return S.file_digests(spark, f"{d}/*.parquet")
+
+
+@query("series_source", f"WITH {_series(orders)} SELECT series_id, pos, round(value, 6) AS value FROM s")
+def series_source(spark, d):
+    """Text files of numbers, one a series, read back by small ranges of bytes."""
+    texts = orders(spark, d).repartition("series_id").sortWithinPartitions("series_id", "pos").select("series_id", F.concat("value", F.lit(", ")).alias("value"))
+    path = scratch_path(spark, "texts")
+    texts.write.partitionBy("series_id").text(path)
+    back = N.read_series(spark, path, 4096)
+    return back.select(F.regexp_extract("series_id", "series_id=([^/]+)/", 1).alias("series_id"), F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -6,13 +6,19 @@ before positions are given.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..operators.windows import dense
+from .text_source import located
+
+#: Bytes of a file read at a time.
+BLOCK = 8 << 20
 
 MISSING = ("", ".", "ND", "NA", "NAN", "NULL")
 
@@ -108,9 +114,36 @@ def last_by_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """name, sha256 and, against ``expected(name, want)``, status: ok, changed, missing or unknown."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    """name, sha256 and, against ``expected(name, want)``, status: ok, changed, missing or unknown.
+
+    The driver lists a path, a folder or a pattern of paths; each file is read and hashed a block at a time in a task,
+    so it can have any size.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for top in system.globStatus(at) or () for f in (system.listStatus(top.getPath()) if top.isDirectory() else [top]) if f.isFile() and f.getPath().getName()[:1] not in "._"]
+    listed = spark.createDataFrame([(f.getPath().toString(), f.getPath().getName()) for f in found], "path string, name string")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for uri in batch.column("path").to_pylist():
+                system, inner, _ = located(uri)
+                total = hashlib.sha256()
+                with system.open_input_stream(inner) as f:
+                    while block := f.read(BLOCK):
+                        total.update(block)
+                sums.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sums, pa.string())], ["name", "sha256"])
+
+    files = listed.repartition("path").mapInArrow(hashed, "name string, sha256 string")
     if expected is None:
         return files
     status = F.when(F.col("sha256").isNull(), "missing").when(F.col("want").isNull(), "unknown").when(F.col("sha256") == F.col("want"), "ok").otherwise("changed")
     return files.join(expected, "name", "full").withColumn("status", status)
+
+
+def verified(digests: DataFrame) -> DataFrame:
+    """``digests`` against expected ones, with an error, when they are read, for a file that changed or is missing."""
+    wrong = F.raise_error(F.concat(F.lit("file "), "name", F.lit(" is "), "status")).cast("string")
+    return digests.withColumn("status", F.when(F.col("status").isin("changed", "missing"), wrong).otherwise(F.col("status")))
