@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import itertools
 import math
@@ -233,3 +234,35 @@ def test_stream_out_of_order(spark, tmp_path):
         _run(_feed(spark, tmp_path / "late", [rows[2:], rows[:2]]), "late")
     with pytest.raises(Exception, match="out of order"):
         _run(_feed(spark, tmp_path / "twice", [[*rows, rows[1]]]), "twice")
+
+
+def test_stream_of_late_values(spark, tmp_path):
+    """Values that come out of order, within the watermark's delay, give the answer of the batch; those behind it are dropped."""
+    rng = random.Random(2)
+    start = datetime.datetime(2024, 1, 1)
+    t = [15, 32, 29, 27, 34, 33, 25, 20, 28, 23, 31, 30, 22, 35]
+    rows = [(s, start + datetime.timedelta(seconds=i // 2), i, float(v) + shift) for i, v in enumerate(t) for s, shift in (("a", 0.0), ("b", 0.25 * i))]
+    mixed = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 5))
+    end = start + datetime.timedelta(hours=1)
+    folder = tmp_path / "in-time"
+    folder.mkdir()
+    schema = "series_id string, ts timestamp, seq long, value double"
+    parts = [mixed[:9], mixed[9:15], mixed[15:], [("c", end, 0, 1.0)], [("c", end + datetime.timedelta(hours=1), 1, 2.0)], [("a", start, 99, 1000.0)]]
+    for i, part in enumerate(parts):
+        own = tmp_path / f"in-time-{i}"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(own))
+        shutil.copy(next(own.glob("*.parquet")), folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + 100 * i,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder)).withWatermark("ts", "10 seconds")
+    q = recency.stream_supports_in_time(stream, 0.1).writeStream.outputMode("update").format("memory").queryName("in_time").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    df = spark.createDataFrame([(s, i, v) for s, _, i, v in rows], "series_id string, pos int, value double")
+    want = {(r.series_id, r.pattern): r.support for r in mining.top_k_one_pass(df, 1000, 2, 4, 0.1).collect()}
+    newest = {}
+    for r in spark.table("in_time").collect():
+        if r.pos >= newest.get((r.series_id, r.pattern), (-1, 0))[0]:
+            newest[r.series_id, r.pattern] = (r.pos, r.support)
+    assert set(newest) - {x for x in newest if x[0] == "c"} == set(want)
+    for x, (pos, s) in newest.items():
+        if x[0] != "c":
+            assert s * math.exp(-0.1 * (len(t) - 1 - pos)) == pytest.approx(want[x])
