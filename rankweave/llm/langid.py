@@ -11,10 +11,11 @@ The model is fit on at most about ``PER_LANG`` documents of a language, chosen b
 its cost does not grow; predictions cover every row and whole texts. The vocabulary and at most
 ``MAX_LANGS`` languages bound what is broadcast.
 
-Words are split at ASCII blanks and scored whole, however long: the forward pass is scaled as it goes, and
-words over ``BLOCK`` characters pass through it a block of positions at a time, each block starting with
-the last sums of the one before. Only fitting cuts words, into parts of ``LONGEST`` characters. A character
-that is no piece is the unknown piece. Results of the corner cases: ``und`` with score 0 for a
+Words are split at ASCII blanks and scored whole, however long. At a boundary that no piece of the vocabulary
+spans, all segmentations meet, so a word's sum is the product of the sums of its stretches between such boundaries; in
+most scripts a stretch has a few characters. The forward pass takes the stretches of many words side by side,
+over the pieces that really stand in them, and is scaled as it goes; a long stretch is passed through alone.
+Only fitting cuts words, into parts of ``LONGEST`` characters. A character that is no piece is the unknown piece. Results of the corner cases: ``und`` with score 0 for a
 null or empty text, one without a letter, and if nothing could be learned; ties go to the language first
 in code point order; repeated rows each get their row; columns beyond those named are not read.
 """
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 MARK = "▁"
-#: Words and characters of words that a worker remembers; words in one array step.
-CACHE_WORDS, CACHE_CHARS, STEP = 150_000, 8_000_000, 4000
-#: Characters of a word fitted in one part; positions of a word in one array step; positions between scalings.
-LONGEST, BLOCK, SCALING = 40, 2048, 8
+#: Words, characters of words and bytes of their logarithms that a worker remembers; words fitted in one array step; characters scored in one.
+CACHE_WORDS, CACHE_CHARS, CACHE_BYTES, STEP, CHARS = 400_000, 8_000_000, 64 << 20, 4000, 1 << 18
+#: Characters of a word fitted in one part; of a stretch that goes alone; positions of a word without boundaries in one step; positions between scalings.
+LONGEST, ALONE, BLOCK, SCALING = 40, 200, 2048, 8
 #: Documents of a language that the model is fit on, about, at most; rounds of fitting; languages at most.
 PER_LANG, ROUNDS, MAX_LANGS = 3000, 3, 1000
 #: Added to every expected count.
@@ -57,36 +58,62 @@ class Vocabulary:
         self.unknown = len(pieces)
         self.size = len(pieces) + 1
         self.longest = max((len(p) for p in pieces), default=1)
-        self.bits = max(10, (32 * len(pieces)).bit_length())
+        starts = {p[:i] for p in pieces for i in range(1, len(p))}
+        self.bits = max(10, (16 * (len(pieces) + len(starts))).bit_length())
         self.keys = np.zeros(1 << self.bits, dtype="uint64")
         self.values = np.full(1 << self.bits, self.size, dtype="int32")
+        self.more = np.zeros(1 << self.bits, dtype=bool)  # whether longer pieces begin so
         self.probes = 1
-        for p, i in self.id.items():
+        for p in starts.union(pieces):
             key = 0
             for c in p:
                 key = (key * self.BASE + ord(c) + 1) & self.MASK
             slot, tries = self._slot(key), 1
-            while self.values[slot] != self.size and self.keys[slot] != key:
+            while (self.values[slot] != self.size or self.more[slot]) and self.keys[slot] != key:
                 slot, tries = (slot + 1) & ((1 << self.bits) - 1), tries + 1
-            if self.values[slot] != self.size:
+            if self.values[slot] != self.size or self.more[slot]:
                 raise ValueError("two pieces have one hash")
-            self.keys[slot], self.values[slot], self.probes = key, i, max(self.probes, tries)
+            self.keys[slot], self.values[slot], self.more[slot], self.probes = key, self.id.get(p, self.size), p in starts, max(self.probes, tries)
 
     def _slot(self, key: int) -> int:
         return ((key * 0xD1B54A32D192ED03) & self.MASK) >> (64 - self.bits)
 
-    def _find(self, key: np.ndarray) -> np.ndarray:
+    def _places(self, key: np.ndarray) -> np.ndarray:
+        """Slots of hashes in the table, or of others where they have none."""
         slot = ((key * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - self.bits)).astype("int64")
-        out = np.where(self.keys[slot] == key, self.values[slot], np.int32(self.size))
-        open_ = np.flatnonzero((out == self.size) & (self.values[slot] != self.size))
-        for k in range(1, self.probes):
+        open_ = np.flatnonzero((self.keys[slot] != key) & ((self.values[slot] != self.size) | self.more[slot]))
+        for _ in range(1, self.probes):
             if not len(open_):
                 break
-            at = (slot[open_] + k) & ((1 << self.bits) - 1)
-            same = self.keys[at] == key[open_]
-            out[open_[same]] = self.values[at[same]]
-            open_ = open_[~same & (self.values[at] != self.size)]
-        return out
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            at = slot[open_]
+            open_ = open_[(self.keys[at] != key[open_]) & ((self.values[at] != self.size) | self.more[at])]
+        return slot
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        slot = self._places(key)
+        return np.where(self.keys[slot] == key, self.values[slot], np.int32(self.size))
+
+    def arcs(self, chars: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, piece) of all pieces that stand in words laid end to end; end: where the word of each place ends."""
+        at, key, out = np.arange(len(chars)), np.zeros(len(chars), dtype="uint64"), []
+        codes = chars.astype("uint64") + np.uint64(1)
+        for size in range(1, self.longest + 1):
+            fits = at + size <= end[at]
+            at, key = at[fits], key[fits] * np.uint64(self.BASE) + codes[at[fits] + (size - 1)]
+            slot = self._places(key)
+            same = self.keys[slot] == key
+            piece = np.where(same, self.values[slot], np.int32(self.size))
+            if size == 1:
+                out.append((at, np.ones(len(at), dtype="int64"), np.where(piece == self.size, np.int32(self.unknown), piece)))
+            else:
+                real = np.flatnonzero(piece != self.size)
+                out.append((at[real], np.full(len(real), size), piece[real]))
+            on = same & self.more[slot]
+            at, key = at[on], key[on]
+            if not len(at):
+                break
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(word, end, length) -> piece, or ``size`` for none; the words' lengths."""
@@ -123,26 +150,66 @@ def forward(lattice: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
-def log_forward(lattice: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """log alpha[word, language] at the words' ends, of ``forward`` with sums scaled every SCALING positions."""
-    none, longest = len(p) - 1, lattice.shape[2] - 1
-    alpha = np.zeros((len(n), lattice.shape[1], p.shape[1]))
-    alpha[:, 0] = 1
-    scale = np.zeros((len(n), p.shape[1]))
-    out = np.zeros_like(scale)
-    for e in range(1, lattice.shape[1]):
-        for size in range(1, min(e, longest) + 1):
-            own = np.flatnonzero(lattice[:, e, size] < none)
-            if len(own):
-                alpha[own, e] += alpha[own, e - size] * p[lattice[own, e, size]]
-        done = np.flatnonzero(n == e)
-        if len(done):
-            out[done] = np.log(np.maximum(alpha[done, e], 1e-300)) + scale[done]
-        if e % SCALING == 0 and e + 1 < lattice.shape[1]:
-            scale += _scaled(alpha[:, max(0, e - longest + 1) : e + 1])
+def stretch_logs(start: np.ndarray, size: np.ndarray, piece: np.ndarray, cuts: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log sums of the stretches between ``cuts``, the places, from first to last, that no arc spans."""
+    length = np.diff(cuts)
+    own = np.repeat(np.arange(len(length)), length)[start]
+    out = np.zeros((len(length), p.shape[1]))
+    single = length[own] == 1
+    out[own[single]] = np.log(np.maximum(p[piece[single]], 1e-300))
+    for k in np.flatnonzero(length > ALONE).tolist():
+        mine = own == k
+        out[k] = _alone(start[mine] - cuts[k], size[mine], piece[mine], int(length[k]), p)
+    side = (length[own] > 1) & (length[own] <= ALONE)
+    start, size, piece, own = start[side], size[side], piece[side], own[side]
+    if not len(start):
+        return out
+    # a stretch has one node more than characters
+    first = cuts[:-1] + np.arange(len(length))
+    alpha = np.zeros((int(cuts[-1]) + len(length), p.shape[1]))
+    alpha[first] = 1
+    origin, target, step = start + own, start + size + own, start + size - cuts[own]
+    order = np.argsort(step * (int(target.max()) + 1) + target)
+    origin, target, step, piece = origin[order], target[order], step[order], piece[order]
+    bounds = np.searchsorted(step, np.arange(1, int(step[-1]) + 2))
+    window = np.arange(int(size.max()))  # what later pieces reach back to
+    for e in range(1, len(bounds)):
+        a, b = bounds[e - 1], bounds[e]
+        to = target[a:b]
+        begins = np.flatnonzero(np.diff(to, prepend=-1))
+        alpha[to[begins]] = np.add.reduceat(alpha[origin[a:b]] * p[piece[a:b]], begins, axis=0)
+        if e % SCALING == 0:
+            going = np.flatnonzero((length > e) & (length <= ALONE))
+            if len(going):
+                nodes = first[going][:, None] + e - window[window <= e]
+                held = alpha[nodes]
+                out[going] += _scaled(held)
+                alpha[nodes] = held
+    whole = np.flatnonzero((length > 1) & (length <= ALONE))
+    out[whole] += np.log(np.maximum(alpha[first[whole] + length[whole]], 1e-300))
     return out
 
 
+def _alone(start: np.ndarray, size: np.ndarray, piece: np.ndarray, length: int, p: np.ndarray) -> np.ndarray:
+    """Log sums of one long stretch, place by place."""
+    order = np.argsort(start + size, kind="stable")
+    starts, pieces = start[order].tolist(), p[piece[order]].tolist()
+    bounds = np.searchsorted((start + size)[order], np.arange(length + 2)).tolist()
+    languages, reach = range(p.shape[1]), int(size.max())
+    sums, scale = [[1.0] * p.shape[1]], np.zeros(p.shape[1])
+    for e in range(1, length + 1):
+        total = [0.0] * p.shape[1]
+        for k in range(bounds[e], bounds[e + 1]):
+            before, weight = sums[starts[k]], pieces[k]
+            total = [total[j] + before[j] * weight[j] for j in languages]
+        sums.append(total)
+        if e % SCALING == 0:
+            held = np.array(sums[max(0, e + 1 - reach) :])
+            scale += _scaled(held[None])[0]
+            sums[max(0, e + 1 - reach) :] = held.tolist()
+    return np.log(np.maximum(sums[-1], 1e-300)) + scale
+
+
 def _scaled(window: np.ndarray) -> np.ndarray:
     """Divides sums[word, position, language] by their largest of all positions, in place; its logarithm."""
     top = window.max(axis=1)
@@ -152,7 +219,7 @@ def _scaled(window: np.ndarray) -> np.ndarray:
 
 
 def long_log_forward(vocabulary: Vocabulary, word: str, p: np.ndarray) -> np.ndarray:
-    """As log_forward for one word, by blocks of positions; what a block needs of the one before is its last sums."""
+    """Log sums of one word by blocks of positions; what a block needs of the one before is its last sums."""
     longest = vocabulary.longest
     carry, scale = np.ones((1, p.shape[1])), np.zeros(p.shape[1])
     for start in range(0, len(word), BLOCK):
@@ -195,9 +262,10 @@ def parts(text: str) -> list[bytes]:
     return text.lower().encode().split()
 
 
-def spelled(word: bytes) -> list[str]:
-    """What the lattice sees of a word: the whole word, with the mark."""
-    return [MARK + word.decode()]
+def spelled(words: list[bytes]) -> list[str]:
+    """What the lattice sees of words: the whole words, with the mark."""
+    mark = MARK.encode()
+    return (mark + (b"\n" + mark).join(words)).decode().split("\n")
 
 
 def fitted(word: str) -> list[str]:
@@ -216,48 +284,67 @@ class Scorer:
     def _forget(self) -> None:
         self.chars = 0
         self.place: dict[bytes, int] = {}
-        self.logs = np.zeros((CACHE_WORDS + 1, self.p.shape[1]))
+        self.words = max(1000, min(CACHE_WORDS, CACHE_BYTES // (8 * self.p.shape[1])))
+        self.logs = np.zeros((self.words + 1, self.p.shape[1]))
 
     def logs_of(self, spellings: list[str]) -> np.ndarray:
         out = np.zeros((len(spellings), self.p.shape[1]))
-        order = np.argsort([len(x) for x in spellings], kind="stable")
+        size = np.array([len(x) for x in spellings], dtype="int64")
         i = 0
-        while i < len(order):
-            longest = len(spellings[order[min(i + STEP, len(order)) - 1]])  # shorter words come first
-            step = max(1, STEP * (LONGEST + 1) * 16 // (max(longest, LONGEST + 1) * max(self.p.shape[1], 16)))
-            own = order[i : i + step]
-            i += step
-            if len(spellings[own[-1]]) > BLOCK:
-                for j in own:
-                    out[j] = long_log_forward(self.vocabulary, spellings[j], self.p)
-            else:
-                lattice, n = self.vocabulary.lattice([spellings[j] for j in own])
-                out[own] = log_forward(lattice, n, self.p)
+        while i < len(spellings):
+            j = max(i + 1, int(np.searchsorted(np.cumsum(size[i:]), CHARS, side="right")) + i)
+            out[i:j] = self._together(spellings[i:j]) if size[i] <= CHARS else self._long(spellings[i])
+            i = j
         return out
 
+    def _stretches(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(ends of the words, the places that no piece spans, arcs) of words laid end to end."""
+        size = np.array([len(x) for x in words], dtype="int64")
+        stop = np.cumsum(size)
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        start, length, piece = self.vocabulary.arcs(chars, np.repeat(stop, size))
+        wide = length > 1
+        spanned = np.bincount(start[wide] + 1, minlength=len(chars) + 2) - np.bincount(start[wide] + length[wide], minlength=len(chars) + 2)
+        return stop, np.flatnonzero(np.cumsum(spanned)[: len(chars) + 1] == 0), (start, length, piece)
+
+    def _together(self, words: list[str]) -> np.ndarray:
+        stop, cuts, arcs = self._stretches(words)
+        logs = stretch_logs(*arcs, cuts, self.p)
+        return np.add.reduceat(logs, np.searchsorted(cuts, np.concatenate([[0], stop[:-1]])), axis=0)
+
+    def _long(self, word: str) -> np.ndarray:
+        """A word by parts of CHARS characters that end where no piece spans."""
+        out, at = np.zeros(self.p.shape[1]), 0
+        while len(word) - at > CHARS:
+            _, cuts, (start, length, piece) = self._stretches([word[at : at + CHARS + self.vocabulary.longest]])
+            cuts = cuts[cuts <= CHARS]
+            if len(cuts) < 2:
+                return out + long_log_forward(self.vocabulary, word[at:], self.p)
+            own = start < cuts[-1]
+            out += stretch_logs(start[own], length[own], piece[own], cuts, self.p).sum(axis=0)
+            at += int(cuts[-1])
+        return out + self._together([word[at:]])[0]
+
     def texts(self, texts: list[str]) -> np.ndarray:
         """Log-probability of each text in each language."""
         out = np.zeros((len(texts), self.p.shape[1]))
         words = [parts(t) for t in texts]
         new = list(set().union(*words).difference(self.place)) if words else []
         chars = sum(map(len, new))
-        if len(self.place) + len(new) > CACHE_WORDS or self.chars + chars > CACHE_CHARS and self.place:
+        if len(self.place) + len(new) > self.words or self.chars + chars > CACHE_CHARS and self.place:
             self._forget()
             new = list(set().union(*words))
             chars = sum(map(len, new))
-            if len(new) > CACHE_WORDS:
+            if len(new) > self.words:
                 if len(texts) > 1:
                     half = len(texts) // 2
                     return np.vstack([self.texts(texts[:half]), self.texts(texts[half:])])
-                for i in range(0, len(words[0]), CACHE_WORDS // 2):  # one text of very many words
-                    out[0] += self.texts([b" ".join(words[0][i : i + CACHE_WORDS // 2]).decode()])[0]
+                for i in range(0, len(words[0]), self.words // 2):  # one text of very many words
+                    out[0] += self.texts([b" ".join(words[0][i : i + self.words // 2]).decode()])[0]
                 return out
         if new:
-            spellings = [spelled(w) for w in new]
-            flat = self.logs_of([x for own in spellings for x in own])
-            starts = np.cumsum([0, *(len(x) for x in spellings)])[:-1]
             at = len(self.place)
-            self.logs[at : at + len(new)] = np.add.reduceat(flat, starts, axis=0)
+            self.logs[at : at + len(new)] = self.logs_of(spelled(new))
             self.chars += chars
             self.place.update(zip(new, range(at, at + len(new)), strict=True))
         get = self.place.__getitem__

@@ -37,7 +37,7 @@ def test_forward_sums_all_segmentations():
         for k in range(2):
             assert row[k] == pytest.approx(math.log(brute(L.MARK + w, p[:, k])))
     long = "abc" * 50
-    want = sum(s.logs_of([x])[0] for x in L.spelled(long.encode()))
+    want = sum(s.logs_of([x])[0] for x in L.spelled([long.encode()]))
     assert s.texts([f"{long} ab\tab"])[0] == pytest.approx(want + 2 * got[0])
 
 
@@ -100,3 +100,25 @@ def test_long_words_are_scored_whole(monkeypatch, block):
                 sums.append(sum((sums[e - s] * Fraction(p[i, k]) for s, i in ids.items() if i is not None), Fraction(0)))
             want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
             assert row[k] == pytest.approx(want, rel=1e-9)
+
+
+def test_stretches_meet_where_no_piece_spans(monkeypatch):
+    """Words of many stretches, of one long stretch and longer than one step give what a pass over all their places gives."""
+    rng = np.random.default_rng(8)
+    p = rng.random((len(PIECES) + 1, 3)) ** 4
+    v, s = L.Vocabulary(PIECES), None
+    words = [L.MARK + w for w in ("ab" * 400, "abxc?cab" * 90, "日本語" * 70, "a", "?", "abc" * 30 + "??" + "ab" * 250)]
+    want = [L.long_log_forward(v, w, np.vstack([p, np.zeros((1, 3))])) for w in words]
+    for chars in (1 << 18, 300, 20):
+        monkeypatch.setattr(L, "CHARS", chars)
+        for alone in (3, 200, 10_000):
+            monkeypatch.setattr(L, "ALONE", alone)
+            s = L.Scorer(v, p)
+            assert s.logs_of(words) == pytest.approx(np.array(want), rel=1e-9)
+
+
+def test_repeated_rows_and_one_word_of_many_characters(spark):
+    df = spark.createDataFrame([(1, "abc ab", "en"), (1, "abc ab", "en"), (2, "xy xy", "de"), (3, "xy" * 20_000, None), (4, None, "en")], "doc_id long, text string, lang string")
+    model = L.fit(df, PIECES)
+    got = [(r.doc_id, r.lang_pred) for r in L.predict(df, model).collect()]
+    assert sorted(got) == [(1, "en"), (1, "en"), (2, "de"), (3, "de"), (4, "und")]
