@@ -503,14 +503,14 @@ def search_counters(spark, d):
 @query(
     "search_counters_all",
     _patterns(orders, 2, 4)
-    + f""", a AS (SELECT a.series_id, a.m, a.ranks AS p, b.ranks AS q FROM p a JOIN p b ON a.series_id = b.series_id AND a.m = b.m AND a.m < 4
+    + f""", pr AS (SELECT a.series_id, a.m, a.ranks AS p, b.ranks AS q FROM p a JOIN p b ON a.series_id = b.series_id AND a.m = b.m AND a.m < 4
       AND {_without('a.ranks', '1')} = list_transform(list_filter(b.ranks, lambda v: v <> b.ranks[b.m]), lambda v: v - (CASE WHEN v > b.ranks[b.m] THEN 1 ELSE 0 END))),
-    x AS (SELECT a.series_id, p, q, pos + 1 AS v, 0 AS side FROM a JOIN o ON o.series_id = a.series_id AND o.ranks = a.p UNION ALL SELECT a.series_id, p, q, pos, 1 FROM a JOIN o ON o.series_id = a.series_id AND o.ranks = a.q),
-    h AS (SELECT series_id, p, q, least(max(v) FILTER (side = 0), max(v) FILTER (side = 1)) AS top FROM x GROUP BY ALL),
-    c AS (SELECT h.series_id, count(DISTINCT (h.p, h.q, v)) AS aligned_checks FROM h JOIN x ON x.series_id = h.series_id AND x.p = h.p AND x.q = h.q AND v <= top GROUP BY h.series_id),
-    e AS (SELECT series_id, count(*) AS compatible_pairs FROM a GROUP BY series_id)
+    xs AS (SELECT a.series_id, p, q, pos + 1 AS v, 0 AS side FROM pr a JOIN o ON o.series_id = a.series_id AND o.ranks = a.p UNION ALL SELECT a.series_id, p, q, pos, 1 FROM pr a JOIN o ON o.series_id = a.series_id AND o.ranks = a.q),
+    h AS (SELECT series_id, p, q, least(max(v) FILTER (side = 0), max(v) FILTER (side = 1)) AS top FROM xs GROUP BY ALL),
+    ck AS (SELECT h.series_id, count(DISTINCT (h.p, h.q, v)) AS aligned_checks FROM h JOIN xs x ON x.series_id = h.series_id AND x.p = h.p AND x.q = h.q AND v <= top GROUP BY h.series_id),
+    cp AS (SELECT series_id, count(*) AS compatible_pairs FROM pr GROUP BY series_id)
     SELECT p.series_id, count(*) FILTER (m < 4) AS pair_attempts, any_value(compatible_pairs) AS compatible_pairs, 0::BIGINT AS pdub_prunes, 0::BIGINT AS dub_prunes, count(*) FILTER (m > 2) AS generated_patterns,
-      count(*) FILTER (m = 3) AS expanded_patterns, any_value(aligned_checks) AS aligned_checks FROM p JOIN e USING (series_id) JOIN c USING (series_id) GROUP BY p.series_id""",
+      count(*) FILTER (m = 3) AS expanded_patterns, any_value(aligned_checks) AS aligned_checks FROM p JOIN cp USING (series_id) JOIN ck USING (series_id) GROUP BY p.series_id""",
 )
 def search_counters_all(spark, d):
     """Counters of the search without bounds, which SQL can tell."""
