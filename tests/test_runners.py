@@ -103,3 +103,26 @@ def test_benchmark_properties(spark, tmp_path):
 def test_environment(spark):
     lines = dict(x.split("=", 1) for x in U.environment(spark, warmups=5, modes=U.FIVE).splitlines())
     assert lines["warmups"] == "5" and lines["modes"].split(",") == list(U.FIVE) and lines["java.version"] and int(lines["maxMemoryMB"]) > 0
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from rankweave import __main__ as cli
+
+    rng = random.Random(3)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text(" ".join(str(rng.random()) for _ in range(25)))
+    assert cli.main(["--input", str(tmp_path / "in" / "a.txt"), "--topK", "3", "--maxLen", "3"]) == 0
+    lines = [x for x in capsys.readouterr().out.splitlines() if "\t" in x]
+    assert [x.split("\t")[0] for x in lines] == ["1", "2", "3"]
+    monkeypatch.setattr(U, "CENTRAL", CELL)
+    monkeypatch.setattr(U, "PUBLIC", ("hjtopk", "tk"))
+    for f in (U.canonical, U.run_log):
+        monkeypatch.setattr(f, "__defaults__", tuple(CELL if d == G.Cell("central", 1.0, 50, 12) else (CELL,) if d == (G.Cell("central", 1.0, 50, 12),) else d for d in f.__defaults__))
+    assert cli.main(["--input", str(tmp_path / "in"), "--run", "public", "--output", str(tmp_path / "out"), "--warmups", "0", "--repeats", "1"]) == 0
+    assert {(r.dataset, r.mode) for r in S.read_run_log(spark, str(tmp_path / "out" / "runs"), "public").collect()} == {("a.txt", "hjtopk"), ("a.txt", "tk")}
+    assert S.read_canonical(spark, str(tmp_path / "out" / "canonical")).count() == 12
+    assert any(r.value.startswith("spark.version=") for r in spark.read.text(str(tmp_path / "out" / "environment")).collect())
+    (tmp_path / "conf").mkdir()
+    (tmp_path / "conf" / "b.properties").write_text("datasets=in/a.txt\nmodes=hj\nwarmups=0\nrepeats=1\nmaxlen=3\n")
+    assert cli.main(["--input", str(tmp_path / "conf" / "b.properties"), "--run", "benchmark", "--output", str(tmp_path / "out")]) == 0
+    assert [r["dataset"] for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "benchmark")).collect()] == ["a.txt"]
