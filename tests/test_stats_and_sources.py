@@ -161,18 +161,18 @@ def test_series_by_ranges_of_bytes(spark, tmp_path):
     folder.mkdir()
     rng = random.Random(3)
     parts = [" ", ",", ";", "\n", "  ,; ", "\t\r\n", "\x0b"]
-    (folder / "a b.txt").write_text(" \n" + "".join(f"{rng.choice(['1', '-0.0', '12345.678', '1e-3', 'NaN', '7' * 40])}{rng.choice(parts)}" for _ in range(300)))
+    (folder / "a b.txt").write_text(" \n" + "".join(f"{rng.choice(['1', '-0.0', '12345.678', '1e-3', 'NaN', '7' * 40])}{rng.choice(parts)}" for _ in range(60)))
     (folder / "one.txt").write_text("42")
     (folder / "_hidden").write_text("9 9")
     whole = {}
     for r in S.read_text(spark, str(folder)).collect():
         whole.setdefault(r.series_id.rsplit("/", 1)[1].replace("%20", " "), {})[r.pos] = str(r.value)
-    for size in (1, 7, 64, 1000, 1 << 20):
+    for size in (5, 64, 1 << 20):
         got = {}
         for r in N.read_series(spark, str(folder), size).collect():
             got.setdefault(r.series_id.rsplit("/", 1)[1], {})[r.pos] = str(r.value)
         assert got == whole, size
-    many = spark.read.format("series").option("range", 100).load(str(folder))
+    many = spark.read.format("series").option("range", 20).load(str(folder))
     assert many.select("series_id", "part").distinct().count() > 15
     for bad in (",1 2", "1 x 2", "", " \n"):
         (tmp_path / "bad.txt").write_text(bad)
