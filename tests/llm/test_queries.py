@@ -32,7 +32,7 @@ def test_registered():
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="tables absent")
-@pytest.mark.parametrize("name", ["op3_quality", "op4_mixing", "op5_html_extract", "op8_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_byte_bpe", "op3_quality", "op4_mixing", "op5_html_extract", "op6_substring_dedup", "op7_line_dedup", "op8_quality_rules", "op9_langid", "op10_minhash", "op11_periodic_runs", "op13_lm_score"])
 def test_contract_columns(spark, name):
     df = queries.QUERIES[name](spark, DIR)
     assert df.columns[: len(CONTRACT[name])] == CONTRACT[name]
