@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import ranks as R
 from ..operators import bounds as B
 from ..operators import joins as J
 from ..operators import windows as X
-from ..operators.scratch import counted, if_few, stored
+from ..operators.scratch import FEW, counted, if_few, stored
 
 COLUMNS = ["series_id", "n", "m", "ranks", "n_occ", "support"]
 
@@ -106,7 +107,8 @@ def top_k_pruned(
     most = _checked(series, topk, min_len, max_len)
     spark = series.sparkSession
     level = X.seeds(series).where("ranks IS NOT NULL")
-    top, pairs, tally = None, None, []
+    offers, offered, pairs, tally = [], 0, None, []
+    top = lambda: X.top_k(reduce(DataFrame.unionByName, offers), topk) if offers else None
     for m in range(2, most + 1):
         if m < most:
             level = stored(level, "level")
@@ -114,9 +116,8 @@ def top_k_pruned(
         total = size["rows"]
         if not total and pairs is None:
             break
-        offered = found if m >= min_len else found.limit(0)
         if exact and pairs is not None:
-            thetas = stored(running_thetas(offered, top, topk), "thetas")
+            thetas = stored(running_thetas(found if m >= min_len else found.limit(0), top(), topk), "thetas")
             first = F.array_min(F.transform(R.fusions(F.col("p"), F.col("q")), R.visit_key))
             late = pairs.join(thetas, "series_id", "left").withColumn("theta", _theta_at(first, False))
             pairs = stored(late.withColumn("pruned", F.lit(use_pdub) & F.coalesce(B.below(F.col("bound"), F.col("theta")), F.lit(False))).select("series_id", "p", "q", "pruned"), "pairs")
@@ -131,31 +132,34 @@ def top_k_pruned(
         if not total:
             break
         if m >= min_len:
-            offer = found.select(COLUMNS)
-            top = stored(X.top_k(offer if top is None else top.unionByName(offer), topk).select(COLUMNS), "top")
+            offers, offered = [*offers, found.select(COLUMNS)], offered + total
+            if offered > FEW:  # what can't be among the first any more isn't read again
+                offers, offered = [stored(top().select(COLUMNS), "top")], 0
         if m == most:
             break
+        with_theta = lambda x: x.withColumn("theta", F.lit(None).cast("double")) if not offers else x.join(X.theta(top(), topk), "series_id", "left")
         if not exact or pairs is None:
-            theta = X.theta(top, topk) if top is not None else None
-            found = found.withColumn("theta", F.lit(None).cast("double")) if theta is None else found.join(theta, "series_id", "left")
+            found = with_theta(found)
         lost = F.lit(use_dub) & F.coalesce(B.below(B.dub(F.col("ub")), F.col("theta")), F.lit(False))
         marked, size = counted(found.withColumn("lost", lost), "marked", lost=F.count_if(lost))
         tally.append(marked.groupBy("series_id").agg(F.count_if("lost").alias("dub_prunes"), F.count_if(~F.col("lost")).alias("pair_attempts"), *([F.count_if(~F.col("lost")).alias("expanded_patterns")] if pairs is not None else [])))
         live, alive = marked.where("NOT lost"), total - size["lost"]
         if exact:  # theta of the whole level, which holds before the next
-            live = live.drop("theta")
-            live = live.withColumn("theta", F.lit(None).cast("double")) if top is None else live.join(X.theta(top, topk), "series_id", "left")
-        pairs, size = counted(_pairs(live), "pairs", pruned=F.count_if("pruned"))
+            live = with_theta(live.drop("theta"))
+        pairs, most_pairs = _pairs(live), alive * (m + 1)
         if not use_pdub:
-            pairs, size["pruned"] = pairs.withColumn("pruned", F.lit(False)), 0
+            pairs = pairs.withColumn("pruned", F.lit(False))
+        if exact or most_pairs > FEW:
+            pairs = stored(pairs, "pairs")
         parents = level.join(if_few(live.select("series_id", "ranks"), alive), ["series_id", "ranks"], "left_semi") if alive < total or exact else level
         met = J.aligned(parents)
-        if size["pruned"]:
-            met = met.join(if_few(pairs.where("pruned").select("series_id", "p", "q"), size["pruned"]), ["series_id", "p", "q"], "left_anti")
+        if use_pdub:
+            met = met.join(if_few(pairs.where("pruned").select("series_id", "p", "q"), most_pairs), ["series_id", "p", "q"], "left_anti")
         level = J.fuse(met)
-    if top is None:
-        top = spark.createDataFrame([], "series_id string, n int, m int, ranks array<int>, n_occ long, support double")
-    return Search(X.top_k(top, topk).withColumn("pattern", R.compact(F.col("ranks"))), _tally(tally, spark))
+    last = top()
+    if last is None:
+        last = X.top_k(spark.createDataFrame([], "series_id string, n int, m int, ranks array<int>, n_occ long, support double"), topk)
+    return Search(last.withColumn("pattern", R.compact(F.col("ranks"))), _tally(tally, spark))
 
 
 def threshold_search(series: DataFrame, min_sup: float, max_len: int = 0, k: float | None = None, times: float = 1.0, nested: bool = False) -> Search:
