@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ranks as R
-from .windows import CHUNK
+from .windows import CHUNK, dealt, many
 
 
 def pair_join(patterns: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def aligned(occurred: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     own, ahead = F.floor(F.col("pos") / chunk), F.floor((F.col("pos") + 1) / chunk)
     x = occurred.select("series_id", "pos", "n", "m", "ranks", "first", "last", F.explode(F.when(own == ahead, F.array(own)).otherwise(F.array(own, ahead))).alias("chunk"))
+    x = dealt(x, many(occurred), "series_id", "chunk")
     before = F.lag(F.struct("pos", "ranks", "first")).over(W.Window.partitionBy("series_id", "chunk").orderBy("pos"))
     x = x.withColumn("before", before).where((F.col("before.pos") == F.col("pos") - 1) & (own == F.col("chunk")))
     return x.select("series_id", "pos", "n", "m", F.col("before.ranks").alias("p"), F.col("ranks").alias("q"), F.col("before.first").alias("first"), "last")

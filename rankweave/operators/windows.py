@@ -7,15 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import ranks as R
-from .scratch import stored
+from .scratch import counted, if_few, stored
 
-#: Positions of a series that one task holds; chunks overlap by the window length less one.
-CHUNK = 1 << 16
+#: Positions of a series in one piece of work; chunks overlap by the window length less one.
+CHUNK = 1 << 14
+#: Rows or windows dealt to a task, where their number is known.
+SHARE = 1 << 19
+
+
+def dealt(x: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """By keys to as many tasks as ``rows`` need, which their bytes wouldn't tell; few rows as the session deals them."""
+    tasks = -(-rows // SHARE)
+    return x.repartition(max(tasks, x.sparkSession.sparkContext.defaultParallelism), *keys) if tasks > 1 else x
+
+
+def many(series: DataFrame) -> int:
+    """Rows of series too long for one task each, as their source noted; 0 where it noted none."""
+    return series.schema["pos"].metadata.get("rows", 0)
 
 
 def sized(series: DataFrame) -> DataFrame:
-    """Adds n, the length of the series: a small aggregate joined back, since a window would hold a series in one task."""
-    return series.join(series.groupBy("series_id").agg((F.max("pos") + 1).alias("n")), "series_id")
+    """Adds n, the length of the series, where its source has not: a small aggregate joined back, since a window would hold a series in one task."""
+    return series if "n" in series.columns else series.join(series.groupBy("series_id").agg((F.max("pos") + 1).alias("n")), "series_id")
 
 
 def decay(k: float | None, times: float = 1.0) -> Column:
@@ -30,22 +43,29 @@ def windows(series: DataFrame, min_len: int, max_len: int, chunk: int = CHUNK) -
 
     A series is cut into chunks, each with the max_len - 1 values before it, so a long one takes many tasks.
     """
+    return _cut(series, min_len, max_len, chunk).drop("chunk")
+
+
+def _cut(series: DataFrame, min_len: int, max_len: int, chunk: int = CHUNK) -> DataFrame:
+    """``windows`` with their chunk, by which they are dealt."""
     if min_len < 1 or max_len < min_len:
         raise ValueError("window lengths must be from 1 up, the least first")
     x = sized(series)
     own = F.floor(F.col("pos") / chunk).cast("int")
     ahead = F.floor((F.col("pos") + (max_len - 1)) / chunk).cast("int")  # the chunks that look back to here
-    x = x.withColumn("chunk", F.explode(F.sequence(own, ahead)))
+    x = x.select("series_id", "pos", "n", "value", F.explode(F.sequence(own, ahead)).alias("chunk"))
+    x = dealt(x, many(series) * (max_len - min_len + 1), "series_id", "chunk")
     before = W.Window.partitionBy("series_id", "chunk").orderBy("pos").rowsBetween(1 - max_len, 0)
     x = x.withColumn("buf", F.collect_list("value").over(before)).where(own == F.col("chunk"))
     lengths = F.sequence(F.lit(min_len), F.least(F.lit(max_len), F.size("buf")))
-    x = x.where(F.size("buf") >= min_len).select("series_id", "pos", "n", "buf", F.explode(lengths).alias("m"))
-    return x.select("series_id", "pos", "n", "m", F.slice("buf", -F.col("m"), F.col("m")).alias("win"))
+    x = x.where(F.size("buf") >= min_len).select("series_id", "chunk", "pos", "n", "buf", F.explode(lengths).alias("m"))
+    return x.select("series_id", "chunk", "pos", "n", "m", F.slice("buf", -F.col("m"), F.col("m")).alias("win"))
 
 
-def occurrences(series: DataFrame, min_len: int, max_len: int, chunk: int = CHUNK) -> DataFrame:
-    """series_id, pos, n, m and ranks for every window without ties."""
-    return windows(series, min_len, max_len, chunk).select("series_id", "pos", "n", "m", R.rank_encode(F.col("win")).alias("ranks")).where("ranks IS NOT NULL")
+def occurrences(series: DataFrame, min_len: int, max_len: int, chunk: int = CHUNK, ends: bool = False) -> DataFrame:
+    """series_id, pos, n, m and ranks for every window without ties; with ``ends``, its first and last value, too."""
+    own = [F.get("win", F.lit(0)).alias("first"), F.element_at("win", -1).alias("last")] if ends else []
+    return windows(series, min_len, max_len, chunk).select("series_id", "pos", "n", "m", R.rank_encode(F.col("win")).alias("ranks"), *own).where("ranks IS NOT NULL")
 
 
 def pattern_counts(occurred: DataFrame) -> DataFrame:
@@ -79,18 +99,24 @@ def weight_prefixes(occurred: DataFrame, k: float | None = None, chunk: int = CH
     return x.join(sums, [*key, "__c"]).withColumn("prefix", F.col("__before") + F.sum("__w").over(inside)).drop("__w", "__c", "__before")
 
 
-def dense(rows: DataFrame, keys: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
-    """Adds pos, each row's place from 0 under its keys; ``order`` is total there.
+def dense(rows: DataFrame, keys: list[str], order: list[str], partitions: int | None = None, kept: list[str] | None = None) -> DataFrame:
+    """Adds pos, each row's place from 0 under its keys; ``order`` is total there. With ``kept``, the result has only the keys, these columns, pos and n, the number of the key's rows.
 
     Rows are sorted by ranges and counted a range at a time, so no key's rows meet in one task.
     """
     sort = [*keys, *order]
     ranged = (rows.repartitionByRange(partitions, *sort) if partitions else rows.repartitionByRange(*sort)).sortWithinPartitions(*sort)
-    ranged = stored(ranged.withColumns({"__part": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "ranged")
+    own = rows.columns if kept is None else [*keys, *kept]
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("int")  # in the range
+    ranged = stored(ranged.select(*own, F.spark_partition_id().alias("__part"), place.alias("__row")), "ranged")
     sizes = ranged.groupBy(*keys, "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    before = W.Window.partitionBy(*keys).orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = sizes.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return ranged.join(starts, [*keys, "__part"]).withColumn("pos", F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
+    whole = W.Window.partitionBy(*keys)
+    before = whole.orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__n").over(whole).cast("int").alias("n"))
+    starts, size = counted(starts if kept is not None else starts.drop("n"), "starts")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in keys]
+    placed = ranged.alias("r").join(if_few(starts, size["rows"]).alias("s"), [F.col("r.__part") == F.col("s.__part"), *same])
+    return placed.select(*(F.col(f"r.{c}") for c in own), (F.col("__row") + F.col("__shift")).alias("pos"), *(["n"] if kept is not None else []))
 
 
 def seeds(series: DataFrame, chunk: int = CHUNK) -> DataFrame:

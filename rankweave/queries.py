@@ -29,19 +29,19 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
-    return S.from_table(_t(spark, d, "orders"), F.col("o_orderpriority"), ["o_orderkey"], F.col("o_totalprice"))
+    return S.from_table(_t(spark, d, "orders"), F.col("o_orderpriority"), ["o_orderkey"], F.col("o_totalprice"), sizes=True)
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    return S.from_table(_t(spark, d, "events"), F.col("user_id"), ["ts", "event_id"], F.col("value"))
+    return S.from_table(_t(spark, d, "events"), F.col("user_id"), ["ts", "event_id"], F.col("value"), sizes=True)
 
 
 def event_types(spark: SparkSession, d: str) -> DataFrame:
-    return S.from_table(_t(spark, d, "events"), F.col("event_type"), ["ts", "event_id"], F.col("value"))
+    return S.from_table(_t(spark, d, "events"), F.col("event_type"), ["ts", "event_id"], F.col("value"), sizes=True)
 
 
 def quantities(spark: SparkSession, d: str) -> DataFrame:
-    return S.from_table(_t(spark, d, "lineitem"), F.concat_ws("-", "l_returnflag", "l_linestatus"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_quantity"))
+    return S.from_table(_t(spark, d, "lineitem"), F.concat_ws("-", "l_returnflag", "l_linestatus"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_quantity"), sizes=True)
 
 
 def run_log(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators.windows import dense
+from ..operators.windows import SHARE, dealt, dense
 from .text_source import located
 
 #: Bytes of a file read at a time.
@@ -35,18 +35,37 @@ def _clean(value: Column) -> Column:
     return value.cast("double") + F.lit(0.0)
 
 
-def from_table(df: DataFrame, series: Column, order: Sequence[str], value: Column) -> DataFrame:
-    """Series of a table's rows: ``order`` must be a total order inside a series. One shuffle, on the series."""
-    x = df.select(series.cast("string").alias("series_id"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), _clean(value).alias("value")).where("value IS NOT NULL")
-    by = W.Window.partitionBy("series_id").orderBy(*(f"o{i}" for i in range(len(order))))
-    return x.select("series_id", (F.row_number().over(by) - 1).alias("pos"), "value")
+#: Rows of the longest series that are still sorted in one task each.
+SHORT = 1 << 16
 
 
-def from_large_table(df: DataFrame, series: Column, order: Sequence[str], value: Column, partitions: int | None = None) -> DataFrame:
-    """As from_table, for series too long for one task: rows are sorted by ranges, and places counted a range at a time."""
+def _read(df: DataFrame, series: Column, order: Sequence[str], value: Column) -> DataFrame:
+    return df.select(series.cast("string").alias("series_id"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), _clean(value).alias("value")).where("value IS NOT NULL")
+
+
+def from_table(df: DataFrame, series: Column, order: Sequence[str], value: Column, sizes: bool = False) -> DataFrame:
+    """Series of a table's rows: ``order`` must be a total order inside a series. With ``sizes``, n is the series' length.
+
+    The rows of each series are counted first. One shuffle, on the series, if all are short; ranges of rows if any is
+    long, and pos then notes the number of all rows, by which later steps are dealt.
+    """
+    x = _read(df, series, order, value)
+    rows, longest = x.groupBy("series_id").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     names = [f"o{i}" for i in range(len(order))]
-    x = df.select(series.cast("string").alias("series_id"), *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)), _clean(value).alias("value")).where("value IS NOT NULL")
-    return dense(x, ["series_id"], names, partitions).select("series_id", F.col("pos").cast("int").alias("pos"), "value")
+    if longest > SHORT:
+        x = dense(x, ["series_id"], names, -(-rows // SHARE) * 2, ["value"])
+        x = x.select("series_id", F.col("pos").cast("int").alias("pos", metadata={"rows": rows}), "value", "n")
+    else:
+        whole = W.Window.partitionBy("series_id")
+        x = dealt(x, rows * 8, "series_id")  # windows of several lengths stay in the same tasks
+        x = x.select("series_id", (F.row_number().over(whole.orderBy(*names)) - 1).alias("pos"), "value", F.count(F.lit(1)).over(whole).cast("int").alias("n"))
+    return x if sizes else x.drop("n")
+
+
+def from_large_table(df: DataFrame, series: Column, order: Sequence[str], value: Column, partitions: int | None = None) -> DataFrame:
+    """As from_table, by ranges of rows however short the series are."""
+    placed = dense(_read(df, series, order, value), ["series_id"], [f"o{i}" for i in range(len(order))], partitions, ["value"])
+    return placed.select("series_id", F.col("pos").cast("int").alias("pos"), "value")
 
 
 def from_arrays(df: DataFrame, series: Column, values: Column) -> DataFrame:
