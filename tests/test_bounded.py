@@ -3,6 +3,8 @@
 import random
 
 from rankweave.operators import windows as X
+from rankweave.plans import grid as G
+from rankweave.plans import mining as M
 from rankweave.sources import series as S
 
 from pyspark.sql import functions as F
@@ -27,3 +29,22 @@ def test_long_series_are_dealt(spark, monkeypatch):
     windows = X.windows(series, 2, 3, 16)
     per_task = windows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert X.many(series) == 330 and windows.rdd.getNumPartitions() == 17 and per_task < 300
+
+
+def test_campaign_ends_early(spark, monkeypatch):
+    series = S.from_table(table(spark, {"a": 4000}), F.col("s"), ["o"], F.col("v"))
+    seen, windows = [], X.windows
+    monkeypatch.setattr(X, "windows", lambda s, lo, hi, *rest: (seen.append(hi), windows(s, lo, hi, *rest))[1])
+    cells = (G.Cell("x", 1.0, 5, 12), G.Cell("x", 2.0, 30, 9))
+    found = G.campaign(series, cells).collect()
+    assert max(seen) <= 6
+    monkeypatch.undo()
+    for c in cells:
+        want = {(r["rank"], tuple(r.ranks), r.n_occ, r.support) for r in M.top_k_one_pass(series, c.topk, 2, c.maxlen, times=c.factor).collect()}
+        assert {(r["rank"], tuple(r.ranks), r.n_occ, r.support) for r in found if r.topk == c.topk} == want
+
+
+def test_campaign_rising_series(spark):
+    series = spark.createDataFrame([("up", i, float(i)) for i in range(40)], "series_id string, pos int, value double")
+    found = G.campaign(series, (G.Cell("x", 1.0, 50, 16),)).collect()
+    assert sorted(len(r.ranks) for r in found) == list(range(2, 17))
