@@ -231,8 +231,7 @@ def fuse_patterns(spark, d):
 
 @query("fuse_join", _patterns(quantities, 4, 4) + f" SELECT series_id, {_P} AS pattern, n_occ, round(support, 6) AS support FROM p")
 def fuse_join(spark, d):
-    series = quantities(spark, d)
-    return _shown(X.pattern_supports(J.fuse_join(X.occurrences(series, 3, 3), series)), "series_id", "pattern", "n_occ", "support")
+    return _shown(X.pattern_supports(J.fuse_join(X.occurrences(quantities(spark, d), 3, 3, ends=True))), "series_id", "pattern", "n_occ", "support")
 
 
 @query(

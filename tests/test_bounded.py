@@ -2,6 +2,8 @@
 
 import random
 
+from rankweave import queries as Q
+from rankweave.functions import ranks as R
 from rankweave.operators import windows as X
 from rankweave.plans import grid as G
 from rankweave.plans import mining as M
@@ -48,3 +50,14 @@ def test_campaign_rising_series(spark):
     series = spark.createDataFrame([("up", i, float(i)) for i in range(40)], "series_id string, pos int, value double")
     found = G.campaign(series, (G.Cell("x", 1.0, 50, 16),)).collect()
     assert sorted(len(r.ranks) for r in found) == list(range(2, 17))
+
+
+def test_fuse_join_needs_no_join(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(1, i, 1, 1, float(i), "A", "F", float(rng.randrange(9))) for i in range(200)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string, l_linestatus string, l_quantity double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = Q.fuse_join(spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = X.pattern_counts(X.occurrences(Q.quantities(spark, str(tmp_path)), 4, 4)).select(R.compact(F.col("ranks")).alias("p"), "n_occ")
+    assert {(r.pattern, r.n_occ) for r in out.collect()} == {(r.p, r.n_occ) for r in want.collect()}
