@@ -557,8 +557,10 @@ def dataset_sha(spark, d):
 
 @query("series_source", f"WITH {_series(orders)} SELECT series_id, pos, round(value, 6) AS value FROM s")
 def series_source(spark, d):
-    """Text files of numbers, one a series, read back by small ranges of bytes."""
-    texts = orders(spark, d).repartition("series_id").sortWithinPartitions("series_id", "pos").select("series_id", F.concat("value", F.lit(", ")).alias("value"))
+    """Text files of numbers, one a series, joined line by line in many tasks, and read back by small ranges of bytes."""
+    lines = orders(spark, d).withColumn("line", F.floor(F.col("pos") / 4096)).groupBy("series_id", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("r"))
+    text = F.concat(F.array_join(F.transform("r", lambda x: x["value"].cast("string")), ", "), F.lit(", "))
+    texts = lines.select("series_id", "line", text.alias("value")).repartition("series_id").sortWithinPartitions("series_id", "line").drop("line")
     path = scratch_path(spark, "texts")
     texts.write.partitionBy("series_id").text(path)
     back = N.read_series(spark, path, 4096)

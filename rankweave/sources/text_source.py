@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.scratch import stored
+from ..operators.scratch import counted, if_few, stored
 
 SCHEMA = "series_id string, part int, at int, token string"
 #: Bytes of a range and of a read.
 RANGE, READ = 64 << 20, 4 << 20
+#: Small ranges grow, up to RANGE, until there are no more than about this many.
+PARTS = 256
 _SEPARATORS = bytes(x if x not in b",;\t\n\v\f\r" else 32 for x in range(256))
 
 
@@ -59,10 +61,10 @@ class SeriesReader(DataSourceReader):
         if top.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [top] if top.is_file else [f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file and not any(p[:1] in "._" for p in f.path.removeprefix(inner).strip("/").split("/"))]
-        out = []
+        size, out = max(self.range, min(RANGE, -(-sum(f.size for f in files) // PARTS))), []
         for f in sorted(files, key=lambda f: f.path):
-            cuts = range(0, max(f.size, 1), self.range)
-            out += [Range(f.path if prefix == "file://" else prefix + f.path, prefix + f.path, i, a, min(a + self.range, f.size), i == len(cuts) - 1) for i, a in enumerate(cuts)]
+            cuts = range(0, max(f.size, 1), size)
+            out += [Range(f.path if prefix == "file://" else prefix + f.path, prefix + f.path, i, a, min(a + size, f.size), i == len(cuts) - 1) for i, a in enumerate(cuts)]
         return out
 
     def read(self, own: Range) -> Iterator[pa.RecordBatch]:
@@ -131,5 +133,6 @@ def read_series(spark: SparkSession, path: str, range_bytes: int = RANGE) -> Dat
     read = spark.read.format("series").option("range", range_bytes).load(path)
     read = stored(read.select("series_id", "part", "at", (F.col("token").cast("double") + F.lit(0.0)).alias("value")), "tokens")
     before = W.Window.partitionBy("series_id").orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = read.groupBy("series_id", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return read.join(starts, ["series_id", "part"]).select("series_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "value")
+    sizes = read.groupBy("series_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    starts, size = counted(sizes.select("series_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")
+    return read.join(if_few(starts, size["rows"]), ["series_id", "part"]).select("series_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), "value")

@@ -8,6 +8,7 @@ from rankweave.operators import windows as X
 from rankweave.plans import grid as G
 from rankweave.plans import mining as M
 from rankweave.sources import series as S
+from rankweave.sources import text_source as N
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,14 @@ def test_fuse_join_needs_no_join(spark, tmp_path):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     want = X.pattern_counts(X.occurrences(Q.quantities(spark, str(tmp_path)), 4, 4)).select(R.compact(F.col("ranks")).alias("p"), "n_occ")
     assert {(r.pattern, r.n_occ) for r in out.collect()} == {(r.p, r.n_occ) for r in want.collect()}
+
+
+def test_ranges_stay_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "PARTS", 10)
+    want = [float(i) for i in range(5000)]
+    (tmp_path / "a.txt").write_text(", ".join(map(str, want)))
+    reader = N.SeriesReader({"path": str(tmp_path), "range": "16"})
+    assert len(reader.partitions()) <= 11
+    monkeypatch.undo()
+    got = sorted((r.pos, r.value) for r in N.read_series(spark, str(tmp_path), 16).collect())
+    assert got == list(enumerate(want)) and len(N.SeriesReader({"path": str(tmp_path), "range": "16"}).partitions()) <= 257
