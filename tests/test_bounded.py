@@ -73,3 +73,9 @@ def test_ranges_stay_few(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     got = sorted((r.pos, r.value) for r in N.read_series(spark, str(tmp_path), 16).collect())
     assert got == list(enumerate(want)) and len(N.SeriesReader({"path": str(tmp_path), "range": "16"}).partitions()) <= 257
+
+
+def test_short_series_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(X, "SHARE", 100)
+    series = S.from_table(table(spark, {str(i): 10 for i in range(100)}), F.col("s"), ["o"], F.col("v"), sizes=True)
+    assert series.rdd.getNumPartitions() == 80 and X.windows(series, 2, 5).rdd.getNumPartitions() == 80
