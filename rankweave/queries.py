@@ -426,7 +426,9 @@ def topk_long(spark, d):
 
 @query("topk_long_pruned", _LONG)
 def topk_long_pruned(spark, d):
-    return _shown(M.mine(events(spark, d), "tk", 50, max_len=12), *_COLUMNS)
+    """Length by length, without the windows whose part is below the k-th support so far."""
+    found = G.grid_patterns(events(spark, d), [1.0], [50], 2, 12).withColumn("support", F.get("supports", F.lit(0)))
+    return _shown(X.top_k(found, 50), *_COLUMNS)
 
 
 @query("canonical_digest", _top(events, 2, 4, 10) + f" SELECT series_id, n::BIGINT AS n, sha256(string_agg({_P} || chr(9) || printf('%.6f', support) || chr(10), '' ORDER BY rank)) AS sha256 FROM t GROUP BY series_id, n")

@@ -79,3 +79,14 @@ def test_short_series_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(X, "SHARE", 100)
     series = S.from_table(table(spark, {str(i): 10 for i in range(100)}), F.col("s"), ["o"], F.col("v"), sizes=True)
     assert series.rdd.getNumPartitions() == 80 and X.windows(series, 2, 5).rdd.getNumPartitions() == 80
+
+
+def test_long_pruned_leaves_windows_out(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, i, i % 3, rng.random()) for i in range(1500)]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    asked, supports = [], G.grid_supports
+    monkeypatch.setattr(G, "grid_supports", lambda x, f: (asked.append(x), supports(x, f))[1])
+    got = {(r.series_id, r["rank"], r.pattern, r.n_occ) for r in Q.topk_long_pruned(spark, str(tmp_path)).collect()}
+    assert 1 < len(asked) and sum(x.count() for x in asked) < 0.6 * X.occurrences(Q.events(spark, str(tmp_path)), 2, 12).count()
+    assert got == {(r.series_id, r["rank"], r.pattern, r.n_occ) for r in Q.topk_long(spark, str(tmp_path)).collect()}
