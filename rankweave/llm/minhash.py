@@ -225,7 +225,8 @@ def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
     linked with the hub and its D is larger than that; hence a link needs common members of Dx and Dy, for
     each set at least as many as the least possible D of a partner demands. So the two share one of the first
     |D| - that number + 1 of each D, by rising frequency under the hub; members that no other D has come first.
-    Those that do are compared on all members of D that others have.
+    Those that do are compared on all members of D that others have, by half of each hash: a few pairs more may
+    pass, as ``verified`` looks at full sets, and none is lost. Whole D are sent only to members that meet (``meeting``).
     """
     up, down = 100 + percent, 100 - percent
     hubs = C.stored(now.groupBy("key").agg(F.min(F.struct("own", "id", "label")).alias("hub"), F.count(F.lit(1)).alias("k")), "hubs")
@@ -248,14 +249,30 @@ def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
     def first(partner: str) -> Column:
         common = F.greatest(F.ceil((F.col("over") + F.col(partner)) / F.lit(2 * up)).cast("long"), F.lit(1))
         own = F.col("d") - F.size("shared")
-        return F.slice("shared", F.lit(1), F.greatest(F.col("d") - common + 1 - own, F.lit(0)).cast("int"))
-
-    side = lambda df, partner: df.select("hub", "id", "label", "over", F.col("shared.e").alias("s"), F.explode(first(partner)).alias("e")).select("hub", "id", "label", "over", "s", "e.e")
-    a = side(x.where("other"), "any")
-    b = side(x, "apart").toDF("hub", "b", "lb", "overb", "sb", "e")
-    enough = f"over + overb <= {2 * up} * least(size(s), size(sb)) AND over + overb <= {2 * up} * size(array_intersect(s, sb))"
-    met = a.join(b, ["hub", "e"]).where(f"id <> b AND label <> lb AND {enough}")
-    return met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        return F.greatest(F.col("d") - common + 1 - own, F.lit(0)).cast("int")
+
+    # half of each hash tells members apart but for a few, which ``lost`` counts
+    half = F.array_distinct(F.transform("shared", lambda v: F.shiftright(v["e"], 32).cast("int")))
+    x = x.select("hub", "id", "label", "over", F.size("shared").alias("n"), half.alias("s"), F.col("shared.e").alias("e"), F.when(F.col("other"), first("any")).otherwise(0).alias("na"), first("apart").alias("nb"))
+    x = C.stored(x.withColumn("lost", F.col("n") - F.size("s")), "sides")
+    met = meeting(x)
+    side = lambda e: x.join(met, ["hub", "id"]).select("hub", "id", "label", "over", "n", "lost", "s", F.explode(e).alias("e"))
+    b = side("b").drop("lost").toDF("hub", "b", "lb", "overb", "m", "sb", "e")
+    enough = f"over + overb <= {2 * up} * least(n, m) AND over + overb <= {2 * up} * (size(array_intersect(s, sb)) + lost)"
+    found = side("a").join(b, ["hub", "e"]).where(f"id <> b AND label <> lb AND {enough}")
+    return found.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def meeting(x: DataFrame) -> DataFrame:
+    """(hub, id, a, b) of ``x(hub, id, label, e, na, nb)``: of the first ``na`` members of e, and of the first ``nb``, those that are under two labels among the others' first ones.
+
+    Members alone, a few numbers a row, tell which rows meet any, before rows with whole sets are sent.
+    """
+    rows = x.select("hub", "id", "label", "na", "nb", F.posexplode(F.slice("e", F.lit(1), F.greatest("na", "nb"))).alias("i", "e"))
+    rows = rows.select("hub", "id", "label", "e", (F.col("i") < F.col("na")).alias("a"), (F.col("i") < F.col("nb")).alias("b"))
+    several = rows.groupBy("hub", "e").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("a").alias("a"), F.max("b").alias("b"), F.count(F.lit(1)).alias("k")).where("low < high AND a AND b")
+    some = lambda side: F.collect_list(F.when(F.col(side), F.col("e"))).alias(side)
+    return C.stored(C.salted_join(rows, C.stored(several.select("hub", "e", "k"), "several"), ["hub", "e"], "k").groupBy("hub", "id").agg(some("a"), some("b")), "meeting")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, full: _Full, percent: int) -> DataFrame:

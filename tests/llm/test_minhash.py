@@ -106,3 +106,21 @@ def test_links_among_those_apart_from_the_hub(spark):
         got = {r.doc_id: r.component_id for r in M.near_duplicates(df, 2, 80, hub_rounds=rounds).collect()}
         assert got == {k: c for k, (_, c) in want.items()}
     assert 3 < len(set(got.values())) < 40
+
+
+def test_whole_sets_go_only_where_members_meet(spark):
+    """Copies that share edits under one label alone have no row to send, and the others only for what two labels share."""
+    x = spark.createDataFrame([(1, 10, 5, [7, 8, 9], 3, 3), (1, 11, 5, [7, 8], 2, 2), (1, 12, 6, [9, 4], 0, 1), (1, 13, 6, [4, 9], 0, 1), (2, 14, 6, [7], 1, 1)], "hub long, id long, label long, e array<long>, na int, nb int")
+    got = {(r.hub, r.id): (sorted(r.a), sorted(r.b)) for r in M.meeting(x).collect()}
+    assert got == {(1, 10): ([9], [9]), (1, 12): ([], [9])}
+
+
+def test_differences_find_all_links_with_equal_half_hashes(spark):
+    """Members whose hashes agree in the half that is compared are counted as lost, so their pair is kept."""
+    high = lambda k, low: (k << 32) + low
+    base = [high(1000 + i, i) for i in range(200)]
+    one, two, three = ([*base[: 200 - 24], *(high(i // 4, i) for i in range(24))], [*base[: 200 - 25], *(high(i // 4, i) for i in range(24))], [*base[: 200 - 26], *(high(i // 4, i) for i in range(24))])
+    sets = spark.createDataFrame([(i, sorted(h)) for i, h in enumerate([base, one, two, three])], "cls long, h array<long>")
+    now = spark.createDataFrame([(1, i, i, 200, 0 if i == 0 else 5) for i in range(4)], "key long, id long, label long, size long, own long")
+    got = {(int(r.a), int(r.b)) for r in M.by_differences(now, lambda ids: sets, 80).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
