@@ -15,10 +15,12 @@ CHUNK = 1 << 14
 SHARE = 1 << 19
 
 
-def dealt(x: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """By keys to as many tasks as ``rows`` need, which their bytes wouldn't tell; few rows as the session deals them."""
+def dealt(x: DataFrame, rows: int, *keys: str, ranges: bool = False) -> DataFrame:
+    """By keys, hashed or in ``ranges`` of about equally many rows, to as many tasks as ``rows`` need, which their bytes wouldn't tell; few rows as the session deals them."""
     tasks = -(-rows // SHARE)
-    return x.repartition(max(tasks, x.sparkSession.sparkContext.defaultParallelism), *keys) if tasks > 1 else x
+    if tasks <= 1:
+        return x
+    return (x.repartitionByRange if ranges else x.repartition)(max(tasks, x.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 def many(series: DataFrame) -> int:

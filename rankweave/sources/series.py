@@ -37,6 +37,8 @@ def _clean(value: Column) -> Column:
 
 #: Rows of the longest series that are still sorted in one task each.
 SHORT = 1 << 16
+#: A series is large, beside a task's share, with over one part in so many of it.
+LARGE = 16
 
 
 def _read(df: DataFrame, series: Column, order: Sequence[str], value: Column) -> DataFrame:
@@ -57,7 +59,8 @@ def from_table(df: DataFrame, series: Column, order: Sequence[str], value: Colum
         x = x.select("series_id", F.col("pos").cast("int").alias("pos", metadata={"rows": rows}), "value", "n")
     else:
         whole = W.Window.partitionBy("series_id")
-        x = dealt(x, rows * 8, "series_id")  # windows of several lengths stay in the same tasks
+        # windows of several lengths stay in the same tasks; hashes would put several large series into one
+        x = dealt(x, rows * 8, "series_id", ranges=longest * 8 * LARGE > SHARE)
         x = x.select("series_id", (F.row_number().over(whole.orderBy(*names)) - 1).alias("pos"), "value", F.count(F.lit(1)).over(whole).cast("int").alias("n"))
     return x if sizes else x.drop("n")
 

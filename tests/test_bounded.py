@@ -90,3 +90,14 @@ def test_long_pruned_leaves_windows_out(spark, tmp_path, monkeypatch):
     got = {(r.series_id, r["rank"], r.pattern, r.n_occ) for r in Q.topk_long_pruned(spark, str(tmp_path)).collect()}
     assert 1 < len(asked) and sum(x.count() for x in asked) < 0.6 * X.occurrences(Q.events(spark, str(tmp_path)), 2, 12).count()
     assert got == {(r.series_id, r["rank"], r.pattern, r.n_occ) for r in Q.topk_long(spark, str(tmp_path)).collect()}
+
+
+def test_large_series_do_not_meet_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(X, "SHARE", 800)
+    monkeypatch.setattr(S, "SHARE", 800)
+    rows = table(spark, {str(i): 50 for i in range(40)})
+    series = S.from_table(rows, F.col("s"), ["o"], F.col("v"), sizes=True)
+    tasks = series.groupBy(F.spark_partition_id()).count()
+    assert tasks.agg(F.max("count")).first()[0] <= 150 and series.count() == 2000
+    counts = X.pattern_supports(X.occurrences(series, 2, 3))
+    assert "Exchange hashpartitioning(series_id" not in counts._jdf.queryExecution().executedPlan().toString()
