@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 #: A rank file over this is refused: it is broadcast to every executor.
 MAX_RANK_FILE = 64 << 20
 #: Distinct short pre-tokens of the texts before that one Python worker remembers, and the most bytes of a short one.
-CACHE_ENTRIES, SHORT = 300_000, 256
-#: Bytes of texts that are encoded together; longer texts are split piece by piece.
-TOGETHER = 8_000_000
+CACHE_ENTRIES, SHORT = 100_000, 256
+#: Bytes of texts that are encoded together, in some tens of times their memory; longer texts are split piece by piece.
+TOGETHER = 4_000_000
 #: Ids that are decoded together.
 IDS = 1_000_000
 
@@ -278,7 +278,11 @@ class ByteBpe:
                 else:
                     open_.append(x)
         known.update(zip(open_, self.merge_all(open_), strict=True))
-        self.cache = {x: known[x] for x in pieces if len(known[x]) > 4 and len(x) <= SHORT} if len(pieces) <= CACHE_ENTRIES else {}
+        new = {x: known[x] for x in open_ if len(known[x]) > 4}
+        if len(self.cache) + len(new) > CACHE_ENTRIES:
+            self.cache = {}
+        if len(new) <= CACHE_ENTRIES:
+            self.cache |= new
         ids = known.__getitem__
         return pa.array([b"".join(map(ids, parts[k])) if k in parts else ids(x) for k, x in enumerate(raw)], pa.binary())
 
@@ -413,6 +417,12 @@ def _joined(parts: Iterator[pa.Array]) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
+def _encoded(bpe: ByteBpe, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The ids of all rows in order, in arrays of the texts encoded together: a worker never holds those of a whole batch."""
+    for batch in batches:
+        yield from bpe.encode_array(batch)
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text", out_col: str = "ids", cut_at_spaces: bool = False) -> DataFrame:
     """Adds ``out_col``: the ids of the whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -422,9 +432,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bpe = _table(*shared.value)
-        for batch in batches:
-            yield _joined(bpe.encode_array(batch))
+        yield from _encoded(_table(*shared.value), batches)
 
     return docs.withColumn(out_col, ids(F.col(text_col).cast("string")))
 
@@ -437,7 +445,7 @@ def decode(docs: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str =
     def back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _table(shared.value, None)
         for batch in batches:
-            yield _joined(pieces.decode_array(batch))
+            yield from pieces.decode_array(batch)
 
     return docs.withColumn(out_col, back(F.col(ids_col)))
 
@@ -449,8 +457,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "t
     @F.arrow_udf("struct<ids binary, decoded binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = _table(*shared.value)
-        for batch in batches:
-            ids = _joined(bpe.encode_array(batch))
+        for ids in _encoded(bpe, batches):
             yield pa.StructArray.from_arrays([ids, _joined(bpe.pieces.decode_array(ids))], ["ids", "decoded"])
 
     return docs.withColumn("__both", both(F.col(text_col).cast("string"))).withColumns({"ids": F.col("__both.ids"), "decoded": F.col("__both.decoded")}).drop("__both")

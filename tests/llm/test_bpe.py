@@ -107,3 +107,17 @@ def test_rank_file_bound(monkeypatch, spark):
     monkeypatch.setattr(bpe, "MAX_RANK_FILE", 10)
     with pytest.raises(ValueError):
         bpe.encode(spark.createDataFrame([("a",)], "text string"), PATH, P.PATTERN)
+
+
+def test_a_batch_is_encoded_and_sent_in_small_parts(monkeypatch):
+    """A worker holds the ids of the texts encoded together, not of a whole batch, and what it learned stays for the next ones."""
+    own = bpe.ByteBpe(RANKS, P.PATTERN, cut_at_spaces=True)
+    texts = [f"zqxjk{i} vwkzq " + "a line of a text " * 60_000 for i in range(8)]
+    parts = list(bpe._encoded(own, iter([pa.array(texts[:5]), pa.array([], pa.string()), pa.array(texts[5:])])))
+    assert max(map(len, parts)) * len(texts[0]) <= 4_000_000 and sum(map(len, parts)) == len(texts)
+    assert [x for part in parts for x in part.to_pylist()] == [packed(x) for x in texts]
+    assert b" vwkzq" in own.cache
+    own.encode("qqzx")
+    assert {b" vwkzq", b"qqzx"} <= own.cache.keys()
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 2)
+    assert own.encode("qqzz wwvk yyqj") == packed("qqzz wwvk yyqj") and len(own.cache) <= 2
