@@ -217,30 +217,35 @@ def linkable(ids: DataFrame, full: _Full, percent: int) -> DataFrame:
 
 
 def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``now(key, id, label, size, own, ...)``, more than one label under each key: all that are linked and differ in label.
-
-    Each member of a key is described by D, the shingles that it or the key's hub alone has. The union of two
-    sets x and y is larger than their intersection by |Dx| + |Dy| - 2 |Dx and Dy|, which for a link is at most
-    (100 - percent) / (100 + percent) of |x| + |y|. One of the two has another label than the hub, so it isn't
-    linked with the hub and its D is larger than that; hence a link needs common members of Dx and Dy, for
+    """Pairs (a, b) of ``now(key, id, label, size, own, ...)``, more than one label under each key: enough to join all that are linked and differ in label.
+
+    Keys that share ids, at first hand or by other keys, have one hub (``spheres``), so an id is described once, however
+    many keys it has: by D, the shingles that it or its hub alone has. Members linked with their hub are pairs with
+    it. The union of two sets x and y is larger than their intersection by |Dx| + |Dy| - 2 |Dx and Dy|, which for a
+    link is at most (100 - percent) / (100 + percent) of |x| + |y|. If both are linked with the hub, it joins them. Else
+    one of the two is not, nor has the hub's label, if the hub doesn't join them so, and its D is larger than that;
+    hence a link needs common members of Dx and Dy, under two labels, for
     each set at least as many as the least possible D of a partner demands. So the two share one of the first
-    |D| - that number + 1 of each D, by rising frequency under the hub; members that no other D has come first.
-    Those that do are compared on all members of D that others have, by half of each hash: a few pairs more may
+    |D| - that number + 1 of each D, by rising frequency under the hub; members that one label alone has come first.
+    Those that do are compared on all members of D that other labels have, by half of each hash: a few pairs more may
     pass, as ``verified`` looks at full sets, and none is lost. Whole D are sent only to members that meet (``meeting``).
     """
     up, down = 100 + percent, 100 - percent
-    hubs = C.stored(now.groupBy("key").agg(F.min(F.struct("own", "id", "label")).alias("hub"), F.count(F.lit(1)).alias("k")), "hubs")
-    members = C.salted_join(now, hubs, ["key"], "k").where("id <> hub.id").select(F.col("hub.id").alias("hub"), "id", (F.col("label") != F.col("hub.label")).alias("other"), "label").distinct()
+    members = spheres(now)
     members = C.if_few(C.stored(members, "members"))
     sets = full(members.select(F.col("id").alias("cls")).unionByName(members.select(F.col("hub").alias("cls"))).distinct())
     counts = C.if_few(C.stored(members.groupBy("hub").agg(F.count(F.lit(1)).alias("k")), "counts"))
     few = C.stored(sets.toDF("hub", "hh").join(counts, "hub"), "hubs")
     both = C.salted_join(sets.toDF("id", "h").join(members, "id"), few, ["hub"], "k", wide=True)
     d = F.concat(F.array_except("h", "hh"), F.array_except("hh", "h"))
-    x = C.stored(both.select("hub", "id", "other", "label", F.size("h").cast("long").alias("n"), d.alias("d")), "differences")
-    rows = x.select("hub", "id", F.explode("d").alias("e"))
-    often = C.stored(rows.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumn("k", F.col("f")), "often")
-    shared = C.salted_join(rows, often, ["hub", "e"], "k").groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("shared"))
+    x = both.select("hub", "id", "other", "label", F.size("h").cast("long").alias("n"), F.size("hh").alias("nh"), d.alias("d"))
+    near = up * F.size("d") <= down * (F.col("n") + F.col("nh"))
+    x = C.stored(x.select("hub", "id", (F.col("other") & near).alias("near"), (F.col("other") & ~near).alias("other"), "label", "n", "d"), "differences")
+    linked = x.where("near").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    rows = x.select("hub", "id", "label", F.explode("d").alias("e"))
+    often = rows.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    often = C.stored(often.select("hub", "e", "f", F.col("f").alias("k")), "often")
+    shared = C.salted_join(rows.drop("label"), often, ["hub", "e"], "k").groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("shared"))
     x = x.join(shared, ["hub", "id"]).select("hub", "id", "other", "label", "n", F.size("d").cast("long").alias("d"), "shared").withColumn("over", up * F.col("d") - down * F.col("n"))
     x = C.stored(x, "shared")
     least = x.groupBy("hub").agg(F.min("over").alias("any"), F.min(F.when(F.col("other"), F.col("over"))).alias("apart"), F.count(F.lit(1)).alias("k")).where("apart IS NOT NULL")
@@ -260,7 +265,20 @@ def by_differences(now: DataFrame, full: _Full, percent: int) -> DataFrame:
     b = side("b").drop("lost").toDF("hub", "b", "lb", "overb", "m", "sb", "e")
     enough = f"over + overb <= {2 * up} * least(n, m) AND over + overb <= {2 * up} * (size(array_intersect(s, sb)) + lost)"
     found = side("a").join(b, ["hub", "e"]).where(f"id <> b AND label <> lb AND {enough}")
-    return found.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    return linked.unionByName(found.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
+
+
+def spheres(now: DataFrame) -> DataFrame:
+    """(hub, id, other, label) of ``now(key, id, label, own, ...)``: each id but the hubs once, and if its label is another than its hub's.
+
+    Keys that ids join, however many, have one hub: of their ids, the one with the fewest shingles of its own.
+    """
+    firsts = C.stored(now.groupBy("key").agg(F.min(F.struct("own", "id")).alias("first"), F.count(F.lit(1)).alias("k")), "firsts")
+    links = C.salted_join(now, firsts, ["key"], "k").select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    parts = C.stored(C.components(links), "spheres").toDF("id", "sphere")
+    ids = C.stored(now.select("id", "label", "own").distinct().join(parts, "id"), "ids")
+    hubs = C.stored(ids.groupBy("sphere").agg(F.min(F.struct("own", "id", "label")).alias("hub"), F.count(F.lit(1)).alias("k")), "hubs")
+    return C.salted_join(ids, hubs, ["sphere"], "k").where("id <> hub.id").select(F.col("hub.id").alias("hub"), "id", (F.col("label") != F.col("hub.label")).alias("other"), "label")
 
 
 def meeting(x: DataFrame) -> DataFrame:

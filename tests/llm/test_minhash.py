@@ -124,3 +124,21 @@ def test_differences_find_all_links_with_equal_half_hashes(spark):
     now = spark.createDataFrame([(1, i, i, 200, 0 if i == 0 else 5) for i in range(4)], "key long, id long, label long, size long, own long")
     got = {(int(r.a), int(r.b)) for r in M.by_differences(now, lambda ids: sets, 80).collect()}
     assert got == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_ids_of_many_keys_are_described_once(spark):
+    """Keys that share ids have one hub, so rows of differences grow with the ids, not with their keys; members linked with that hub are pairs."""
+    now = spark.createDataFrame([(key, i, i, 100, 0 if i == 7 else 5) for key in range(20) for i in range(8) if i == 7 or key % 7 in (i, (i + 1) % 7)] + [(99, 20, 20, 9, 1), (99, 21, 21, 9, 0)], "key long, id long, label long, size long, own long")
+    assert sorted(map(tuple, M.spheres(now).collect())) == [*((7, i, True, i) for i in range(7)), (21, 20, True, 20)]
+    chain = spark.createDataFrame([(i // 2 if i % 2 else i // 2 - k, i, i // 4, 100, 10 - i) for i in range(8) for k in (0, 1)], "key long, id long, label long, size long, own long")
+    got = M.spheres(chain).collect()
+    assert sorted((r.hub, r.id, r.other, r.label) for r in got) == [(7, i, i < 4, i // 4) for i in range(7)]
+
+
+def test_links_with_a_hub_that_was_not_compared(spark):
+    """A hub of several keys joins members that it has met under no key, and finds the links between those far from it."""
+    base = list(range(1000, 1100))
+    sets = [(0, base), (1, base[:96] + [1, 2, 3, 4]), (2, base[:70] + list(range(5, 35))), (3, base[:70] + list(range(5, 34)) + [99])]
+    df = spark.createDataFrame([(i, sorted(h)) for i, h in sets], "cls long, h array<long>")
+    now = spark.createDataFrame([(1, 0, 0, 100, 0), (1, 2, 2, 100, 5), (2, 2, 2, 100, 5), (2, 1, 1, 100, 4), (2, 3, 3, 100, 5)], "key long, id long, label long, size long, own long")
+    assert {(int(r.a), int(r.b)) for r in M.by_differences(now, lambda ids: df, 80).collect()} == {(0, 1), (2, 3)}
